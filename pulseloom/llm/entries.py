@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm import packing, piece_codec, recompression, wavelet
+from pulseloom.llm import packing, piece_codec, recompression, tensored, wavelet
 from pulseloom.llm.tables import new_path, table
 
 PIECES = "piece_bpe_32k.model"
@@ -23,6 +23,10 @@ def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_digests(spark, path)
 
 
+def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensored.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = recompression.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -33,7 +37,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op5_wavelet_tokens, op9_recompression, op10_packing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op5_wavelet_tokens, op8_tensored_minhash, op9_recompression, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
