@@ -1,28 +1,29 @@
 """Ids of a byte-level BPE vocabulary file of the tokenizers library, for batches of whole texts.
 
 A space between two characters that are not white space always starts a new pre-token in this family
-of vocabularies, so the stretches between such spaces can be encoded apart.  Stretches recur, so each
-Python worker keeps the ids of those met (a bounded number; later ones are encoded each time they come,
-with the same ids), and the library encodes the others many at a time.
+of vocabularies, so in a text whose spaces are all of that kind the words between them can be encoded apart.
+Words recur, so each distinct word of a batch is looked up once; each Python worker keeps the ids of words
+met (a bounded number; later ones are encoded again in each batch, with the same ids), and the library
+encodes the others many at a time.  Texts with other spaces go to the library whole.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 
-_LONE = re.compile(r"(?<=\S) (?=\S)")
-_UNSAFE = re.compile(r"\A | \Z|\s | \s")
-_INNER = re.compile(r"\s")
+_GAP = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_UNSAFE = rf"\A | \z|{_GAP} | {_GAP}"  # a space at an end of the text or beside other white space
 
 
 class ByteTokens:
-    """Encoder for one vocabulary file.  kept: how many stretches it remembers at most."""
+    """Encoder for one vocabulary file.  kept: how many words it remembers at most."""
 
-    def __init__(self, path: str, kept: int = 300_000):
+    def __init__(self, path: str, kept: int = 600_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -37,37 +38,50 @@ class ByteTokens:
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _missing(self, missing: list[str]) -> dict[str, bytes]:
-        out, simple, other = {}, [], []
-        for s in missing:
-            (simple if s[:1] == " " and not _INNER.search(s, 1) else other).append(s)
-        for s, ids in zip(other, self._library(other), strict=True):
-            out[s] = ids.tobytes()
-        groups = [simple[k : k + 512] for k in range(0, len(simple), 512)]
-        for group, ids in zip(groups, self._library(["".join(g) for g in groups]), strict=True):
+    def _missing(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of a space and each word; the words hold no space."""
+        out = {}
+        groups = [words[k : k + 512] for k in range(0, len(words), 512)]
+        for group, ids in zip(groups, self._library(["".join(map(" ".__add__, g)) for g in groups]), strict=True):
             at = np.append(np.flatnonzero(self.opens[ids]), len(ids))
             if len(at) != len(group) + 1:
-                out.update((s, i.tobytes()) for s, i in zip(group, self._library(group), strict=True))
+                out.update((s, i.tobytes()) for s, i in zip(group, self._library([f" {g}" for g in group]), strict=True))
                 continue
-            raw, at, w = ids.tobytes(), at.tolist(), self.dtype.itemsize
-            out.update((s, raw[a * w : b * w]) for s, a, b in zip(group, at, at[1:], strict=False))
+            raw, at = ids.tobytes(), (at * self.dtype.itemsize).tolist()
+            out.update(zip(group, [raw[x:y] for x, y in zip(at, at[1:], strict=False)], strict=True))
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as the library gives them without special tokens."""
-        memo, rows, missing = self.memo, [], set()
-        for text in texts:
-            cut = _LONE.split(text) if _UNSAFE.search(text) else text.split(" ")
-            row = [cut[0], *map(" ".__add__, cut[1:])]
-            rows.append(row)
-            missing.update(s for s in row if s not in memo)
-        fresh = self._missing(sorted(missing))
+    def _apart(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts whose spaces all stand alone, as words."""
+        split = pa.compute.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words, code, bounds = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy().astype(np.int64)
+        memo = self.memo
+        fresh = self._missing([w for w in words if w not in memo])
         if len(memo) < self.kept:
             memo.update(fresh)
-            get = memo.__getitem__
-        else:
-            get = lambda s: memo[s] if s in memo else fresh[s]
-        return [np.frombuffer(b"".join(map(get, row)), self.dtype) for row in rows]
+        values = [memo[w] if w in memo else fresh[w] for w in words]
+        heads = coded.dictionary.take(pa.array(code[bounds[:-1]])).to_pylist()  # these have no space before them
+        alone = sorted(set(heads))
+        first = {w: ids.tobytes() for w, ids in zip(alone, self._library(alone), strict=True)}
+        code[bounds[:-1]] = len(values) + np.arange(len(texts))
+        values += [first[w] for w in heads]
+        pool = np.frombuffer(b"".join(values), self.dtype)
+        size = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+        n = size[code]
+        ends = np.cumsum(n)
+        ids = pool[np.repeat((np.cumsum(size) - size)[code] - (ends - n), n) + np.arange(ends[-1])]
+        cuts = np.concatenate([[0], ends])[bounds]
+        return [ids[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, as the library gives them without special tokens."""
+        whole = np.flatnonzero(pa.compute.match_substring_regex(pa.array(texts, pa.large_string()), _UNSAFE)).tolist()
+        if not whole:
+            return self._apart(texts) if texts else []
+        rest = sorted(set(range(len(texts))) - set(whole))
+        out = dict(zip(whole, self._library([texts[k] for k in whole]), strict=True)) | dict(zip(rest, self._apart([texts[k] for k in rest]) if rest else [], strict=True))
+        return [out[k] for k in range(len(texts))]
 
 
 @lru_cache(maxsize=4)
