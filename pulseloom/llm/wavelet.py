@@ -46,9 +46,9 @@ class WaveletMatrix:
             planes.append(np.packbits(one))
             sums = np.add.reduceat(one, np.arange(0, len(one), _EVERY), dtype=np.int64) if len(one) else np.zeros(0, np.int64)
             ranks.append(np.concatenate([[0], np.cumsum(sums)]).astype("<u4"))
-            low = now[~one]
+            low = np.flatnonzero(~one)
             zeros.append(len(low))
-            now = np.concatenate([low, now[one]])
+            now = now.take(np.concatenate([low, np.flatnonzero(one)]))
         return cls(len(ids), planes, zeros, ranks)
 
     def decode(self, dtype=np.uint16) -> np.ndarray:
@@ -57,8 +57,8 @@ class WaveletMatrix:
         for level, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             one = np.unpackbits(plane, count=self.n).view(bool)
             out = np.empty_like(now)
-            out[~one] = now[:zeros]
-            out[one] = now[zeros:] | now.dtype.type(1 << level)
+            out[np.flatnonzero(~one)] = now[:zeros]
+            out[np.flatnonzero(one)] = now[zeros:] | now.dtype.type(1 << level)
             now = out
         return now
 
@@ -144,7 +144,7 @@ def write_tokens(docs: DataFrame, vocab: str, path: str, end_id: int = 0, block:
         held, parts, size, k = [], [], 0, 0
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for low, high in slices(texts):
+            for low, high in slices(texts, 12 << 20):
                 for doc, ids in zip(doc_ids[low:high], own.encode([t or "" for t in texts.slice(low, high - low).to_pylist()]), strict=True):
                     if size and size + len(ids) + 1 > block:
                         yield _row(shard, k, bits, held, parts)
@@ -167,15 +167,13 @@ def matrices(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[int], list[
         yield row["shard"], row["block"], row["doc_ids"], row["counts"], WaveletMatrix(row["n_tokens"], planes, row["zeros"], [np.frombuffer(r, "<u4") for r in row["ranks"]])
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """The file set as a DataFrame of matrices, with first_token: ids in all matrices before each."""
-    files = spark.read.schema(_SCHEMA).parquet(path)
+def first_tokens(files: DataFrame) -> DataFrame:
+    """shard, block, first_token: ids in all matrices before."""
     sizes = files.select("shard", "block", "n_tokens")
     shards = sizes.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     # one row a shard; shards are as many as the writer had partitions
     shards = shards.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("before"))
-    starts = sizes.join(shards, "shard").select("shard", "block", (F.col("before") + F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_tokens")).alias("first_token"))
-    return files.join(starts, ["shard", "block"])
+    return sizes.join(shards, "shard").select("shard", "block", (F.col("before") + F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_tokens")).alias("first_token"))
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -183,15 +181,16 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            first = batch.column("first_token").to_pylist()
-            for at, (_, _, docs, counts, m) in zip(first, matrices(batch), strict=True):
+            for shard, block, docs, counts, m in matrices(batch):
                 ids = m.decode(np.uint16 if len(m.planes) <= 16 else np.uint32)
                 ends = np.cumsum(counts)
                 starts = ends - counts
                 crc = [crc32(ids[a:b]) for a, b in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts + at, pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(docs), pa.int32()), pa.array([block] * len(docs), pa.int32()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], ["shard", "block", "doc_id", "inner", "n_tokens", "ids_crc32"])
 
-    return read_tokens(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = spark.read.schema(_SCHEMA).parquet(path)
+    found = files.mapInArrow(run, "shard int, block int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    return found.join(first_tokens(files), ["shard", "block"]).select("doc_id", (F.col("first_token") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def find_token(spark: SparkSession, path: str, token: int) -> DataFrame:
