@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm import packing, piece_codec, recompression, tensored, wavelet
+from pulseloom.llm import packing, piece_codec, recompression, tensored, toxicity, wavelet
 from pulseloom.llm.tables import new_path, table
 
 PIECES = "piece_bpe_32k.model"
@@ -23,6 +23,11 @@ def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_digests(spark, path)
 
 
+def op7_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.fit(docs, labels))
+
+
 def op8_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tensored.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -37,7 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op5_wavelet_tokens, op8_tensored_minhash, op9_recompression, op10_packing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op5_wavelet_tokens, op7_weak_toxicity, op8_tensored_minhash, op9_recompression, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

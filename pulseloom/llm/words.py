@@ -62,11 +62,12 @@ class Words:
     hashes: np.ndarray
     start: np.ndarray
     length: np.ndarray
+    heads: list[np.ndarray]  # hashes of the first k bytes of longer words, for each k asked for; 0: not longer
 
 
-def _piece(data: np.ndarray, at: int, cuts: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _piece(data: np.ndarray, at: int, cuts: np.ndarray, lower: bool, between: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, ...]:
     raw = _LOWER[data] if lower else data
-    solid = ~_SPACE[raw]
+    solid = ~between[raw]
     before = np.empty(len(raw) + 1, bool)
     before[0], before[1:] = False, solid
     breaks = np.zeros(len(raw) + 1, bool)
@@ -78,11 +79,14 @@ def _piece(data: np.ndarray, at: int, cuts: np.ndarray, lower: bool) -> tuple[np
     total = np.empty(len(raw) + 1, np.uint64)
     total[0] = 0
     np.cumsum(_BYTES[raw] * powers(_BASE, len(raw)), dtype=np.uint64, out=total[1:])
-    value = (total[end] - total[start]) * powers(_INVERSE, len(raw))[start]
-    return mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start + at, end - start
+    unit = powers(_INVERSE, len(raw))[start]
+    named = lambda stop: mix((total[stop] - total[start]) * unit + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    heads = [np.where(end - start > k, named(np.minimum(start + k, end)) | np.uint64(1), np.uint64(0)) for k in prefixes]
+    return named(end), start + at, end - start, *heads
 
 
-def split_words(column: pa.Array, lower: bool = False) -> Words:
+def split_words(column: pa.Array, lower: bool = False, between: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> Words:
+    """between: the bytes that part words, as 256 booleans; white space always belongs to them."""
     data, bounds = text_bytes(column)
     parts, at = [], 0
     while at < len(data):
@@ -105,13 +109,14 @@ def split_words(column: pa.Array, lower: bool = False) -> Words:
                             break
                         stop = min(stop + STEP, limit)
         low, high = np.searchsorted(bounds, at), np.searchsorted(bounds, stop, "right")
-        parts.append(_piece(data[at:stop], at, bounds[low:high] - at, lower))
+        parts.append(_piece(data[at:stop], at, bounds[low:high] - at, lower, between, prefixes))
         at = stop
     if parts:
-        hashes, start, length = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        hashes, start, length, *heads = (np.concatenate([p[k] for p in parts]) for k in range(3 + len(prefixes)))
     else:
         hashes, start, length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return Words(np.searchsorted(start, bounds), hashes, start, length)
+        heads = [np.zeros(0, np.uint64) for _ in prefixes]
+    return Words(np.searchsorted(start, bounds), hashes, start, length, heads)
 
 
 def slices(column: pa.Array, step: int = 4 * STEP):
