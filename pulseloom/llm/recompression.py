@@ -133,7 +133,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, rounds: int = ROUNDS) -> Da
         raise ValueError("the window is too short for so many rounds")
     spark = docs.sparkSession
     n = partitions(spark)
-    n_slices, n_buckets = 3 * n, 2 * n
+    n_slices, n_buckets = 2 * n, n
     own = ["slice", "n_words", "n_removed", "kept_text"]
     dealt = docs.drop(*own).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(n_slices)).cast("int"))
 
