@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm import packing, piece_codec, recompression, tensored, toxicity, wavelet
+from pulseloom.llm import bounded_topk, packing, piece_codec, recompression, tensored, toxicity, tree_forest, wavelet
 from pulseloom.llm.tables import new_path, table
 
 PIECES = "piece_bpe_32k.model"
@@ -18,6 +18,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op2_tree_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_forest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bounded_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     wavelet.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), path := new_path(spark, "tokens"))
     return wavelet.token_digests(spark, path)
@@ -42,7 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op5_wavelet_tokens, op7_weak_toxicity, op8_tensored_minhash, op9_recompression, op10_packing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_tree_forest, op4_branch_and_bound, op5_wavelet_tokens, op7_weak_toxicity, op8_tensored_minhash, op9_recompression, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
