@@ -23,7 +23,7 @@ _UNSAFE = rf"\A | \z|{_GAP} | {_GAP}"  # a space at an end of the text or beside
 class ByteTokens:
     """Encoder for one vocabulary file.  kept: how many words it remembers at most."""
 
-    def __init__(self, path: str, kept: int = 600_000):
+    def __init__(self, path: str, kept: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -36,12 +36,12 @@ class ByteTokens:
         self.kept, self.memo = kept, {}
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _missing(self, words: list[str]) -> dict[str, bytes]:
         """Ids of a space and each word; the words hold no space."""
         out = {}
-        groups = [words[k : k + 512] for k in range(0, len(words), 512)]
+        groups = [words[k : k + 64] for k in range(0, len(words), 64)]
         for group, ids in zip(groups, self._library(["".join(map(" ".__add__, g)) for g in groups]), strict=True):
             at = np.append(np.flatnonzero(self.opens[ids]), len(ids))
             if len(at) != len(group) + 1:
