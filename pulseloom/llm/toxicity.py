@@ -194,3 +194,15 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> Data
 
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is below the threshold."""
+
+    def run(batches):
+        for batch in batches:
+            for low, high in slices(batch.column("text")):
+                part = batch.slice(low, high - low)
+                yield part.filter(pa.array(scorer(part.column("text")) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
