@@ -89,16 +89,26 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and the set as array<long>."""
+    """doc_id, the set as array<long>, and bits: 1024 parities of the set's elements by 10 bits of their hashes."""
 
     def run(batches):
         for batch in batches:
             for low, high in slices(batch.column("text"), 2 << 20):
                 sets = shingle_sets(batch.column("text").slice(low, high - low), size)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.array(flat.view(np.int64)))], ["doc_id", "set"])
+                bits = [np.packbits(np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024).astype(np.uint8) & 1).view(np.int64) for s in sets]
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for v in of])]), pa.int32()), pa.array(np.concatenate(of).view(np.int64) if of else flat.view(np.int64))) for of in (sets, bits)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), *lists], ["doc_id", "set", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set array<long>, bits array<long>")
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that parities do not rule out: elements in one set only are at least as many as differing parities."""
+    brief = lambda k: sets.select(F.col("doc_id").alias(k), F.col("bits").alias(f"bits_{k}"), F.size("set").alias(f"n_{k}"))
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    most = F.floor((F.col("n_a") + F.col("n_b") - apart) / 2)
+    return pairs.join(brief("a"), "a").join(brief("b"), "b").where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -128,9 +138,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     least = tables.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.min_by("n", "doc_id").alias("m"), F.count("*").alias("size")).where("size > 1")
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     star = stored(tables.join(least, "bucket").where((F.col("a") != F.col("doc_id")) & alike(F.col("n"), F.col("m"))).select("a", F.col("doc_id").alias("b")).distinct(), "star")
-    several = least.select("bucket")
-    held = tables.join(several, "bucket", "left_semi").select("doc_id").distinct()
-    sets = stored(sets_of(docs.join(held.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
+    sets = stored(sets_of(docs.join(shared.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
 
     def contracted(links: DataFrame) -> DataFrame:
         return stored(connected_components(links), "components")
@@ -144,13 +152,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     components = contracted(links)
     more = stored(confirmed(apart(star, components), sets, percent), "links")
     components = contracted(more.union(links))
-    # what is left: documents of one bucket in different components
-    placed = tables.join(components, tables.doc_id == components.node, "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rest = placed.join(mixed, "bucket", "left_semi")
+    # what is left: documents of one table that lie in different components, each pair in the first group they share
+    placed = shared.join(components, shared.doc_id == components.node, "left").select("doc_id", F.col("n_shingles").alias("n"), F.coalesce("component", "doc_id").alias("component"), "first", "second").withColumn("p", F.explode("first"))
+    mixed = placed.groupBy("p").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("p")
+    rest = placed.join(mixed, "p", "left_semi")
     x, y = rest.alias("x"), rest.alias("y")
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n")))
-    pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    met = (F.col("x.p") == F.col("y.p")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n"))
+    met &= F.arrays_overlap("x.second", "y.second") & (F.array_min(F.array_intersect("x.first", "y.first")) == F.col("x.p"))
+    pairs = x.join(y, met).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).join(star, ["a", "b"], "left_anti")
+    pairs = possible(stored(pairs, "pairs"), sets, percent)
     last = stored(confirmed(stored(pairs, "pairs"), sets, percent), "links")
     components = contracted(links.union(more).union(last))
     named = classes.join(components, classes.doc_id == components.node, "left").select(*own, F.coalesce("component", "doc_id").alias("component"))
