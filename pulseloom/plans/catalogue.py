@@ -5,9 +5,9 @@ Channels are users or labels, pulses are vectors as whole numbers, heights are p
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -441,3 +441,114 @@ def records_from_stream(spark, sf_dir):
 def channel_from_path(spark, sf_dir):
     path = F.concat(F.lit("run7_chan"), F.col("user_id").cast("string"), F.lit(".ljh"))
     return _t(spark, sf_dir, "events").select("event_id", P.channel_number(path).alias("channel"))
+
+
+@query()
+def learned_drift(spark, sf_dir):
+    from pulseloom.operators import learning
+
+    e = _t(spark, sf_dir, "events").withColumn("indicator", F.col("event_id") % 97)
+    return learning.drift_slope(e, ["event_type"], "value", "indicator")
+
+
+@query()
+def learned_filters(spark, sf_dir):
+    from pulseloom.operators import learning
+
+    p = _pulses(spark, sf_dir)
+    return learning.optimal_filters(p, p, ["label"], "pulse", PRE)
+
+
+@query()
+def time_drift_gain(spark, sf_dir):
+    from pulseloom.operators import learning
+
+    return learning.time_drift(_events(spark, sf_dir), ["event_type"], "us", "value").select("event_id", "gain")
+
+
+@query()
+def unwrap_running(spark, sf_dir):
+    from pulseloom.operators import learning
+
+    e = _t(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return learning.unwrap_running(e, ["user_id"], ["event_id"], "value", 100.0, "flat")
+
+
+@query("""WITH x AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+d AS (SELECT a.user_id, abs(a.value - b.value) AS d, a.n FROM x a JOIN x b ON a.user_id = b.user_id AND a.k < b.k),
+r AS (SELECT user_id, d, n, row_number() OVER (PARTITION BY user_id ORDER BY d) AS k FROM d) SELECT user_id, round(d, 6) AS q FROM r WHERE k = (n // 2 + 1) * (n // 2) // 2""")
+def q_scale(spark, sf_dir):
+    from pulseloom.operators import learning
+
+    return learning.q_scale(_t(spark, sf_dir, "events"), ["user_id"], "value").withColumn("q", F.round("q", 6))
+
+
+@query()
+def laplace_entropy(spark, sf_dir):
+    from pulseloom.operators import learning
+
+    return learning.laplace_entropy(_t(spark, sf_dir, "events"), ["user_id"], "value", 5.0)
+
+
+@query()
+def line_fits(spark, sf_dir):
+    from pulseloom.operators import learning
+
+    return learning.line_fits(_t(spark, sf_dir, "events"), ["event_type"], "value", 100.0, 90.0, 2.0)
+
+
+@query()
+def prominent_peaks(spark, sf_dir):
+    from pulseloom.operators import learning
+
+    return learning.prominent_peaks(histograms.histogram(_t(spark, sf_dir, "events"), "value", 0.0, 5.0, 100, ["event_type"]), ["event_type"], 2, 3)
+
+
+@query("""WITH k AS (SELECT event_type, min(value) AS x0, max(value) AS x1 FROM events GROUP BY event_type)
+SELECT event_id, round(10.0 + (value - x0) * (30.0 - 10.0) / (x1 - x0), 6) AS energy FROM events JOIN k USING (event_type)""")
+def two_point_calibration(spark, sf_dir):
+    from pulseloom.operators import learning
+
+    e = _t(spark, sf_dir, "events")
+    ends = e.groupBy("event_type").agg(F.min("value").alias("x0"), F.max("value").alias("x1"))
+    knots = ends.select("event_type", F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(10.0).alias("y")), F.struct(F.col("x1").alias("x"), F.lit(30.0).alias("y")))).alias("k")).select("event_type", "k.x", "k.y")
+    return learning.spline_applied(e, learning.natural_spline(knots, ["event_type"]), ["event_type"], "value", "energy").select("event_id", F.round("energy", 6).alias("energy"))
+
+
+@query("""WITH m AS (SELECT user_id, median(event_id % 97) AS o FROM events WHERE value > 50 GROUP BY user_id)
+SELECT event_id, round(2 * (value * (1 + 0.002 * ((event_id % 97) - o))), 7) AS twice FROM events LEFT JOIN m USING (user_id)""")
+def recipe_replay(spark, sf_dir):
+    from pulseloom.plans.recipe import Recipe, Step
+
+    e = _t(spark, sf_dir, "events").select("user_id", "event_id", "value", (F.col("event_id") % 97).alias("ind"))
+    _, recipe = Recipe(("user_id",)).then(e, Step({"dc": "value * (1 + 0.002 * (ind - off))"}, ("value", "ind"), {"off": ("median", "ind")}, "value > 50"))
+    _, recipe = recipe.then(recipe.replay(e), Step({"twice": "2 * dc"}, ("dc",)))
+    return recipe.trimmed(["twice"]).replay(e).select("event_id", F.round("twice", 7).alias("twice"))
+
+
+@query("SELECT event_id, round(sqrt(value) + 1, 9) AS mapped FROM events")
+def column_map(spark, sf_dir):
+    @F.pandas_udf("double")
+    def f(x: pd.Series) -> pd.Series:
+        return x.pow(0.5) + 1
+
+    return _t(spark, sf_dir, "events").select("event_id", F.round(f("value"), 9).alias("mapped"))
+
+
+@query("SELECT user_id, event_id, value FROM events")
+def partitioned_round_trip(spark, sf_dir):
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    path = f"{shared}/rows-{uuid.uuid4().hex}"
+    _t(spark, sf_dir, "events").select("user_id", "event_id", "value").write.partitionBy("user_id").parquet(path)
+    return spark.read.schema("event_id long, value double, user_id long").parquet(path).select("user_id", "event_id", "value")
+
+
+@query("""SELECT date_trunc('day', ts) AS since, event_type, (CASE WHEN value = 0 THEN 0 ELSE ceil(value / 100.0) - 1 END)::INT AS bin, count(*) AS n_rows FROM events WHERE value BETWEEN 0 AND 500 GROUP BY ALL""")
+def daily_spectra(spark, sf_dir):
+    from pulseloom.streaming.replay import windowed_histogram
+
+    out = windowed_histogram(_t(spark, sf_dir, "events"), "ts", "value", 0.0, 100.0, 5, "1 day", "1 hour", ("event_type",))
+    return out.withColumn("since", F.col("since").cast("timestamp_ntz"))
