@@ -9,8 +9,9 @@ similarity 0.85 with the defaults all but 2 pairs in 100,000 do, at 0.9 all but
 Only combinations of groups that some other document has too are formed.  In each bucket of a table all
 documents are compared with the smallest one; components of the links found are contracted, and then only
 documents of one bucket that lie in different components are compared, so a large group of near copies
-costs a comparison a member, not one a pair, and no link between components is lost.  Every link is
-confirmed on the full sets.  Documents with equal sets are joined first and stand for one.
+costs a comparison a member, not one a pair, and no link between components is lost.  These comparisons
+run in tiles, on parities that bound the intersection from above; no pairs but possible links leave a tile.
+Every link is confirmed on the full sets.  Documents with equal sets are joined first and stand for one.
 
 Null and empty texts, and those of spaces alone, have empty sets and link with nothing.  Texts with fewer
 words than a shingle have their whole word sequence as their only shingle.  Rows that repeat a doc_id count as
@@ -29,6 +30,7 @@ from pulseloom.llm.tables import stored
 from pulseloom.llm.words import Words, mix, slices, split_words
 
 GROUPS, ROWS = 16, 4
+TILE = 1024
 SALT = 500  # comparisons with one document that go to one task
 _FIRST, _SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 _MINHASH = np.random.default_rng(20240301).integers(0, 1 << 31, 2 * GROUPS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -111,6 +113,40 @@ def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(brief("a"), "a").join(brief("b"), "b").where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b")
 
 
+def near_misses(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of one bucket p in different components that sizes and parities do not rule out.
+
+    rows: p, doc_id, n (set size), component, bits.  Buckets are cut into chunks and every two chunks are compared
+    in one task, as a product of matrices; only pairs that may be links leave it.
+    """
+    chunks = rows.groupBy("p").agg(F.min("component").alias("low_c"), F.max("component").alias("high_c"), F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("chunks")).where("low_c <> high_c")
+    held = rows.join(chunks.select("p", "chunks"), "p").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiles = held.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}).drop("other", "chunks")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def compare(group: pa.Table) -> pa.Table:
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        chunk, n = group.column("chunk").to_numpy(), group.column("n").to_numpy()
+        component = group.column("component").combine_chunks().dictionary_encode()
+        component = np.asarray((component.combine_chunks() if isinstance(component, pa.ChunkedArray) else component).indices)
+        bits = np.asarray(group.column("bits").combine_chunks().flatten(), np.int64).view(np.uint8).reshape(len(n), -1)
+        signs = np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1
+        x, y = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
+        apart = (signs.shape[1] - signs[x] @ signs[y].T) / 2
+        both = (n[x][:, None] + n[y][None]).astype(np.float32)
+        most = np.floor((both - apart) / 2)
+        may = (100 * most >= percent * (both - most)) & (component[x][:, None] != component[y][None])
+        if low == high:
+            may &= x[:, None] < y[None]
+        i, j = np.nonzero(may)
+        ids = group.column("doc_id")
+        return pa.table({"a": ids.take(pa.array(x[i])), "b": ids.take(pa.array(y[j]))})
+
+    found = tiles.groupBy("p", "low", "high").applyInArrow(compare, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union; an a with many pairs is dealt to many tasks."""
     parts = F.ceil(F.count("*") / F.lit(SALT)).cast("int")
@@ -150,17 +186,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     links = stored(confirmed(star.groupBy("b").agg(F.min("a").alias("a")), sets, percent), "links")
     components = contracted(links)
-    more = stored(confirmed(apart(star, components), sets, percent), "links")
+    more = stored(confirmed(possible(apart(star, components), sets, percent), sets, percent), "links")
     components = contracted(more.union(links))
-    # what is left: documents of one table that lie in different components, each pair in the first group they share
-    placed = shared.join(components, shared.doc_id == components.node, "left").select("doc_id", F.col("n_shingles").alias("n"), F.coalesce("component", "doc_id").alias("component"), "first", "second").withColumn("p", F.explode("first"))
-    mixed = placed.groupBy("p").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("p")
-    rest = placed.join(mixed, "p", "left_semi")
-    x, y = rest.alias("x"), rest.alias("y")
-    met = (F.col("x.p") == F.col("y.p")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & alike(F.col("x.n"), F.col("y.n"))
-    met &= F.arrays_overlap("x.second", "y.second") & (F.array_min(F.array_intersect("x.first", "y.first")) == F.col("x.p"))
-    pairs = x.join(y, met).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).join(star, ["a", "b"], "left_anti")
-    pairs = possible(stored(pairs, "pairs"), sets, percent)
+    # what is left: documents that share a group and lie in different components
+    placed = shared.join(components, shared.doc_id == components.node, "left").join(sets.select("doc_id", "bits"), "doc_id")
+    placed = placed.select("doc_id", F.col("n_shingles").alias("n"), F.coalesce("component", "doc_id").alias("component"), "bits", F.explode("first").alias("p"))
+    pairs = near_misses(placed, percent)
     last = stored(confirmed(stored(pairs, "pairs"), sets, percent), "links")
     components = contracted(links.union(more).union(last))
     named = classes.join(components, classes.doc_id == components.node, "left").select(*own, F.coalesce("component", "doc_id").alias("component"))
