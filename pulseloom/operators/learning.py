@@ -44,12 +44,12 @@ def _toeplitz_solve(first: np.ndarray, sides: np.ndarray) -> np.ndarray:
     return np.linalg.solve(first[np.abs(np.subtract.outer(np.arange(n), np.arange(n)))], sides)
 
 
-def optimal_filters(pulses: DataFrame, noise: DataFrame, by: Sequence[str], pulse: str, pre: int, lags: int = 1) -> DataFrame:
+def optimal_filters(pulses: DataFrame, noise: DataFrame, by: Sequence[str], pulse: str, pre: int, lags: int = 1, f_3db: float | None = None, dt: float = 1.0) -> DataFrame:
     """by, weights, variance, resolution: the filter that gives the pulse height with the least noise, blind to a constant.
 
     The average pulse and the noise autocorrelation come from aggregates over all records; each channel's two short
     rows are then solved together.  lags 5: four samples shorter, scaled so that the parabola over five shifts peaks
-    at the pulse height; lags 1: scaled to the height itself.
+    at the pulse height; lags 1: scaled to the height itself.  f_3db: a low-pass on the weights, for samples dt apart.
     """
     from pulseloom.operators.pulse_stats import autocorrelation, average_pulse
 
@@ -70,6 +70,8 @@ def optimal_filters(pulses: DataFrame, noise: DataFrame, by: Sequence[str], puls
             model = np.stack([used, np.ones(m)])
             white = _toeplitz_solve(r[:m] if r[0] else np.eye(1, m)[0], model.T)
             weights = np.linalg.solve(model @ white, white.T)[0]
+            if f_3db is not None:
+                weights = np.fft.irfft(np.fft.rfft(weights) / (1 + (np.fft.rfftfreq(m, dt) / f_3db) ** 2), m)
             if lags == 5:
                 c = np.array([signal[k : k + m] @ weights for k in range(5)])
                 p0, p1, p2 = (np.array(p) @ c / 70 for p in P.PARABOLA)
@@ -316,3 +318,12 @@ def prominent_peaks(hist: DataFrame, by: Sequence[str], smooth: int, most: int)
     peaks = s.withColumns({"_b": before, "_a": after}).where("_turn = 1").withColumn("prominence", F.col("_s") - (F.coalesce("_b", "_a", F.lit(0.0)) + F.coalesce("_a", "_b", F.lit(0.0))) / 2)
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("prominence"), "bin"))
     return peaks.withColumn("_k", rank).where(F.col("_k") <= most).select(*by, "bin", "label", "prominence")
+
+
+def multi_fits(df: DataFrame, by: Sequence[str], column: str, lines: dict[str, float], half: float, step: float) -> DataFrame:
+    """line_fits() around several named lines, one row a line and channel, with the line's energy."""
+    out = None
+    for name, energy in sorted(lines.items(), key=lambda e: e[1]):
+        one = line_fits(df, by, column, energy, half, step).withColumns({"line": F.lit(name), "energy": F.lit(float(energy))})
+        out = one if out is None else out.unionByName(one)
+    return out

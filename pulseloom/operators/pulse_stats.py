@@ -160,3 +160,53 @@ def cut_out(stream: DataFrame, triggers: DataFrame, by: Sequence[str], before: i
     piece = F.slice("samples", (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
     joined = parts.where(high > low).groupBy(*by, "trigger").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", piece.alias("s")))), lambda p: p["s"])).alias("pulse"))
     return joined.where(F.size("pulse") == before + after)
+
+
+def kink_fit(df: DataFrame, by: Sequence[str], x: str, y: str, places: Sequence[float]) -> DataFrame:
+    """by, place, level, left, right, misfit: the best of several places for two lines to meet, by one pass over the rows."""
+    tried = df.withColumn("_k", F.explode(F.array(*[F.lit(float(k)) for k in places]))).withColumn("_u", F.col(x).cast("double") - F.col("_k"))
+    fits = kink_at(tried, [*by, "_k"], "_u", y, 0.0)
+    slope = F.when(F.col("_u") < 0, F.coalesce("left", F.lit(0.0))).otherwise(F.coalesce("right", F.lit(0.0)))
+    off = F.col(y).cast("double") - F.col("level") - slope * F.col("_u")
+    scored = tried.join(fits, [*by, "_k"]).groupBy(*by, "_k").agg(F.sum(off * off).alias("misfit"), *(F.first(c).alias(c) for c in ("level", "left", "right")))
+    best = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("misfit").asc_nulls_last(), "_k"))
+    return scored.withColumn("_rn", best).where("_rn = 1").select(*by, F.col("_k").alias("place"), "level", "left", "right", "misfit")
+
+
+def arrival_model(df: DataFrame, by: Sequence[str], pulse: str, pre: int, promptness: str, size: str) -> DataFrame:
+    """by, sample, level, arrival: each sample's value and its slope against arrival time, by least squares over records.
+
+    Arrival time is promptness less its line against pulse size, mapped by a parabola that sends its 10 %, 50 % and 90 %
+    points to -0.4, 0 and 0.4; records beyond 0.45 are left out.
+    """
+    line = df.groupBy(*by).agg(F.regr_slope(promptness, size).alias("_s"), F.regr_intercept(promptness, size).alias("_i"))
+    flat = df.join(line, list(by)).withColumn("_p", F.col(promptness) - F.col("_i") - F.col("_s") * F.col(size))
+    points = flat.groupBy(*by).agg(F.percentile("_p", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("_q"))
+    a, m, b = (F.col("_q")[k] for k in range(3))
+    v = F.col("_p")
+    mapped = -0.4 * F.try_divide((v - m) * (v - b), (a - m) * (a - b)) + 0.4 * F.try_divide((v - a) * (v - m), (b - a) * (b - m))
+    mean, _ = P.baseline(F.col(pulse), pre)
+    timed = flat.join(points, list(by)).withColumn("_t", mapped).where("abs(_t) < 0.45")
+    lines = timed.select(*by, "_t", mean.alias("_m"), F.posexplode(pulse).alias("sample", "_x")).withColumn("_y", F.col("_x").cast("double") - F.col("_m"))
+    return lines.groupBy(*by, "sample").agg(F.regr_intercept("_y", "_t").alias("level"), F.regr_slope("_y", "_t").alias("arrival"))
+
+
+def stream_triggers(stream: DataFrame, by: Sequence[str], weights: Sequence[float], threshold: float) -> DataFrame:
+    """by, trigger: where a filter's output over a continuous stream first exceeds the threshold after being negative.
+
+    Chunks (by, chunk, start, samples) get the first samples of the next one, so filters cross their ends; of the output
+    only crossings leave a chunk, and the re-arming rule runs over these.
+    """
+    m = len(weights)
+    w = Window.partitionBy(*by).orderBy("chunk")
+    whole = F.concat("samples", F.coalesce(F.slice(F.lead("samples").over(w), 1, m), F.slice("samples", 1, 0)))
+    y = F.transform(F.sequence(F.lit(0), F.size("_s") - m), lambda k: P.dot(F.slice("_s", k + 1, F.lit(m)), weights))
+    out = stream.withColumn("_s", whole).where(F.size("_s") >= m).withColumn("_y", y)
+    over, below = lambda v: v > threshold, lambda v: v < 0
+    before = lambda k, f: F.when(k == 0, F.lit(False)).otherwise(F.coalesce(f(F.get("_y", k - 1)), F.lit(False)))
+    places = F.sequence(F.lit(0), F.size("_y") - 1)
+    kept = F.filter(places, lambda k: (over(F.get("_y", k)) & ~before(k, over)) | (below(F.get("_y", k)) & ~before(k, below)))
+    events = out.select(*by, "start", F.explode(F.transform(kept, lambda k: F.struct(k.alias("k"), F.get("_y", k).alias("v")))).alias("e")).select(*by, (F.col("start") + F.col("e.k")).alias("trigger"), F.col("e.v").alias("_v")).distinct()
+    from pulseloom.operators.temporal import armed_triggers
+
+    return armed_triggers(events, by, ["trigger"], "_v", threshold).select(*by, "trigger")

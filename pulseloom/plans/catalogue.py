@@ -552,3 +552,39 @@ def daily_spectra(spark, sf_dir):
 
     out = windowed_histogram(_t(spark, sf_dir, "events"), "ts", "value", 0.0, 100.0, 5, "1 day", "1 hour", ("event_type",))
     return out.withColumn("since", F.col("since").cast("timestamp_ntz"))
+
+
+@query()
+def kink_search(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("x", F.col("event_id") % 100)
+    return pulse_stats.kink_fit(e, ["event_type"], "x", "value", [20, 40, 60, 80])
+
+
+@query()
+def arrival_model(spark, sf_dir):
+    p = _pulses(spark, sf_dir).withColumns({"promptness": P.summary(F.col("pulse"), PRE)["promptness"], "size": P.excursion(F.col("pulse")).cast("double")})
+    return pulse_stats.arrival_model(p, ["label"], "pulse", PRE, "promptness", "size")
+
+
+@query(f"""WITH {_P}, s AS (SELECT vec_id * 64 + generate_subscripts(pulse, 1) - 1 AS spot, unnest(pulse)::DOUBLE AS x FROM p),
+y AS (SELECT spot, -x + lead(x) OVER (ORDER BY spot) AS y FROM s), q AS (SELECT *, sum((y < 0)::INT) OVER (ORDER BY spot) AS epoch FROM y WHERE y IS NOT NULL),
+r AS (SELECT *, sum((y > 100)::INT) OVER (PARTITION BY epoch ORDER BY spot) AS n FROM q) SELECT 1 AS one, spot AS trigger FROM r WHERE y > 100 AND n = 1""")
+def stream_triggers(spark, sf_dir):
+    p = _pulses(spark, sf_dir)
+    stream = p.select(F.lit(1).alias("one"), F.col("vec_id").alias("chunk"), (F.col("vec_id") * N).alias("start"), F.col("pulse").alias("samples"))
+    return pulse_stats.stream_triggers(stream, ["one"], [-1.0, 1.0], 100.0)
+
+
+@query()
+def multi_fits(spark, sf_dir):
+    from pulseloom.operators import learning
+
+    return learning.multi_fits(_t(spark, sf_dir, "events"), ["event_type"], "value", {"low": 100.0, "mid": 220.0}, 60.0, 2.0)
+
+
+@query()
+def phase_shift(spark, sf_dir):
+    from pulseloom.operators import learning
+
+    e = _t(spark, sf_dir, "events").withColumn("phase", (F.col("event_id") % 101) / 101 - 0.5)
+    return learning.phase_shift(e, ["event_type"], "phase", "value", [100.0, 200.0], 0.2).select("event_id", "corrected")

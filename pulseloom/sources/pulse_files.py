@@ -26,6 +26,10 @@ LJH_SCHEMA = "path string, ch_num long, row_idx long, timestamp timestamp, subfr
 HEADER_SCHEMA = "path string, ch_num long, version string, timebase double, n_samples int, n_presamples int, subframediv int, attrs map<string,string>"
 
 
+#: Writers whose files count presamples right have this in their version; other files have three more.
+EXACT_PRESAMPLES, MORE_PRESAMPLES = "DASTARD", 3
+
+
 def ljh_header(raw: bytes) -> tuple[dict[str, str], int]:
     """(fields, bytes of the header); lines are "name: value" up to the end mark."""
     fields, at = {}, 0
@@ -58,8 +62,8 @@ def ljh_layout(fields: dict[str, str]) -> tuple[np.dtype, dict]:
     n = int(_number(fields, "Total Samples"))
     kind = "2.2.0" if parts >= (2, 2) else "2.1.0" if parts == (2, 1) else "2.0.0"
     pre = int(_number(fields, "Presamples"))
-    if "DASTARD" not in fields.get("Software Version", ""):
-        pre += 3
+    if EXACT_PRESAMPLES not in fields.get("Software Version", ""):
+        pre += MORE_PRESAMPLES
     div = int(_number(fields, "Subframe divisions"))
     if div < 0:
         div = int(_number(fields, "Number of rows"))

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pulseloom.operators import histograms, learning
+from pulseloom.operators import histograms, learning, pulse_stats
 
 
 def test_drift_slope(spark):
@@ -106,3 +106,36 @@ def test_line_fit_and_peaks(spark):
     hist = histograms.histogram(spark.createDataFrame(pd.DataFrame({"ch": 1, "x": y})).withColumn("x", F.col("x")), "x", 0.0, 10.0, 800, ["ch"])
     got = [r.label for r in learning.prominent_peaks(hist, ["ch"], 2, 3).orderBy(F.desc("prominence")).collect()]
     assert [round(v / 50) * 50 for v in got] == [7000, 4000, 1000]
+
+
+def test_stream_triggers_cross_chunks(spark):
+    x = np.zeros(10_000)
+    starts = [50, 200, 300, 1023, 1024 * 2, 5000, 6000, 6233, 9950]
+    for s in starts:
+        x[s:] += np.exp(-np.arange(10_000 - s) / 50)
+    chunks = [(1, k, k * 1024, x[k * 1024 : (k + 1) * 1024].tolist()) for k in range(10)]
+    got = pulse_stats.stream_triggers(spark.createDataFrame(chunks, "ch int, chunk long, start long, samples array<double>"), ["ch"], [-1.0, 1.0], 0.01)
+    assert sorted(r.trigger for r in got.collect()) == [s - 1 for s in starts]
+
+
+def test_kink_and_arrival(spark):
+    rng = np.random.default_rng(8)
+    x = rng.uniform(0, 10, 500)
+    y = 3 + np.where(x < 4, 2 * (x - 4), -(x - 4))
+    r = pulse_stats.kink_fit(spark.createDataFrame(pd.DataFrame({"ch": 1, "x": x, "y": y})), ["ch"], "x", "y", [2, 3, 4, 5]).first()
+    assert (r.place, round(r.level, 6), round(r.left, 6), round(r.right, 6)) == (4, 3, 2, -1)
+    t = rng.uniform(-0.5, 0.5, 4000).tolist()
+    base, slope = np.r_[np.zeros(5), np.arange(10.0)], np.r_[np.zeros(5), np.ones(10)]
+    rows = [(1, (100 + base + slope * v).tolist(), 0.7 + 0.1 * v, 50.0 + k % 7) for k, v in enumerate(t)]
+    m = pulse_stats.arrival_model(spark.createDataFrame(rows, "ch int, pulse array<double>, promptness double, size double"), ["ch"], "pulse", 5, "promptness", "size").orderBy("sample").toPandas()
+    assert np.allclose(m.level, base, atol=0.05) and np.allclose(m.arrival, slope, atol=0.08)
+
+
+def test_multi_fits_give_a_gain(spark):
+    rng = np.random.default_rng(9)
+    lines = {"a": 1000.0, "b": 1500.0, "c": 2200.0}
+    x = np.concatenate([rng.normal(e * 1.002, 2, 3000) for e in lines.values()])
+    fits = learning.multi_fits(spark.createDataFrame(pd.DataFrame({"ch": 1, "x": x})), ["ch"], "x", lines, 30.0, 0.5)
+    assert fits.count() == 3
+    g = learning.gain_polynomial(fits.select("ch", F.col("peak").alias("height"), "energy"), ["ch"]).first()
+    assert g.c + g.b * 1500 + g.a * 1500**2 == pytest.approx(1.002, abs=2e-4)
