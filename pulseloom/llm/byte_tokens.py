@@ -33,45 +33,57 @@ class ByteTokens:
         self.opens = np.zeros(self.size, bool)
         for token, i in self.library.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
-        self.kept, self.memo = kept, {}
+        self.kept = kept
+        self.words = pa.array([], pa.large_string())  # words met, and their ids one after the other
+        self.pool, self.bounds = np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _missing(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of a space and each word; the words hold no space."""
-        out = {}
+    def _unknown(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a space and each word, one after the other, and their bounds; the words hold no space."""
         groups = [words[k : k + 64] for k in range(0, len(words), 64)]
+        parts, sizes = [], []
         for group, ids in zip(groups, self._library(["".join(map(" ".__add__, g)) for g in groups]), strict=True):
             at = np.append(np.flatnonzero(self.opens[ids]), len(ids))
-            if len(at) != len(group) + 1:
-                out.update((s, i.tobytes()) for s, i in zip(group, self._library([f" {g}" for g in group]), strict=True))
-                continue
-            raw, at = ids.tobytes(), (at * self.dtype.itemsize).tolist()
-            out.update(zip(group, [raw[x:y] for x, y in zip(at, at[1:], strict=False)], strict=True))
-        return out
+            if len(at) == len(group) + 1:
+                parts.append(ids)
+                sizes.append(np.diff(at))
+            else:
+                apart = self._library([f" {g}" for g in group])
+                parts += apart
+                sizes.append(np.array([len(i) for i in apart]))
+        ids = np.concatenate(parts) if parts else np.zeros(0, self.dtype)
+        return ids, np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64) if sizes else np.zeros(1, np.int64)
 
     def _apart(self, texts: list[str]) -> list[np.ndarray]:
         """Texts whose spaces all stand alone, as words."""
         split = pa.compute.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = split.flatten().dictionary_encode()
-        words, code, bounds = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy().astype(np.int64)
-        memo = self.memo
-        fresh = self._missing([w for w in words if w not in memo])
-        if len(memo) < self.kept:
-            memo.update(fresh)
-        values = [memo[w] if w in memo else fresh[w] for w in words]
-        heads = coded.dictionary.take(pa.array(code[bounds[:-1]])).to_pylist()  # these have no space before them
-        alone = sorted(set(heads))
-        first = {w: ids.tobytes() for w, ids in zip(alone, self._library(alone), strict=True)}
-        code[bounds[:-1]] = len(values) + np.arange(len(texts))
-        values += [first[w] for w in heads]
-        pool = np.frombuffer(b"".join(values), self.dtype)
-        size = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+        words, code, bounds = coded.dictionary, coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy().astype(np.int64)
+        known = pa.compute.index_in(words, value_set=self.words)
+        new = words.filter(known.is_null())
+        fresh, ends = self._unknown(new.to_pylist())
+        heads = words.take(pa.array(code[bounds[:-1]])).dictionary_encode()  # these have no space before them
+        alone = self._library(heads.dictionary.to_pylist())
+        # all ids there are: of words met, of new ones, and of first words
+        pool = np.concatenate([self.pool, fresh, *alone])
+        place = np.asarray(known.fill_null(-1), np.int64)
+        start, size = self.bounds[place], np.diff(self.bounds, append=0)[place]
+        missing = np.flatnonzero(place < 0)
+        start[missing], size[missing] = len(self.pool) + ends[:-1], np.diff(ends)
+        first = np.array([len(i) for i in alone], np.int64)
+        at = np.asarray(heads.indices, np.int64)
+        start = np.concatenate([start, (len(self.pool) + len(fresh) + np.cumsum(first) - first)[at]])
+        size = np.concatenate([size, first[at]])
+        code[bounds[:-1]] = len(words) + np.arange(len(texts))
+        if len(self.words) < self.kept and len(new):
+            self.words, self.bounds = pa.concat_arrays([self.words, new]), np.concatenate([self.bounds, len(self.pool) + ends[1:]])
+            self.pool = np.concatenate([self.pool, fresh])
         n = size[code]
-        ends = np.cumsum(n)
-        ids = pool[np.repeat((np.cumsum(size) - size)[code] - (ends - n), n) + np.arange(ends[-1])]
-        cuts = np.concatenate([[0], ends])[bounds]
+        total = np.cumsum(n)
+        ids = pool[np.repeat(start[code] - (total - n), n) + np.arange(total[-1])]
+        cuts = np.concatenate([[0], total])[bounds]
         return [ids[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

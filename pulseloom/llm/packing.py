@@ -79,7 +79,7 @@ def token_pieces(docs: DataFrame, vocab: str, window: int = 1024, end_id: int =
         own = byte_tokens(vocab)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
-            for low, high in slices(texts, 12 << 20):
+            for low, high in slices(texts, 8 << 20):
                 row, start, length, crc, total = [], [], [], [], []
                 for k, ids in enumerate(own.encode([t or "" for t in texts.slice(low, high - low).to_pylist()]), low):
                     ids = np.append(ids, np.array([end_id], ids.dtype))

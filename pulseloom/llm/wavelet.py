@@ -144,7 +144,7 @@ def write_tokens(docs: DataFrame, vocab: str, path: str, end_id: int = 0, block:
         held, parts, size, k = [], [], 0, 0
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for low, high in slices(texts, 12 << 20):
+            for low, high in slices(texts, 8 << 20):
                 for doc, ids in zip(doc_ids[low:high], own.encode([t or "" for t in texts.slice(low, high - low).to_pylist()]), strict=True):
                     if size and size + len(ids) + 1 > block:
                         yield _row(shard, k, bits, held, parts)
