@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
 
     def count(batches):
         for batch in batches:
-            for low, high in slices(batch.column("text")):
+            for low, high in slices(batch.column("text"), 1 << 20):
                 label = batch.column("label").slice(low, high - low).to_numpy()
                 row, found = terms(batch.column("text").slice(low, high - low))
                 term, at = np.unique(found, return_inverse=True)
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
 
     def fired(batches):
         for batch in batches:
-            for low, high in slices(batch.column("text")):
+            for low, high in slices(batch.column("text"), 1 << 20):
                 row, found = terms(batch.column("text").slice(low, high - low), known)
                 ends = np.searchsorted(row, np.arange(high - low + 1))
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.searchsorted(known, found), pa.int32()))], ["label", "terms"])
@@ -189,7 +189,7 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> Data
 
     def run(batches):
         for batch in batches:
-            for low, high in slices(batch.column("text")):
+            for low, high in slices(batch.column("text"), 1 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(scorer(batch.column("text").slice(low, high - low)))], ["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
@@ -201,7 +201,7 @@ def keep_clean(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) ->
 
     def run(batches):
         for batch in batches:
-            for low, high in slices(batch.column("text")):
+            for low, high in slices(batch.column("text"), 1 << 20):
                 part = batch.slice(low, high - low)
                 yield part.filter(pa.array(scorer(part.column("text")) < threshold))
 
