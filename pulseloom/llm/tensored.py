@@ -176,8 +176,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     star = stored(tables.join(least, "bucket").where((F.col("a") != F.col("doc_id")) & alike(F.col("n"), F.col("m"))).select("a", F.col("doc_id").alias("b")).distinct(), "star")
     sets = stored(sets_of(docs.join(shared.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
 
-    def contracted(links: DataFrame) -> DataFrame:
-        return stored(connected_components(links), "components")
+    def joined(components: DataFrame, links: DataFrame) -> DataFrame:
+        """The components with more links between them."""
+        if links.isEmpty():
+            return components
+        return stored(connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "components")
 
     def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
         """Those pairs whose ends lie in different components."""
@@ -185,15 +188,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
     links = stored(confirmed(star.groupBy("b").agg(F.min("a").alias("a")), sets, percent), "links")
-    components = contracted(links)
+    components = stored(connected_components(links), "components")
     more = stored(confirmed(possible(apart(star, components), sets, percent), sets, percent), "links")
-    components = contracted(more.union(links))
+    components = joined(components, more)
     # what is left: documents that share a group and lie in different components
     placed = shared.join(components, shared.doc_id == components.node, "left").join(sets.select("doc_id", "bits"), "doc_id")
     placed = placed.select("doc_id", F.col("n_shingles").alias("n"), F.coalesce("component", "doc_id").alias("component"), "bits", F.explode("first").alias("p"))
     pairs = near_misses(placed, percent)
     last = stored(confirmed(stored(pairs, "pairs"), sets, percent), "links")
-    components = contracted(links.union(more).union(last))
+    components = joined(components, last)
     named = classes.join(components, classes.doc_id == components.node, "left").select(*own, F.coalesce("component", "doc_id").alias("component"))
     out = signed.select("doc_id", *own).join(named, own, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
