@@ -107,7 +107,7 @@ class LabelModel:
         return model, q
 
 
-def _linear(x: np.ndarray, target: np.ndarray, centre: np.ndarray, ridge: float = 3e-4, steps: int = 12) -> tuple[np.ndarray, float]:
+def _linear(x: np.ndarray, target: np.ndarray, centre: np.ndarray, ridge: float = 1e-4, steps: int = 12) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on soft labels, by Newton's method; the ridge draws weights to `centre`."""
     x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
     centre = np.append(centre, 0)
