@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions import pulses as P
 
+BLOCK = 64  # lowest heights whose combinations one row scores
+
 
 def average_pulse(df: DataFrame, by: Sequence[str], pulse: str, pre: int) -> DataFrame:
     """by, sample, level: mean record less its mean before the trigger.  Samples are summed map-side; no record is shuffled."""
@@ -134,13 +138,38 @@ def ranked_assignments(lines: DataFrame, peaks: DataFrame, curvature: float = 30
 
 
 def best_combination(lines: Sequence[float], peaks: DataFrame, by: Sequence[str]) -> DataFrame:
-    """by, h0, h1, h2, rms: the three of each channel's peak heights whose middle one lies best on the line through the outer ones."""
-    a, b, c = (peaks.select(*by, F.col("height").alias(f"h{k}")) for k in range(3))
-    trios = a.join(b, list(by)).where("h0 < h1").join(c, list(by)).where("h1 < h2")
-    guess = lines[0] + (F.col("h1") - F.col("h0")) / (F.col("h2") - F.col("h0")) * (lines[2] - lines[0])
-    scored = trios.withColumn("rms", F.abs(guess - lines[1]))
-    best = F.row_number().over(Window.partitionBy(*by).orderBy("rms", "h0", "h1", "h2"))
-    return scored.withColumn("_rn", best).where("_rn = 1").drop("_rn")
+    """by, h0, h1, h2, rms: the three of each channel's peak heights whose middle one lies best on the line through the outer ones.
+
+    All heights of a channel are tried.  For given outer heights the guess rises with the middle one, so only the heights
+    about the ideal place are scored: the work goes with the square of a channel's heights, and is dealt out by the
+    lowest height in blocks.  Channels with fewer than three heights have no row.
+    """
+    known = peaks.where(F.col("height").isNotNull()).dropna(subset=list(by))
+    sorted_ = known.groupBy(*by).agg(F.array_sort(F.collect_set(F.col("height").cast("double"))).alias("_h")).where(F.size("_h") > 2)
+    blocks = sorted_.withColumn("_i", F.explode(F.sequence(F.lit(0), F.size("_h") - 3, F.lit(BLOCK)))).repartition(*by, "_i")
+    low, middle, high = (float(x) for x in lines)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for h, first in zip(batch.column("_h"), batch.column("_i").to_pylist(), strict=True):
+                h, tried = h.values.to_numpy(), []
+                for i in range(first, min(first + BLOCK, len(h) - 2)):
+                    k = np.arange(i + 2, len(h))
+                    ideal = np.searchsorted(h, h[i] + (middle - low) / (high - low) * (h[k] - h[i]))
+                    # two on either side, as the ideal place is rounded
+                    j = np.clip(ideal + np.arange(-2, 2)[:, None], i + 1, k - 1)
+                    rms = np.abs(low + (h[j] - h[i]) / (h[k] - h[i]) * (high - low) - middle)
+                    at = np.flatnonzero(rms == rms.min())
+                    tried += [(rms.flat[x], h[i], h[j].flat[x], h[k[x % len(k)]]) for x in at]
+                found.append(min(tried))
+            best = np.array(found).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), *(pa.array(best[:, c]) for c in (1, 2, 3, 0))], [*by, "h0", "h1", "h2", "rms"])
+
+    kinds = ", ".join(f"`{c}` {peaks.schema[c].dataType.simpleString()}" for c in by)
+    scored = blocks.mapInArrow(run, f"{kinds}, h0 double, h1 double, h2 double, rms double")
+    best = F.min(F.struct("rms", "h0", "h1", "h2")).alias("_b")
+    return scored.groupBy(*by).agg(best).select(*by, "_b.h0", "_b.h1", "_b.h2", "_b.rms")
 
 
 def transmission(layers: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -385,6 +385,15 @@ def combinatoric_assignment(spark, sf_dir):
     return pulse_stats.best_combination([1000.0, 1300.0, 1900.0], peaks, ["p_size"]).withColumn("rms", F.round("rms", 6))
 
 
+@query("""WITH h AS (SELECT DISTINCT p_size, p_retailprice AS h FROM part),
+t AS (SELECT a.p_size, a.h AS h0, b.h AS h1, c.h AS h2, abs(1000.0 + (b.h - a.h) / (c.h - a.h) * 900.0 - 1300.0) AS rms FROM h a JOIN h b ON a.p_size = b.p_size AND a.h < b.h JOIN h c ON a.p_size = c.p_size AND b.h < c.h)
+SELECT p_size, h0, h1, h2, round(rms, 6) AS rms FROM t QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY rms, h0, h1, h2) = 1""")
+def combinatoric_assignment_all(spark, sf_dir):
+    """combinatoric_assignment over all channels and all of their heights."""
+    peaks = _t(spark, sf_dir, "part").select("p_size", F.col("p_retailprice").alias("height"))
+    return pulse_stats.best_combination([1000.0, 1300.0, 1900.0], peaks, ["p_size"]).withColumn("rms", F.round("rms", 6))
+
+
 @query("""WITH c AS (SELECT (CASE WHEN l_extendedprice = 0 THEN 0 ELSE ceil(l_extendedprice / 500.0) - 1 END)::INT AS bin, count(*) AS n FROM lineitem WHERE l_extendedprice BETWEEN 0 AND 100000 GROUP BY 1),
 h AS (SELECT b::INT AS bin, (b + 1.0::DOUBLE) * 500.0 AS label, coalesce(n, 0)::BIGINT AS n_rows FROM range(200) t(b) LEFT JOIN c ON c.bin = b), s AS (SELECT *, lag(n_rows) OVER (ORDER BY bin) AS l, lead(n_rows) OVER (ORDER BY bin) AS r FROM h)
 SELECT bin, label, n_rows FROM s WHERE n_rows > l AND n_rows > r""")

@@ -139,3 +139,22 @@ def test_multi_fits_give_a_gain(spark):
     assert fits.count() == 3
     g = learning.gain_polynomial(fits.select("ch", F.col("peak").alias("height"), "energy"), ["ch"]).first()
     assert g.c + g.b * 1500 + g.a * 1500**2 == pytest.approx(1.002, abs=2e-4)
+
+
+def test_best_combination_takes_every_channel_and_height(spark):
+    from itertools import combinations
+
+    from pulseloom.plans import catalogue
+
+    at = "/root/testdata/sf0.01"
+    held = spark.read.parquet(f"{at}/part.parquet").toPandas().groupby("p_size").p_retailprice
+    want = {c: min((abs(1000 + (b - a) / (d - a) * 900 - 1300), a, b, d) for a, b, d in combinations(sorted(set(h)), 3)) for c, h in held}
+    got = {r.p_size: (r.h0, r.h1, r.h2) for r in catalogue.QUERIES["combinatoric_assignment_all"](spark, at).collect()}
+    assert got == {c: w[1:] for c, w in want.items()} and set(got) == set(range(1, 51))
+    # more heights than a block, the best among the lowest; and too few
+    rng = np.random.default_rng(10)
+    heights = np.unique(np.round(rng.uniform(900, 1000, 150), 3)).tolist()
+    rows = [(1, h) for h in heights] + [(2, 5.0), (2, 6.0), (2, 6.0), (3, None)]
+    got = pulse_stats.best_combination([1000.0, 1300.0, 1900.0], spark.createDataFrame(rows, "ch int, height double"), ["ch"]).collect()
+    best = min((abs(1000 + (b - a) / (d - a) * 900 - 1300), a, b, d) for a, b, d in combinations(heights, 3))
+    assert [(r.ch, r.rms, r.h0, r.h1, r.h2) for r in got] == [(1, *best)]
