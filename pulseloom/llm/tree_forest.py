@@ -5,11 +5,12 @@ sample, and vectors close to a threshold go to both sides.  Every vector is then
 trees, and the vectors of a leaf are compared exactly, in double precision, in tiles of bounded size.  A pair
 that meets in several leaves counts in the first of them alone, which both vectors' lists of leaves tell, so
 no pairs leave a tile: only each vector's number of new links, and links enough to join the tile's components.
-Equal vectors are joined first and stand for one.
+Equal vectors are joined first and stand for one.  Vectors of each width have a forest of their own; those of
+different widths never link.
 
-Vectors that are null, empty or zero, hold null or non-finite components, or whose width is not the commonest
-one, link with nothing.  Rows that repeat an id count as vectors of their own in n_links.  An empty table gives
-an empty result; other columns are ignored.
+Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing.  Rows that
+repeat an id count as vectors of their own in n_links.  An empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -90,45 +91,55 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
     fit = rows.where(usable("x") & F.exists("x", lambda v: v != 0) & F.col("id").isNotNull())
-    widest = fit.groupBy(F.size("x").alias("width")).count().orderBy(F.desc("count"), "width").first()
     out = [F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")]
-    if widest is None:
-        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")).select(*out)
-    width = widest["width"]
-    fit = fit.where(F.size("x") == width).withColumn("x", F.transform("x", lambda v: F.when(v == 0, F.lit(0.0)).otherwise(v)))
+    fit = fit.withColumn("x", F.transform("x", lambda v: F.when(v == 0, F.lit(0.0)).otherwise(v)))
     lone = stored(fit.groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "vectors")
-    n = lone.count()
-    depth = max(0, int(np.ceil(np.log2(n / LEAF)))) if n else 0
-    held = lone.select("x").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / n)) + 1).limit(2 * SAMPLE).toArrow().column("x").combine_chunks()
-    sample = _matrix(held, width)
-    sample = sample[np.lexsort(sample.T[:3])]
-    trees = [Tree(_SEED + t, min(depth, 12), sample) for t in range(TREES)]
+    counts = {r["width"]: r["count"] for r in lone.groupBy(F.size("x").alias("width")).count().collect()}
+    if not counts:
+        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")).select(*out)
+
+    def forest(width: int, n: int) -> list[Tree]:
+        depth = max(0, int(np.ceil(np.log2(n / LEAF))))
+        if not depth:  # one leaf holds all
+            return [Tree(_SEED, 0, np.zeros((0, width)))]
+        held = lone.select("x").where((F.size("x") == width) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / n)) + 1)).limit(2 * SAMPLE).toArrow().column("x").combine_chunks()
+        sample = _matrix(held, width)
+        sample = sample[np.lexsort(sample.T[:3])]
+        return [Tree(_SEED + t, min(depth, 12), sample) for t in range(TREES)]
+
+    forests = {width: forest(width, n) for width, n in counts.items()}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column("x"), width)
-            places = [[[] for _ in trees] for _ in range(len(x))]
-            flat = []
-            for t, tree in enumerate(trees):
-                for r, leaf in zip(*(v.tolist() for v in tree.leaves(x, SPILL)), strict=True):
-                    places[r][t].append(leaf)
-                    flat.append((r, t, leaf))
-            r, t, leaf = (np.array(v) for v in zip(*flat, strict=True)) if flat else (np.zeros(0, np.int64),) * 3
-            r_ = pa.array(r)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(t, pa.int32()), pa.array(leaf, pa.int64()), batch.column("id").take(r_), batch.column("weight").take(r_), batch.column("x").take(r_), pa.array(places, pa.list_(pa.list_(pa.int64()))).take(r_)],
-                ["tree", "leaf", "id", "weight", "x", "leaves"],
-            )
-
-    dealt = lone.select("id", "weight", "x").mapInArrow(deal, "tree int, leaf long, id long, weight long, x array<double>, leaves array<array<long>>")
+        for mixed in batches:
+            widths = mixed.column("x").value_lengths().to_numpy()
+            for width in np.unique(widths).tolist():
+                yield dealt_of(mixed.take(pa.array(np.flatnonzero(widths == width))), width)
+
+    def dealt_of(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
+        trees = forests[width]
+        x = _matrix(batch.column("x"), width)
+        places = [[[] for _ in trees] for _ in range(len(x))]
+        flat = []
+        for t, tree in enumerate(trees):
+            for r, leaf in zip(*(v.tolist() for v in tree.leaves(x, SPILL)), strict=True):
+                places[r][t].append(leaf)
+                flat.append((r, t, leaf))
+        r, t, leaf = (np.array(v) for v in zip(*flat, strict=True)) if flat else (np.zeros(0, np.int64),) * 3
+        r_ = pa.array(r)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(r), width), pa.int32()), pa.array(t, pa.int32()), pa.array(leaf, pa.int64()), batch.column("id").take(r_), batch.column("weight").take(r_), batch.column("x").take(r_), pa.array(places, pa.list_(pa.list_(pa.int64()))).take(r_)],
+            ["width", "tree", "leaf", "id", "weight", "x", "leaves"],
+        )
+
+    dealt = lone.select("id", "weight", "x").mapInArrow(deal, "width int, tree int, leaf long, id long, weight long, x array<double>, leaves array<array<long>>")
     # leaves that came out large, as groups of alike vectors do, are cut into chunks, and all pairs of chunks compared
-    chunks = dealt.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("chunks"))
-    dealt = dealt.join(chunks, ["tree", "leaf"]).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
+    chunks = dealt.groupBy("width", "tree", "leaf").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("chunks"))
+    dealt = dealt.join(chunks, ["width", "tree", "leaf"]).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     tiles = dealt.withColumn("other", other).withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
 
     def compare(group: pa.Table) -> pa.Table:
-        tree, leaf = group.column("tree")[0].as_py(), group.column("leaf")[0].as_py()
+        width, tree, leaf = (group.column(c)[0].as_py() for c in ("width", "tree", "leaf"))
         low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
         group = group.sort_by("id")
         chunk = group.column("chunk").to_numpy()
@@ -163,11 +174,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
         seen = np.unique(np.concatenate([a, b]))
         return pa.table({"id": ids[seen], "links": count[seen], "to": ids[root[seen]]})
 
-    found = stored(tiles.groupBy("tree", "leaf", "low", "high").applyInArrow(compare, "id long, links long, to long"), "links")
+    found = stored(tiles.groupBy("width", "tree", "leaf", "low", "high").applyInArrow(compare, "id long, links long, to long"), "links")
     components = connected_components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     classes = lone.join(links, "id", "left").join(components.withColumnRenamed("node", "id"), "id", "left")
     classes = classes.select("x", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     placed = fit.join(classes, "x").select("id", "n_links", "component_id")
-    rest = rows.where(~(usable("x") & F.exists("x", lambda v: v != 0) & F.col("id").isNotNull() & (F.size("x") == width)) | F.col("x").isNull() | F.col("id").isNull())
+    rest = rows.where(~(usable("x") & F.exists("x", lambda v: v != 0) & F.col("id").isNotNull()) | F.col("x").isNull() | F.col("id").isNull())
     return placed.union(rest.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))).select(*out)

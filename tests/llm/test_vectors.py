@@ -36,6 +36,27 @@ def test_equals_brute_force(spark, monkeypatch, leaf, tile):
     assert sorted(map(tuple, near_vectors(df).collect())) == brute_force(rows, 0.95)
 
 
+@pytest.mark.parametrize("leaf,tile", [(1500, 1024), (40, 16)])
+def test_every_width_is_compared(spark, monkeypatch, leaf, tile):
+    monkeypatch.setattr(tree_forest, "LEAF", leaf)
+    monkeypatch.setattr(tree_forest, "TILE", tile)
+    rng = np.random.default_rng(5)
+    rows = []
+    for width, groups in ((16, [1] * 150 + [2, 3, 50]), (12, [1] * 80 + [2, 2, 30]), (2, [1, 2])):
+        for size in groups:
+            base = rng.standard_normal(width)
+            rows += [(base + 0.02 * rng.standard_normal(width)).tolist() for _ in range(size)]
+    rows.append(rows[-1])
+    rows += [[1.0] * 16, [1.0] * 12, [1.0] * 12, [0.0] * 12]
+    rows = [(k, v) for k, v in enumerate(rows[i] for i in rng.permutation(len(rows)))]
+    want = []
+    for width in (16, 12, 2):
+        want += brute_force([r for r in rows if len(r[1]) == width], 0.95)
+    assert sum(n > 0 for k, n, _, _ in want if len(rows[k][1]) < 16) > 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, near_vectors(df).collect())) == sorted(want)
+
+
 def test_without_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert near_vectors(df).count() == 0
