@@ -3,8 +3,9 @@
 Every document (ids, then the end id) is first cut into full windows, which are sequences of their own.
 The remainders are packed best fit, decreasing: longest first, each into the open window with the least
 room that still holds it; a segment tree over remaining room finds that window.  Pieces are dealt to
-shards by a hash of (doc_id, start), as many as the session has shuffle partitions, and each shard is
-packed on its own; only lengths and checksums travel, not ids.
+shards by a hash of (doc_id, start), and each shard is packed on its own; only lengths and checksums travel,
+not ids.  There are as many shards as remainders fill SHARD windows, and at most as many as the session has
+shuffle partitions, so that the part-empty windows at the end of each shard are few beside the rest.
 
 Null text counts as empty and gives one piece with the end id.  Repeated rows are packed as often as they
 come.  An empty table gives no pieces.  Other columns are ignored.
@@ -21,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseloom.llm.byte_tokens import byte_tokens, crc32
-from pulseloom.llm.tables import partitions
+from pulseloom.llm.tables import partitions, stored
 from pulseloom.llm.words import slices
 
+SHARD = 1000  # windows that a shard's remainders fill at least, if there is more than one shard
+
 
 class RoomTree:
     """Open windows by remaining room, under a segment tree whose nodes count the windows below."""
@@ -98,8 +101,11 @@ def token_pieces(docs: DataFrame, vocab: str, window: int = 1024, end_id: int =
 
 def pack(pieces: DataFrame, window: int = 1024) -> DataFrame:
     """Adds sequence_id, offset and padded_to (the sequence's length with padding: window, or its own length at a power of two)."""
-    shards = partitions(pieces.sparkSession)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    pieces = stored(pieces.select(*names), "pieces")
+    left = pieces.where(F.col("length") < window).agg(F.sum("length")).first()[0] or 0
+    shards = max(1, min(partitions(pieces.sparkSession), left // (SHARD * window)))
+    shard = F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -115,7 +121,7 @@ def pack(pieces: DataFrame, window: int = 1024) -> DataFrame:
         yield from part.to_batches(max_chunksize=10_000)
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return pieces.select(*names).repartition(shards, F.col("doc_id"), F.col("start")).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long")
+    return pieces.repartitionById(shards, shard).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long")
 
 
 def pack_documents(docs: DataFrame, vocab: str, window: int = 1024, end_id: int = 0) -> DataFrame:

@@ -134,3 +134,28 @@ def test_packing(spark, odd_documents, no_documents):
         for r in pieces[d.doc_id]:
             assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
     assert packing.pack_documents(no_documents, VOCAB).count() == 0
+
+
+def test_packing_pads_little_over_many_partitions(spark):
+    docs = spark.createDataFrame([(k, "lamp stone " * (3 + k % 40)) for k in range(300)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        rows = packing.pack_documents(docs, VOCAB).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.doc_id for r in rows} == set(range(300))
+    n, tokens = len({r.sequence_id for r in rows}), sum(r.length for r in rows)
+    assert n <= -(-tokens // 1024) + 1
+
+
+def test_packing_in_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 2)
+    docs = spark.createDataFrame([(k, "lamp stone " * (3 + k % 40)) for k in range(300)], "doc_id long, text string")
+    held = defaultdict(list)
+    for r in packing.pack_documents(docs, VOCAB).collect():
+        held[r.sequence_id].append((r.offset, r.length))
+    assert sum(map(len, held.values())) == 300 and len({s % 4 for s in held}) > 1
+    for parts in held.values():
+        ends = [0, *(a + b for a, b in sorted(parts))]
+        assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 1024
