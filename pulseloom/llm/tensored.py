@@ -3,8 +3,9 @@
 A document's set holds the hashes (64 bits) of its distinct shingles of lower-case words.  Two collections
 of `groups` groups, each of `rows` minhashes, are computed, 2 * groups * rows minhashes in all; a table key
 combines one group of the first with one of the second, which gives groups * groups tables of 2 * rows
-minhashes each.  Two documents share a table exactly if they agree in a group of both collections: at
-similarity 0.85 with the defaults all but 2 pairs in 100,000 do, at 0.9 all but 1 in 10 million.
+minhashes each.  Two documents share a table exactly if they agree in a group of both collections.  The number
+of groups follows from the threshold (16 for 0.85, 22 for 0.8): all but 2 pairs in 100,000 at the threshold do,
+and of more similar pairs all but fewer.
 
 Only combinations of groups that some other document has too are formed.  In each bucket of a table all
 documents are compared with the smallest one; components of the links found are contracted, and then only
@@ -20,6 +21,8 @@ one document.  Empty tables give empty results.  Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,11 +32,17 @@ from pulseloom.llm.components import connected_components
 from pulseloom.llm.tables import stored
 from pulseloom.llm.words import Words, mix, slices, split_words
 
-GROUPS, ROWS = 16, 4
+GROUPS, ROWS = 16, 4  # groups at least
+MISSED = 1e-5  # of pairs at the threshold, by the groups of one collection
 TILE = 1024
 SALT = 500  # comparisons with one document that go to one task
 _FIRST, _SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
-_MINHASH = np.random.default_rng(20240301).integers(0, 1 << 31, 2 * GROUPS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def groups_for(percent: int) -> int:
+    """Groups of a collection in all of which a pair at the threshold differs with probability MISSED at most."""
+    same = (percent / 100) ** ROWS
+    return GROUPS if same >= 1 else max(GROUPS, math.ceil(math.log(MISSED) / math.log1p(-same)))
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,20 +68,21 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     return [np.unique(values[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-def _keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _keys(sets: list[np.ndarray], groups: int) -> tuple[np.ndarray, np.ndarray]:
     """Group keys of non-empty sets for both collections: arrays of (set, group)."""
     bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])[:-1]
     values = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((2 * GROUPS, len(sets)), np.uint64)
-    for g in range(2 * GROUPS):
+    factors = np.random.default_rng(20240301).integers(0, 1 << 31, 2 * groups * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    out = np.empty((2 * groups, len(sets)), np.uint64)
+    for g in range(2 * groups):
         key = np.full(len(sets), g + 1, np.uint64)
         for r in range(ROWS):
-            key = mix(key * _SECOND + np.minimum.reduceat(values * _MINHASH[g * ROWS + r], bounds).astype(np.uint64))
+            key = mix(key * _SECOND + np.minimum.reduceat(values * factors[g * ROWS + r], bounds).astype(np.uint64))
         out[g] = key
-    return out[:GROUPS].T, out[GROUPS:].T
+    return out[:groups].T, out[groups:].T
 
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
+def signatures(docs: DataFrame, size: int, groups: int) -> DataFrame:
     """doc_id, n_shingles, one and two (128 bits that stand for the set), first and second (group keys)."""
 
     def run(batches):
@@ -81,8 +91,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 ids = batch.column("doc_id").slice(low, high - low)
                 sets = shingle_sets(batch.column("text").slice(low, high - low), size)
                 some = np.array([len(s) > 0 for s in sets])
-                first, second = _keys([s for s in sets if len(s)]) if some.any() else (np.zeros((0, GROUPS), np.uint64),) * 2
-                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * GROUPS)]), pa.int32()), pa.array(np.ascontiguousarray(k).view(np.int64).ravel())) for k in (first, second)]
+                first, second = _keys([s for s in sets if len(s)], groups) if some.any() else (np.zeros((0, groups), np.uint64),) * 2
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * groups)]), pa.int32()), pa.array(np.ascontiguousarray(k).view(np.int64).ravel())) for k in (first, second)]
                 one, two = (np.array([np.bitwise_xor.reduce(mix(s + c)) if len(s) else 0 for s in sets], np.uint64).view(np.int64) for c in (_FIRST, _SECOND))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), *lists], ["doc_id", "n_shingles", "one", "two", "first", "second"])
 
@@ -160,7 +170,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id within reach of links), kept (doc_id = component_id)."""
-    signed = stored(signatures(docs, size), "signatures")
+    signed = stored(signatures(docs, size, groups_for(percent)), "signatures")
     full = signed.where("n_shingles > 0")
     own = ["n_shingles", "one", "two"]
     classes = stored(full.groupBy(*own).agg(F.min("doc_id").alias("doc_id")), "classes")

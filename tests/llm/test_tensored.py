@@ -63,3 +63,12 @@ def test_components(spark):
     df = spark.createDataFrame([*edges, (None, 3)], "a long, b long")
     got = {r.node: r.component for r in connected_components(df).collect()}
     assert got == lowest({n for a, b in edges if a != b for n in (a, b)}, edges)
+
+
+def test_pairs_at_the_threshold_of_80_are_linked(spark):
+    rows = []
+    for k in (409, 669, 3639, 4705, 6270):  # with 16 groups none of these pairs shares a table
+        words = [f"w{k}x{i}" for i in range(40)]
+        rows += [(2 * k, " ".join(words[:36])), (2 * k + 1, " ".join(words[4:]))]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()}
+    assert got == {k: k - k % 2 for k, _ in rows}
