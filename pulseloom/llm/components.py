@@ -1,28 +1,44 @@
-"""Connected components by alternating star contractions, with every round in the shared folder."""
+"""Connected components by alternating star contractions, with every round in the shared folder.
+
+A node with more neighbours than a `HUBS`-th of the edges is a hub.  There are at most 2 * HUBS of them at any
+size, so the list of hubs is broadcast, and the joins on a hub are dealt to as many tasks as it needs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.tables import stored
+from pulseloom.llm.tables import scratch, stored
+
+HUBS = 1000
+LEAST = 64  # neighbours of a hub at least
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, grouped: DataFrame, limit: int) -> DataFrame:
+    """edges (u, v) with the column m of grouped (u, m, n); rows of a hub, one with n > limit, go to n / limit tasks."""
+    hubs = F.broadcast(grouped.where(F.col("n") > limit).select("u", F.ceil(F.col("n") / limit).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    left = edges.join(hubs, "u", "left").withColumn("part", F.pmod(F.xxhash64("v"), parts).cast("int")).drop("parts")
+    right = grouped.drop("n").join(hubs, "u", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, ["u", "part"]).drop("part")
+
+
+def _large_star(edges: DataFrame, limit: int) -> DataFrame:
     """Every neighbour above a node is linked to the smallest node around it."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    return _with_least(both.where("v > u"), least, limit).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, limit: int) -> DataFrame:
     """Every node and its neighbours below are linked to the smallest of these."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    near = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    near = _with_least(edges, least, limit).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -31,13 +47,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Edges may repeat, stand either way round, or join a node to itself; those with a null count for nothing.
     """
-    u, v = F.col(a), F.col(b)
-    now = stored(edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
-    before = _state(now)
-    while True:
-        now = stored(_small_star(_large_star(now)), "edges")
-        if (state := _state(now)) == before:
-            break
-        before = state
-    nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    with scratch(edges.sparkSession):
+        u, v = F.col(a), F.col(b)
+        now = stored(edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
+        before = _state(now)
+        while True:
+            limit = max(LEAST, before[0] // HUBS)
+            now = stored(_small_star(_large_star(now, limit).distinct(), limit), "edges")
+            if (state := _state(now)) == before:
+                break
+            before = state
+        nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return stored(nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components", outer=True)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +30,48 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that stored() writes within are deleted at the end; a result leaves by stored(..., outer=True)."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """df written once to the shared folder and read back: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
+    spark, level = df.sparkSession, 2 if outer else 1
     df.write.parquet(path := new_path(spark, name))
+    if len(_scratch) >= level:
+        _scratch[-level].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", keyed: int = 1000) -> DataFrame:
+    """left join right on keys, where right has one row a key and a few keys may hold most rows of left.
+
+    Keys that hold more than a `keyed`-th of left's rows, which are fewer than `keyed`, are joined by broadcast,
+    so that their rows stay where they are; all others by a shuffle.
+    """
+    spark = left.sparkSession
+    n = left.count()
+    held = left.groupBy(*keys).count().where(F.col("count") > max(1000, n // keyed)).select(*keys)
+    heavy = spark.createDataFrame(held.collect(), held.schema)  # fewer than `keyed` rows, as their counts sum to n at most
+    few = right.join(F.broadcast(heavy), keys, "left_semi")
+    rest = left.join(F.broadcast(heavy), keys, "left_anti").join(right, keys, how)
+    return left.join(F.broadcast(heavy), keys, "left_semi").join(F.broadcast(few), keys, how).unionByName(rest)

@@ -1,42 +1,46 @@
 """Near-duplicate documents by tensored MinHash banding.
 
-A document's set holds the hashes (64 bits) of its distinct shingles of lower-case words.  Two collections
-of `groups` groups, each of `rows` minhashes, are computed, 2 * groups * rows minhashes in all; a table key
-combines one group of the first with one of the second, which gives groups * groups tables of 2 * rows
-minhashes each.  Two documents share a table exactly if they agree in a group of both collections.  The number
-of groups follows from the threshold (16 for 0.85, 22 for 0.8): all but 2 pairs in 100,000 at the threshold do,
-and of more similar pairs all but fewer.
+A document's set holds its distinct shingles of lower-case words.  Two collections of `groups` groups, each of
+ROWS minhashes, are computed, 2 * groups * ROWS minhashes in all; a table key combines one group of the first
+with one of the second, which gives groups * groups tables of 2 * ROWS minhashes each.  Two documents share a
+table exactly if they agree in a group of both collections.  The number of groups follows from the threshold
+(16 for 0.85, 22 for 0.8): all but 2 pairs in 100,000 at the threshold do, and of more similar pairs all but fewer.
 
 Only combinations of groups that some other document has too are formed.  In each bucket of a table all
 documents are compared with the smallest one; components of the links found are contracted, and then only
-documents of one bucket that lie in different components are compared, so a large group of near copies
-costs a comparison a member, not one a pair, and no link between components is lost.  These comparisons
-run in tiles, on parities that bound the intersection from above; no pairs but possible links leave a tile.
-Every link is confirmed on the full sets.  Documents with equal sets are joined first and stand for one.
-
-Null and empty texts, and those of spaces alone, have empty sets and link with nothing.  Texts with fewer
-words than a shingle have their whole word sequence as their only shingle.  Rows that repeat a doc_id count as
-one document.  Empty tables give empty results.  Other columns are ignored.
+documents of one bucket that lie in different components are compared, in tiles: those of the bucket's largest
+component with the others alone, and only sizes that can be alike.  A large group of near copies so costs a
+comparison a member, not one a pair, and no link between components is lost.  Tiles bound an intersection from
+above by parities, as many bits as a set has shingles; no pairs but possible links leave a tile.
+
+Hashes only propose.  Every link, and every document held equal to another, is confirmed on the words
+themselves, whose full shingle sets are compared without hashing.  Texts with the same SHA-256 count as equal.
+
+Every row is a document of its own, with or without doc_id, and rows that repeat a doc_id may have different
+texts; component_id is the smallest doc_id among the rows within reach (null if none has any).  Null and empty
+texts, and those of spaces alone, have empty sets and link with nothing.  Texts with fewer words than a shingle
+have their whole word sequence as their only shingle.  Empty tables give empty results.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseloom.llm.components import connected_components
-from pulseloom.llm.tables import stored
+from pulseloom.llm.tables import scratch, skew_join, stored
 from pulseloom.llm.words import Words, mix, slices, split_words
 
 GROUPS, ROWS = 16, 4  # groups at least
 MISSED = 1e-5  # of pairs at the threshold, by the groups of one collection
-TILE = 1024
-SALT = 500  # comparisons with one document that go to one task
-_FIRST, _SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
+TILE, TILE_SHINGLES = 1024, 1 << 22  # documents and shingles of a tile's side
+TASK_SHINGLES = 200_000  # of texts that are compared with one text in one task
+_FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def groups_for(percent: int) -> int:
@@ -45,27 +49,41 @@ def groups_for(percent: int) -> int:
     return GROUPS if same >= 1 else max(GROUPS, math.ceil(math.log(MISSED) / math.log1p(-same)))
 
 
-def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds of each text's): every run of `size` words, or the whole text where it has fewer."""
-    hashes, first = words.hashes, words.first
-    n = np.diff(first)
+def _runs(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, number of words, bounds of each text's) of every shingle: `size` words, or the whole of a shorter text."""
+    n = np.diff(words.first)
     short = (n > 0) & (n < size)
     counts = np.where(short, 1, np.maximum(n - size + 1, 0))
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    start = np.arange(bounds[-1]) + np.repeat(first[:-1] - bounds[:-1], counts)
-    held = np.repeat(np.minimum(n, size), counts)
-    out = held.astype(np.uint64)
-    padded = np.append(hashes, np.zeros(size, np.uint64))
-    for k in range(size):
-        word = padded[start + k]
-        out = np.where(held > k, out * _FIRST + word, out)
-    return mix(out), bounds
+    return np.arange(bounds[-1]) + np.repeat(words.first[:-1] - bounds[:-1], counts), np.repeat(np.minimum(n, size), counts), bounds
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    values, bounds = shingles(split_words(column, lower=True), size)
-    return [np.unique(values[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    words = split_words(column, lower=True)
+    start, held, bounds = _runs(words, size)
+    hashes = np.append(words.hashes, np.zeros(size, np.uint64))
+    out = held.astype(np.uint64)
+    for k in range(size):
+        out = np.where(held > k, mix(out * _FACTOR ^ hashes[start + k]), out)
+    return [np.unique(out[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def exact_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle number) of every distinct shingle of each text; equal numbers are equal words, without hashing."""
+    words = split_words(column, lower=True)
+    start, held, bounds = _runs(words, size)
+    codes, base = np.append(words.codes + 1, np.zeros(size, np.int64)), len(words.vocabulary) + 1
+    number, bound = np.zeros(len(start), np.int64), 1
+    for k in range(size):
+        if bound * base >= 1 << 62:
+            number = np.unique(number, return_inverse=True)[1]
+            bound = int(number.max(initial=0)) + 1
+        number, bound = number * base + np.where(held > k, codes[start + k], 0), bound * base
+    number = np.unique(number, return_inverse=True)[1]
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    both = np.unique(text * (int(number.max(initial=0)) + 1) + number)
+    return np.divmod(both, int(number.max(initial=0)) + 1)
 
 
 def _keys(sets: list[np.ndarray], groups: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,136 +95,231 @@ def _keys(sets: list[np.ndarray], groups: int) -> tuple[np.ndarray, np.ndarray]:
     for g in range(2 * groups):
         key = np.full(len(sets), g + 1, np.uint64)
         for r in range(ROWS):
-            key = mix(key * _SECOND + np.minimum.reduceat(values * factors[g * ROWS + r], bounds).astype(np.uint64))
+            key = mix(key * _FACTOR + np.minimum.reduceat(values * factors[g * ROWS + r], bounds).astype(np.uint64))
         out[g] = key
     return out[:groups].T, out[groups:].T
 
 
+def mark(text: str = "text") -> Column:
+    """64 bits of a text's SHA-256; tells rows of one doc_id, or of one set digest, apart."""
+    return F.xxhash64(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+
 def signatures(docs: DataFrame, size: int, groups: int) -> DataFrame:
-    """doc_id, n_shingles, one and two (128 bits that stand for the set), first and second (group keys)."""
+    """doc_id, mark, n_shingles, one and two (a digest of the set), first and second (group keys)."""
 
     def run(batches):
         for batch in batches:
             for low, high in slices(batch.column("text"), 2 << 20):
-                ids = batch.column("doc_id").slice(low, high - low)
-                sets = shingle_sets(batch.column("text").slice(low, high - low), size)
+                part = batch.slice(low, high - low)
+                sets = shingle_sets(part.column("text"), size)
                 some = np.array([len(s) > 0 for s in sets])
                 first, second = _keys([s for s in sets if len(s)], groups) if some.any() else (np.zeros((0, groups), np.uint64),) * 2
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * groups)]), pa.int32()), pa.array(np.ascontiguousarray(k).view(np.int64).ravel())) for k in (first, second)]
-                one, two = (np.array([np.bitwise_xor.reduce(mix(s + c)) if len(s) else 0 for s in sets], np.uint64).view(np.int64) for c in (_FIRST, _SECOND))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), *lists], ["doc_id", "n_shingles", "one", "two", "first", "second"])
+                digest = np.frombuffer(b"".join(blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(np.ascontiguousarray(digest[:, k])) for k in (0, 1)), *lists], ["doc_id", "mark", "n_shingles", "one", "two", "first", "second"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, one long, two long, first array<long>, second array<long>")
+    return docs.select("doc_id", mark().alias("mark"), "text").mapInArrow(run, f"doc_id {kind}, mark long, n_shingles long, one long, two long, first array<long>, second array<long>")
 
 
-def sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, the set as array<long>, and bits: 1024 parities of the set's elements by 10 bits of their hashes."""
+def with_parities(texts: DataFrame, size: int) -> DataFrame:
+    """texts (row, n, text) with bits: parities of the set's elements by their hashes, at least as many as elements, and 1024."""
 
     def run(batches):
         for batch in batches:
             for low, high in slices(batch.column("text"), 2 << 20):
-                sets = shingle_sets(batch.column("text").slice(low, high - low), size)
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                bits = [np.packbits(np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024).astype(np.uint8) & 1).view(np.int64) for s in sets]
-                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for v in of])]), pa.int32()), pa.array(np.concatenate(of).view(np.int64) if of else flat.view(np.int64))) for of in (sets, bits)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), *lists], ["doc_id", "set", "bits"])
+                part = batch.slice(low, high - low)
+                bits = []
+                for s in shingle_sets(part.column("text"), size):
+                    width = max(1024, 1 << (len(s) - 1).bit_length()) if len(s) else 1024
+                    bits.append(np.packbits(np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1).view(np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(b) for b in bits])]), pa.int32()), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "bits"])
+
+    return texts.select("row", "n", "text").mapInArrow(run, "row long, n long, text string, bits array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set array<long>, bits array<long>")
+
+def _folded(bits: Column, n: Column) -> Column:
+    """The parities by fewer bits, as n longs; both are powers of two."""
+    parts = F.sequence(F.lit(0), (F.size(bits) / n).cast("int") - 1)
+    at = lambda i: F.aggregate(parts, F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(F.get(bits, i + k * n)))
+    return F.when(F.size(bits) == n, bits).otherwise(F.transform(F.sequence(F.lit(0), n - 1), at))
 
 
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that parities do not rule out: elements in one set only are at least as many as differing parities."""
-    brief = lambda k: sets.select(F.col("doc_id").alias(k), F.col("bits").alias(f"bits_{k}"), F.size("set").alias(f"n_{k}"))
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    brief = lambda k: sets.select(F.col("row").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"n_{k}"))
+    width = F.least(F.size("bits_a"), F.size("bits_b"))
+    apart = F.aggregate(F.zip_with(_folded(F.col("bits_a"), width), _folded(F.col("bits_b"), width), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     most = F.floor((F.col("n_a") + F.col("n_b") - apart) / 2)
     return pairs.join(brief("a"), "a").join(brief("b"), "b").where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b")
 
 
+def _unpacked(column: pa.Array) -> np.ndarray:
+    """Parities of all rows, folded to the least width among them: an array of (row, 64-bit word)."""
+    flat, size = np.asarray(column.flatten(), np.int64).view(np.uint64), np.asarray(column.value_lengths())
+    width, at = int(size.min()), np.concatenate([[0], np.cumsum(size)])
+    return np.array([np.bitwise_xor.reduce(flat[a:b].reshape(-1, width), 0) for a, b in zip(at, at[1:], strict=False)])
+
+
 def near_misses(rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of one bucket p in different components that sizes and parities do not rule out.
+    """The pairs (a, b) of one bucket in different components that sizes and parities do not rule out.
 
-    rows: p, doc_id, n (set size), component, bits.  Buckets are cut into chunks and every two chunks are compared
-    in one task, as a product of matrices; only pairs that may be links leave it.
+    rows: bucket, row, n (set size), component, bits.  A bucket's rows are cut into chunks by whether they belong
+    to its largest component, by size class (alike sizes are in one class or in neighbouring ones), and by a hash.
+    Every two chunks that may hold a link are compared in one task.
     """
-    chunks = rows.groupBy("p").agg(F.min("component").alias("low_c"), F.max("component").alias("high_c"), F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("chunks")).where("low_c <> high_c")
-    held = rows.join(chunks.select("p", "chunks"), "p").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks").cast("int"))
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiles = held.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}).drop("other", "chunks")
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    classes = rows.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / -math.log(min(percent, 99) / 100) + 1e-9).cast("int"))
+    by = classes.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("components"))
+    by = by.where("components > 1").select("bucket", "main")
+    held = classes.join(by, "bucket").withColumn("minor", (F.col("component") != F.col("main")).cast("int")).drop("main")
+    chunks = F.ceil(F.count("*") / F.lit(TILE) + F.sum("n") / F.lit(TILE_SHINGLES)).cast("int")
+    sizes = held.groupBy("bucket", "class", "minor").agg(chunks.alias("chunks"))
+    lists = sizes.groupBy("bucket").agg(F.collect_list(F.struct("class", "minor", "chunks")).alias("all"))  # a few a bucket: classes are logarithms
+    own = F.aggregate("all", F.lit(1), lambda x, c: F.when((c["class"] == F.col("class")) & (c["minor"] == F.col("minor")), c["chunks"]).otherwise(x))
+    held = held.join(lists, "bucket").withColumn("chunk", F.struct("class", "minor", F.pmod(F.xxhash64("row"), own).cast("int").alias("part")))
+    fits = F.filter("all", lambda c: (F.abs(c["class"] - F.col("class")) <= 1) & (c["minor"] + F.col("minor") > 0))
+    others = F.flatten(F.transform(fits, lambda c: F.transform(F.sequence(F.lit(0), c["chunks"] - 1), lambda k: F.struct(c["class"].alias("class"), c["minor"].alias("minor"), k.alias("part")))))
+    tiles = held.withColumn("other", F.explode(others)).select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), F.when(F.col("chunk") <= F.col("other"), 0).otherwise(1).alias("side"), "row", "n", "component", "bits")
 
     def compare(group: pa.Table) -> pa.Table:
-        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
-        chunk, n = group.column("chunk").to_numpy(), group.column("n").to_numpy()
-        component = group.column("component").combine_chunks().dictionary_encode()
-        component = np.asarray((component.combine_chunks() if isinstance(component, pa.ChunkedArray) else component).indices)
-        bits = np.asarray(group.column("bits").combine_chunks().flatten(), np.int64).view(np.uint8).reshape(len(n), -1)
-        signs = np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1
-        x, y = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
-        apart = (signs.shape[1] - signs[x] @ signs[y].T) / 2
-        both = (n[x][:, None] + n[y][None]).astype(np.float32)
-        most = np.floor((both - apart) / 2)
-        may = (100 * most >= percent * (both - most)) & (component[x][:, None] != component[y][None])
-        if low == high:
-            may &= x[:, None] < y[None]
-        i, j = np.nonzero(may)
-        ids = group.column("doc_id")
-        return pa.table({"a": ids.take(pa.array(x[i])), "b": ids.take(pa.array(y[j]))})
-
-    found = tiles.groupBy("p", "low", "high").applyInArrow(compare, f"a {kind}, b {kind}")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union; an a with many pairs is dealt to many tasks."""
-    parts = F.ceil(F.count("*") / F.lit(SALT)).cast("int")
-    many = pairs.groupBy("a").agg(parts.alias("parts"))
-    left = many.join(sets.withColumnRenamed("doc_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("set").alias("x"))
-    right = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("salt"))
-    right = right.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return right.join(left, ["a", "salt"]).where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+        side, n = group.column("side").to_numpy(), group.column("n").to_numpy()
+        component, row = group.column("component").to_numpy(), group.column("row").to_numpy()
+        bits = _unpacked(group.column("bits").combine_chunks())
+        alone = not side.any()  # a chunk with itself
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        y = x if alone else y
+        a, b = [], []
+        for i in x:
+            others = y[(component[y] != component[i]) & (100 * np.minimum(n[y], n[i]) >= percent * np.maximum(n[y], n[i]))]
+            if alone:
+                others = others[others > i]
+            if len(others):
+                apart = np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64)
+                most = (n[others] + n[i] - apart) // 2
+                others = others[100 * most >= percent * (n[others] + n[i] - most)]
+                a.append(np.full(len(others), row[i]))
+                b.append(row[others])
+        a, b = (np.concatenate(k) if k else np.zeros(0, np.int64) for k in (a, b))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return tiles.groupBy("bucket", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union of their shingles, by words; an a with many pairs is dealt to many tasks."""
+    held = pairs.join(texts.select(F.col("row").alias("b"), "n"), "b")
+    many = held.groupBy("a").agg(F.ceil(F.sum(F.col("n") + 400) / F.lit(TASK_SHINGLES)).cast("int").alias("parts"))
+    left = many.join(texts.select(F.col("row").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "text")
+    right = pairs.join(many, "a").select(F.col("a").alias("to"), "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("at")).join(texts.select(F.col("row").alias("b"), "text"), "b")
+
+    def compare(one: pa.Table, more: pa.Table) -> pa.Table:
+        if not one.num_rows or not more.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        column = pa.concat_arrays([one.column("text").chunk(0).slice(0, 1), *more.column("text").chunks])
+        text, number = exact_sets(column, size)
+        count = np.bincount(text, minlength=len(column))
+        inside = np.zeros(int(number.max(initial=0)) + 1, bool)
+        inside[number[text == 0]] = True
+        both = np.bincount(text, inside[number], len(column)).astype(np.int64)
+        linked = 100 * both >= percent * (count + count[0] - both)
+        found = more.select(["to", "b"]).filter(pa.array(linked[1:]))
+        return pa.table({"a": found.column("to"), "b": found.column("b")})
+
+    return left.groupBy("a", "part").cogroup(right.groupBy("to", "at")).applyInArrow(compare, "a long, b long")
+
+
+def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Per row: row, doc_id, mark, n_shingles, component_id, and whether it is the first row of its component."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        signed = stored(signatures(docs, size, groups_for(percent)).withColumn("row", F.monotonically_increasing_id()), "signatures")
+        full, own = signed.where("n_shingles > 0"), ["n_shingles", "one", "two"]
+        low = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("low")
+        # of rows with one text, and of texts with one set, one stands for all
+        texts = stored(full.groupBy(*own, "mark").agg(F.min("row").alias("row"), low), "texts")
+        classes = stored(texts.groupBy(*own).agg(F.min("row").alias("rep"), F.min("low").alias("low"), F.count("*").alias("texts")), "classes")
+
+        def with_text(rows: DataFrame) -> DataFrame:
+            """row, n and text of the rows asked for."""
+            asked = signed.join(rows.select("row").distinct(), "row", "left_semi").select("row", F.col("n_shingles").alias("n"), F.col("doc_id").alias("of"), F.col("mark").alias("seen"))
+            held = docs.select("doc_id", mark().alias("mark"), "text")
+            return held.join(asked, held.doc_id.eqNullSafe(F.col("of")) & (F.col("mark") == F.col("seen"))).select("row", "n", "text").dropDuplicates(["row"])
+
+        copies = stored(texts.join(classes.where("texts > 1").select(*own, "rep"), own).where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b")), "copies")
+        apart = None  # texts whose sets have another's digest, but not its words
+        if not copies.isEmpty():
+            words = stored(with_text(copies.select(F.col("a").alias("row")).union(copies.select("b"))), "words")
+            apart = stored(copies.join(confirmed(copies, words, size, 100), ["a", "b"], "left_anti").select(F.col("b").alias("row")), "apart")
+            apart = None if apart.isEmpty() else apart
+        nodes = classes.select(F.col("rep").alias("row"), "low")
+        if apart is not None:
+            nodes = nodes.union(texts.join(apart, "row", "left_semi").select("row", "low"))
+        lone = full.join(nodes.select("row"), "row", "left_semi")
+        side = lambda c, s: F.transform(c, lambda k: F.struct(F.lit(s).alias("side"), k.alias("key")))
+        keys = stored(lone.select("row", F.col("n_shingles").alias("n"), F.explode(F.concat(side("first", 0), side("second", 1))).alias("k")).select("row", "n", "k.side", "k.key"), "keys")
+        common = keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+        of = lambda s: F.collect_list(F.when(F.col("side") == s, F.col("key")))
+        shared = stored(keys.join(common, "key", "left_semi").groupBy("row", "n").agg(of(0).alias("first"), of(1).alias("second")).where("size(first) > 0 and size(second) > 0"), "shared")
+        buckets = lambda df: df.withColumn("p", F.explode("first")).withColumn("q", F.explode("second")).withColumn("bucket", F.xxhash64("p", "q")).drop("p", "q", "first", "second")
+        tables = buckets(shared)
+        least = tables.groupBy("bucket").agg(F.min(F.struct(F.col("row").alias("a"), F.col("n").alias("m"))).alias("s"), F.count("*").alias("size")).where("size > 1").select("bucket", "s.*")
+        alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+        star = stored(tables.join(least, "bucket").where((F.col("a") != F.col("row")) & alike(F.col("n"), F.col("m"))).select("a", F.col("row").alias("b")).distinct(), "star")
+        sets = stored(with_parities(with_text(shared), size), "sets")
+
+        def joined(components: DataFrame, links: DataFrame) -> DataFrame:
+            """The components with more links between them."""
+            if links.isEmpty():
+                return components
+            return connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
+
+        def between(pairs: DataFrame, components: DataFrame) -> DataFrame:
+            """Those pairs whose ends lie in different components."""
+            of = lambda k: components.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}"))
+            return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+        links = stored(confirmed(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, size, percent), "links")
+        components = connected_components(links)
+        more = stored(possible(between(star, components), sets, percent), "pairs")
+        components = joined(components, stored(confirmed(more, sets, size, percent), "links"))
+        # what is left: documents that share a table and lie in different components
+        placed = stored(shared.join(components, shared.row == components.node, "left").select("row", "n", "first", "second", F.coalesce("component", "row").alias("component")), "placed")
+        dealt = buckets(placed)
+        spans = dealt.groupBy("bucket").agg(F.min("component").alias("from"), F.max("component").alias("to"), F.count("*").alias("rows"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("one"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(20,0)")).alias("two"))
+        # buckets of the same rows are compared once
+        spans = spans.where("`from` <> `to`").groupBy("rows", "one", "two").agg(F.min("bucket").alias("bucket")).select("bucket")
+        left = dealt.join(spans, "bucket", "left_semi").join(sets.select("row", "bits"), "row")
+        pairs = stored(near_misses(left, percent), "pairs")
+        components = joined(components, stored(confirmed(pairs, sets, size, percent), "links"))
+        of_node = stored(nodes.join(components, nodes.row == components.node, "left").select("row", "low", F.coalesce("component", "row").alias("component")), "nodes")
+        first = of_node.groupBy("component").agg(F.min("low").alias("low"))
+        of_node = stored(skew_join(of_node.select("row", "component"), first, ["component"]).select(F.col("row").alias("rep"), "low"), "nodes")
+        of_class = classes.drop("low").join(of_node, "rep").select(*own, "low")
+        out = skew_join(signed.select("row", "doc_id", "mark", *own), of_class, own)
+        if apart is not None:
+            other = texts.select(*own, "mark", F.col("row").alias("rep")).join(apart.withColumnRenamed("row", "rep"), "rep", "left_semi").join(of_node, "rep").select(*own, "mark", F.col("low").alias("true_low"))
+            out = out.join(other, [*own, "mark"], "left").withColumn("low", F.coalesce("true_low", "low"))
+        found = F.col("low").isNotNull()
+        out = out.select("row", "doc_id", "mark", "n_shingles", F.when(found, F.col("low.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce(F.col("low.row") == F.col("row"), F.lit(True)).alias("first"))
+        return stored(out, "groups", outer=True)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id within reach of links), kept (doc_id = component_id)."""
-    signed = stored(signatures(docs, size, groups_for(percent)), "signatures")
-    full = signed.where("n_shingles > 0")
-    own = ["n_shingles", "one", "two"]
-    classes = stored(full.groupBy(*own).agg(F.min("doc_id").alias("doc_id")), "classes")
-    # of a group of equal sets one stands for all; a key counts if two of these have it
-    lone = full.join(classes.select("doc_id", *own), ["doc_id", *own], "left_semi").dropDuplicates(["doc_id", *own])
-    keys = stored(lone.select("doc_id", "n_shingles", F.explode(F.concat(F.transform("first", lambda k: F.struct(F.lit(0).alias("side"), k.alias("key"))), F.transform("second", lambda k: F.struct(F.lit(1).alias("side"), k.alias("key"))))).alias("k")).select("doc_id", "n_shingles", "k.side", "k.key"), "keys")
-    common = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    side = lambda s: F.collect_list(F.when(F.col("side") == s, F.col("key")))
-    shared = stored(keys.join(common, "key", "left_semi").groupBy("doc_id", "n_shingles").agg(side(0).alias("first"), side(1).alias("second")).where("size(first) > 0 and size(second) > 0"), "shared")
-    tables = shared.select("doc_id", F.col("n_shingles").alias("n"), F.explode("first").alias("p"), "second").select("doc_id", "n", "p", F.explode("second").alias("q")).select(F.xxhash64("p", "q").alias("bucket"), "doc_id", "n")
-    least = tables.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.min_by("n", "doc_id").alias("m"), F.count("*").alias("size")).where("size > 1")
-    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    star = stored(tables.join(least, "bucket").where((F.col("a") != F.col("doc_id")) & alike(F.col("n"), F.col("m"))).select("a", F.col("doc_id").alias("b")).distinct(), "star")
-    sets = stored(sets_of(docs.join(shared.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "sets")
-
-    def joined(components: DataFrame, links: DataFrame) -> DataFrame:
-        """The components with more links between them."""
-        if links.isEmpty():
-            return components
-        return stored(connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)), "components")
-
-    def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
-        """Those pairs whose ends lie in different components."""
-        of = lambda k: components.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}"))
-        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-
-    links = stored(confirmed(star.groupBy("b").agg(F.min("a").alias("a")), sets, percent), "links")
-    components = stored(connected_components(links), "components")
-    more = stored(confirmed(possible(apart(star, components), sets, percent), sets, percent), "links")
-    components = joined(components, more)
-    # what is left: documents that share a group and lie in different components
-    placed = shared.join(components, shared.doc_id == components.node, "left").join(sets.select("doc_id", "bits"), "doc_id")
-    placed = placed.select("doc_id", F.col("n_shingles").alias("n"), F.coalesce("component", "doc_id").alias("component"), "bits", F.explode("first").alias("p"))
-    pairs = near_misses(placed, percent)
-    last = stored(confirmed(stored(pairs, "pairs"), sets, percent), "links")
-    components = joined(components, last)
-    named = classes.join(components, classes.doc_id == components.node, "left").select(*own, F.coalesce("component", "doc_id").alias("component"))
-    out = signed.select("doc_id", *own).join(named, own, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component, the first by (doc_id, nulls last); rows without words all stay."""
+    found = grouped(docs, size, percent).groupBy("doc_id", "mark").agg(F.count("*").alias("rows"), F.count_if("first").alias("stay"))
+    gone = found.where("stay = 0").select(F.col("doc_id").alias("of"), F.col("mark").alias("seen"))
+    once = found.where("stay > 0 and stay < rows").select(F.col("doc_id").alias("of"), F.col("mark").alias("seen"))
+    marked = docs.withColumn("__mark", mark())
+    same = marked["doc_id"].eqNullSafe(F.col("of")) & (F.col("__mark") == F.col("seen"))
+    kept = marked.join(gone.hint("shuffle_hash"), same, "left_anti")
+    if not once.isEmpty():
+        repeated = kept.join(once.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", "__mark"])
+        kept = kept.join(once.hint("shuffle_hash"), same, "left_anti").union(repeated)
+    return kept.select(*docs.columns)

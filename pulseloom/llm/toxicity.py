@@ -42,10 +42,10 @@ def held_out(doc_id: Column) -> Column:
 
 def terms(column: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, term) pairs; only: the sorted terms to look for."""
-    words = split_words(column, True, _BETWEEN, PREFIXES)
+    words = split_words(column, True, _BETWEEN)
     row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
     rows, found = [], []
-    for h in (words.hashes & ~np.uint64(1), *words.heads):
+    for h in (words.hashes & ~np.uint64(1), *map(words.heads, PREFIXES)):
         keep = h != 0
         if only is not None:
             at = np.minimum(np.searchsorted(only, h), max(len(only) - 1, 0))

@@ -1,12 +1,16 @@
-"""Word splitting and 64-bit word hashes over Arrow text batches, vectorised with numpy.
+"""Word splitting and word digests over Arrow text batches, vectorised with numpy.
 
-A word is a maximal run of bytes other than 0x20 and 0x09-0x0D.  Texts are handled whole; the work
-arrays cover a few MB of bytes at a time, however long a text is.
+A word is a maximal run of bytes other than 0x20 and 0x09-0x0D.  Every distinct word of a batch gets a number
+(exact within the batch) and, where words of several batches must meet, a keyed 128-bit digest (BLAKE2b), which
+no arithmetic on its letters can make equal to another's.  Texts are handled whole; the work arrays cover a few
+MB of bytes at a time, however long a text is.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +21,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C17 | 3
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, np.ndarray] = {}
+_PERSON = b"words of texts"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,15 +33,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, STEP + 1)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        _powers[base] = have = np.cumprod(have, dtype=np.uint64)
-    return have[:n]
+def digests(values: list[bytes]) -> np.ndarray:
+    """A row of two 64-bit halves of the keyed digest for each value."""
+    return np.frombuffer(b"".join([blake2b(v, digest_size=16, person=_PERSON).digest() for v in values]), np.uint64).reshape(-1, 2)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -56,16 +51,31 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """Words of a batch: those of text i are first[i] .. first[i + 1]."""
+    """Words of a batch: those of text i are first[i] .. first[i + 1]; equal words have equal codes."""
 
     first: np.ndarray
-    hashes: np.ndarray
+    codes: np.ndarray
     start: np.ndarray
     length: np.ndarray
-    heads: list[np.ndarray]  # hashes of the first k bytes of longer words, for each k asked for; 0: not longer
+    vocabulary: pa.Array  # the word of each code
 
+    @cached_property
+    def named(self) -> np.ndarray:
+        """The digest of each code, as two halves."""
+        return digests(self.vocabulary.to_pylist())
 
-def _piece(data: np.ndarray, at: int, cuts: np.ndarray, lower: bool, between: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    @property
+    def hashes(self) -> np.ndarray:
+        """The first half of every word's digest."""
+        return self.named[:, 0][self.codes]
+
+    def heads(self, k: int) -> np.ndarray:
+        """For every word, a hash of its first k bytes; 0 where it has no more than those."""
+        longer = [w[:k] if len(w) > k else b"" for w in self.vocabulary.to_pylist()]
+        return np.where(np.array([len(w) > 0 for w in longer], bool), digests(longer)[:, 0] | np.uint64(1), np.uint64(0))[self.codes]
+
+
+def _piece(data: np.ndarray, at: int, cuts: np.ndarray, lower: bool, between: np.ndarray) -> tuple[np.ndarray, ...]:
     raw = _LOWER[data] if lower else data
     solid = ~between[raw]
     before = np.empty(len(raw) + 1, bool)
@@ -76,16 +86,12 @@ def _piece(data: np.ndarray, at: int, cuts: np.ndarray, lower: bool, between: np
     after = np.empty(len(raw), bool)
     after[-1], after[:-1] = False, solid[1:]
     end = np.flatnonzero(solid & (~after | breaks[1:])) + 1
-    total = np.empty(len(raw) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTES[raw] * powers(_BASE, len(raw)), dtype=np.uint64, out=total[1:])
-    unit = powers(_INVERSE, len(raw))[start]
-    named = lambda stop: mix((total[stop] - total[start]) * unit + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    heads = [np.where(end - start > k, named(np.minimum(start + k, end)) | np.uint64(1), np.uint64(0)) for k in prefixes]
-    return named(end), start + at, end - start, *heads
+    offsets = np.concatenate([[0], np.cumsum(end - start)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw[solid])])
+    return start + at, end - start, words
 
 
-def split_words(column: pa.Array, lower: bool = False, between: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> Words:
+def split_words(column: pa.Array, lower: bool = False, between: np.ndarray = _SPACE) -> Words:
     """between: the bytes that part words, as 256 booleans; white space always belongs to them."""
     data, bounds = text_bytes(column)
     parts, at = [], 0
@@ -109,14 +115,15 @@ def split_words(column: pa.Array, lower: bool = False, between: np.ndarray = _SP
                             break
                         stop = min(stop + STEP, limit)
         low, high = np.searchsorted(bounds, at), np.searchsorted(bounds, stop, "right")
-        parts.append(_piece(data[at:stop], at, bounds[low:high] - at, lower, between, prefixes))
+        parts.append(_piece(data[at:stop], at, bounds[low:high] - at, lower, between))
         at = stop
-    if parts:
-        hashes, start, length, *heads = (np.concatenate([p[k] for p in parts]) for k in range(3 + len(prefixes)))
-    else:
-        hashes, start, length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        heads = [np.zeros(0, np.uint64) for _ in prefixes]
-    return Words(np.searchsorted(start, bounds), hashes, start, length, heads)
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return Words(np.zeros(len(bounds), np.int64), none, none, none, pa.array([], pa.large_binary()))
+    start, length = (np.concatenate([p[k] for p in parts]) for k in range(2))
+    numbered = pa.chunked_array([p[2] for p in parts]).dictionary_encode().unify_dictionaries()
+    codes = np.concatenate([np.asarray(c.indices) for c in numbered.chunks]).astype(np.int64)
+    return Words(np.searchsorted(start, bounds), codes, start, length, numbered.chunk(0).dictionary)
 
 
 def slices(column: pa.Array, step: int = 4 * STEP):
