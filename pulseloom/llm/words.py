@@ -33,9 +33,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def digests(values: list[bytes]) -> np.ndarray:
+def digests(values: list[bytes], salt: bytes = b"") -> np.ndarray:
     """A row of two 64-bit halves of the keyed digest for each value."""
-    return np.frombuffer(b"".join([blake2b(v, digest_size=16, person=_PERSON).digest() for v in values]), np.uint64).reshape(-1, 2)
+    return np.frombuffer(b"".join([blake2b(v, digest_size=16, person=_PERSON, salt=salt).digest() for v in values]), np.uint64).reshape(-1, 2)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,9 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from pulseloom.llm.recompression import remove_repeats
+from pulseloom.llm.recompression import FILTER, REVEAL, ROUNDS, Slice, remove_repeats
 
 
 def brute_force(rows, width):
@@ -55,3 +57,53 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, text, "a", 7, 9), (2, text, "b", 8, 9)], "doc_id int, text string, slice string, n_words int, places int")
     got = {r.doc_id: r for r in remove_repeats(df).collect()}
     assert got[1].n_removed == 0 and got[2].n_removed == 50 and got[2].kept_text == "" and got[1].places == 9
+
+
+def test_words_with_equal_polynomials_differ(spark):
+    from tests.llm.test_tensored import thue_morse
+
+    one, two = thue_morse(1024)
+    words = [f"w{k}" for k in range(19)]
+    check(spark, [(1, " ".join([*words[:9], one, *words[9:]])), (2, " ".join([*words[:9], two, *words[9:]])), (3, " ".join([*words[:9], one, *words[9:]]))])
+
+
+def table_of(texts):
+    return pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+
+
+def test_symbols_inside_a_window_and_its_name_depend_on_its_words_alone():
+    rng = random.Random(4)
+    window = [rng.choice("a b c d e f g h".split()) for _ in range(20)]
+    texts = []
+    for _ in range(200):
+        around = [[rng.choice([*"abcdefgh", window[0], window[-1]]) for _ in range(rng.randrange(40))] for _ in range(2)]
+        texts.append((len(around[0]), " ".join(around[0] + window + around[1])))
+    s = Slice(table_of([t for _, t in texts]), 20)
+    s.name()
+    starts = s.first[:-1] + [k for k, _ in texts]
+    for upto in (0, 2, FILTER, ROUNDS):
+        a, b, one, two = s.inside(starts, upto, name=True)
+        level = s.levels[upto]
+        assert len(set(one)) == len(set(two)) == 1 and len({tuple(level.one[i:j]) for i, j in zip(a, b, strict=True)}) == 1
+    every = s.inside(s.starts, ROUNDS, name=True)
+    assert len(set(zip(every[2], every[3], strict=True))) == len({tuple(s.codes[k : k + 20]) for k in s.starts})
+
+
+def test_high_symbols_span_passages():
+    rng = random.Random(5)
+    s = Slice(table_of([" ".join(f"w{rng.randrange(5000)}" for _ in range(20_000)) for _ in range(5)]), 20)
+    s.name()
+    spans = [len(s.codes) / len(s.levels[k].one) for k in (FILTER, ROUNDS, *REVEAL)]
+    assert spans[0] > 2.8 and spans[1] > 4.5 and spans[2] > 14 and spans[3] > 40
+
+
+def test_other_words_under_one_name_fail():
+    s = Slice(table_of(["a b c d " * 10]), 20)
+    s.compare(np.array([[4], [30], [-1], [0]]))
+    with pytest.raises(RuntimeError):
+        s.compare(np.array([[5], [30], [-1], [0]]))
+
+
+def test_doc_ids_must_be_integers(spark):
+    with pytest.raises(TypeError):
+        remove_repeats(spark.createDataFrame([("x", "a b")], "doc_id string, text string"))
