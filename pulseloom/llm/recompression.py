@@ -87,7 +87,7 @@ class Level:
 
     def __init__(self, one: np.ndarray, two: np.ndarray, doc: np.ndarray, at: np.ndarray, k: int):
         self.one, self.two, self.at, self.doc, self.k = one, two, at, doc, k
-        self.left = mix(one ^ np.uint64(7919 * k + 1)) >> np.uint64(63) == 0
+        self.left = one & np.uint64(1 << k) == 0
 
     def following(self) -> Level:
         pair = np.zeros(len(self.one), bool)
@@ -111,19 +111,17 @@ class Slice:
         texts = self.docs.column("text").combine_chunks()
         self.texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
         self.words, self.width, self.salt = split_words(self.texts), width, salt
-        self.n, self.first, self.codes = len(self.words.codes), self.words.first, self.words.codes
+        self.n, self.first = len(self.words.start), self.words.first
 
     def name(self) -> None:
         """Makes runs and all levels."""
-        names = digests(self.words.vocabulary.to_pylist(), self.salt)
-        self.doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        starts = np.arange(self.n - self.width + 1) if self.n >= self.width else np.zeros(0, np.int64)
-        self.starts = starts[self.doc[starts] == self.doc[starts + self.width - 1]]
+        self.codes, self.names = self.words.codes, digests(self.words.vocabulary.to_pylist(), self.salt)
+        self.doc = np.repeat(np.arange(len(self.first) - 1, dtype=np.int32), np.diff(self.first))
+        self.starts = np.flatnonzero(self.doc[: max(0, self.n - self.width + 1)] == self.doc[self.width - 1 :])
         opens = np.ones(self.n, bool)
         opens[1:] = (self.codes[1:] != self.codes[:-1]) | (self.doc[1:] != self.doc[:-1])
         at = np.flatnonzero(opens)
         self.run, self.opens = np.cumsum(opens) - 1, np.append(at, self.n)
-        self.names = names
         one, two = self.runs(self.codes[at], np.diff(self.opens))
         self.levels = [Level(one, two, self.doc[at], np.arange(len(at)), 0)]
         for _ in range(max(REVEAL)):

@@ -54,10 +54,25 @@ class Words:
     """Words of a batch: those of text i are first[i] .. first[i + 1]; equal words have equal codes."""
 
     first: np.ndarray
-    codes: np.ndarray
     start: np.ndarray
     length: np.ndarray
-    vocabulary: pa.Array  # the word of each code
+    pieces: list[pa.Array]  # the words themselves
+
+    @cached_property
+    def _numbered(self) -> tuple[np.ndarray, pa.Array]:
+        if not self.pieces:
+            return np.zeros(0, np.int64), pa.array([], pa.large_binary())
+        numbered = pa.chunked_array(self.pieces).dictionary_encode().unify_dictionaries()
+        return np.concatenate([np.asarray(c.indices) for c in numbered.chunks]).astype(np.int64), numbered.chunk(0).dictionary
+
+    @property
+    def codes(self) -> np.ndarray:
+        return self._numbered[0]
+
+    @property
+    def vocabulary(self) -> pa.Array:
+        """The word of each code."""
+        return self._numbered[1]
 
     @cached_property
     def named(self) -> np.ndarray:
@@ -117,13 +132,8 @@ def split_words(column: pa.Array, lower: bool = False, between: np.ndarray = _SP
         low, high = np.searchsorted(bounds, at), np.searchsorted(bounds, stop, "right")
         parts.append(_piece(data[at:stop], at, bounds[low:high] - at, lower, between))
         at = stop
-    if not parts:
-        none = np.zeros(0, np.int64)
-        return Words(np.zeros(len(bounds), np.int64), none, none, none, pa.array([], pa.large_binary()))
-    start, length = (np.concatenate([p[k] for p in parts]) for k in range(2))
-    numbered = pa.chunked_array([p[2] for p in parts]).dictionary_encode().unify_dictionaries()
-    codes = np.concatenate([np.asarray(c.indices) for c in numbered.chunks]).astype(np.int64)
-    return Words(np.searchsorted(start, bounds), codes, start, length, numbered.chunk(0).dictionary)
+    start, length = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(2))
+    return Words(np.searchsorted(start, bounds), start, length, [p[2] for p in parts])
 
 
 def slices(column: pa.Array, step: int = 4 * STEP):

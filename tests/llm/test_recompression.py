@@ -99,6 +99,7 @@ def test_high_symbols_span_passages():
 
 def test_other_words_under_one_name_fail():
     s = Slice(table_of(["a b c d " * 10]), 20)
+    s.name()
     s.compare(np.array([[4], [30], [-1], [0]]))
     with pytest.raises(RuntimeError):
         s.compare(np.array([[5], [30], [-1], [0]]))
