@@ -53,7 +53,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before = _state(now)
         while True:
             limit = max(LEAST, before[0] // HUBS)
-            now = stored(_small_star(_large_star(now, limit).distinct(), limit), "edges")
+            now = stored(_small_star(_large_star(now, limit), limit), "edges")
             if (state := _state(now)) == before:
                 break
             before = state

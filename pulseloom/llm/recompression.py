@@ -115,7 +115,7 @@ class Slice:
 
     def name(self) -> None:
         """Makes runs and all levels."""
-        self.codes, self.names = self.words.codes, digests(self.words.vocabulary.to_pylist(), self.salt)
+        self.codes, self.names = self.words.codes, digests(self.words.distinct(), self.salt)
         self.doc = np.repeat(np.arange(len(self.first) - 1, dtype=np.int32), np.diff(self.first))
         self.starts = np.flatnonzero(self.doc[: max(0, self.n - self.width + 1)] == self.doc[self.width - 1 :])
         opens = np.ones(self.n, bool)

@@ -39,6 +39,7 @@ from pulseloom.llm.words import Words, mix, slices, split_words
 GROUPS, ROWS = 16, 4  # groups at least
 MISSED = 1e-5  # of pairs at the threshold, by the groups of one collection
 TILE, TILE_SHINGLES = 1024, 1 << 22  # documents and shingles of a tile's side
+LOT, STEP = 8192, 64  # rows of tiles that one call compares, and rows that are held against all others of a tile at once
 TASK_SHINGLES = 200_000  # of texts that are compared with one text in one task
 _FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -170,10 +171,12 @@ def near_misses(rows: DataFrame, percent: int) -> DataFrame:
     to its largest component, by size class (alike sizes are in one class or in neighbouring ones), and by a hash.
     Every two chunks that may hold a link are compared in one task.
     """
-    classes = rows.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / -math.log(min(percent, 99) / 100) + 1e-9).cast("int"))
-    by = classes.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("components"))
-    by = by.where("components > 1").select("bucket", "main")
-    held = classes.join(by, "bucket").withColumn("minor", (F.col("component") != F.col("main")).cast("int")).drop("main")
+    by = rows.groupBy("bucket", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    small = (F.sum("rows") <= TILE) & (F.sum("shingles") <= TILE_SHINGLES)  # one chunk
+    by = by.groupBy("bucket").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("components"), small.alias("small"))
+    sized = F.floor(F.log(F.col("n").cast("double")) / -math.log(min(percent, 99) / 100) + 1e-9).cast("int")
+    held = rows.join(by.where("components > 1").drop("components"), "bucket")
+    held = held.withColumns({"class": F.when(F.col("small"), 0).otherwise(sized), "minor": (F.col("small") | (F.col("component") != F.col("main"))).cast("int")}).drop("main", "small")
     chunks = F.ceil(F.count("*") / F.lit(TILE) + F.sum("n") / F.lit(TILE_SHINGLES)).cast("int")
     sizes = held.groupBy("bucket", "class", "minor").agg(chunks.alias("chunks"))
     lists = sizes.groupBy("bucket").agg(F.collect_list(F.struct("class", "minor", "chunks")).alias("all"))  # a few a bucket: classes are logarithms
@@ -181,30 +184,42 @@ def near_misses(rows: DataFrame, percent: int) -> DataFrame:
     held = held.join(lists, "bucket").withColumn("chunk", F.struct("class", "minor", F.pmod(F.xxhash64("row"), own).cast("int").alias("part")))
     fits = F.filter("all", lambda c: (F.abs(c["class"] - F.col("class")) <= 1) & (c["minor"] + F.col("minor") > 0))
     others = F.flatten(F.transform(fits, lambda c: F.transform(F.sequence(F.lit(0), c["chunks"] - 1), lambda k: F.struct(c["class"].alias("class"), c["minor"].alias("minor"), k.alias("part")))))
-    tiles = held.withColumn("other", F.explode(others)).select("bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), F.when(F.col("chunk") <= F.col("other"), 0).otherwise(1).alias("side"), "row", "n", "component", "bits")
-
-    def compare(group: pa.Table) -> pa.Table:
-        side, n = group.column("side").to_numpy(), group.column("n").to_numpy()
-        component, row = group.column("component").to_numpy(), group.column("row").to_numpy()
-        bits = _unpacked(group.column("bits").combine_chunks())
-        alone = not side.any()  # a chunk with itself
-        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        y = x if alone else y
-        a, b = [], []
-        for i in x:
-            others = y[(component[y] != component[i]) & (100 * np.minimum(n[y], n[i]) >= percent * np.maximum(n[y], n[i]))]
-            if alone:
-                others = others[others > i]
-            if len(others):
-                apart = np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64)
-                most = (n[others] + n[i] - apart) // 2
-                others = others[100 * most >= percent * (n[others] + n[i] - most)]
-                a.append(np.full(len(others), row[i]))
-                b.append(row[others])
-        a, b = (np.concatenate(k) if k else np.zeros(0, np.int64) for k in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return tiles.groupBy("bucket", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    tiles = held.withColumn("other", F.explode(others)).select(F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tile"), F.when(F.col("chunk") <= F.col("other"), 0).otherwise(1).alias("side"), "row", "n", "component", "bits")
+    lots = 1 + rows.count() // LOT
+    tiles = tiles.withColumn("lot", F.pmod("tile", F.lit(lots)))  # most tiles are small; a lot has many
+
+    def compare(lot: pa.Table) -> pa.Table:
+        lot = lot.sort_by("tile")
+        tile = lot.column("tile").to_numpy()
+        side, n, component, row = (lot.column(c).to_numpy() for c in ("side", "n", "component", "row"))
+        bits = lot.column("bits").combine_chunks()
+        cuts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]])) if len(tile) else np.zeros(1, np.int64)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            here = np.arange(low, high)
+            x, y = here[side[low:high] == 0], here[side[low:high] == 1]
+            alone = not len(y)  # a chunk with itself
+            y = x if alone else y
+            # pairs of other components whose sizes are alike; most tiles have few
+            for k in range(0, len(x), STEP):
+                few = x[k : k + STEP]
+                may = (component[few][:, None] != component[y][None]) & (100 * np.minimum(n[few][:, None], n[y][None]) >= percent * np.maximum(n[few][:, None], n[y][None]))
+                if alone:
+                    may &= few[:, None] < y[None]
+                i, j = np.nonzero(may)
+                i, j = few[i], y[j]
+                if len(i):
+                    parity = _unpacked(bits.slice(low, high - low))
+                    apart = np.concatenate([np.bitwise_count(parity[p - low] ^ parity[q - low]).sum(1, dtype=np.int64) for p, q in zip(np.array_split(i, 1 + len(i) * parity.shape[1] // (1 << 20)), np.array_split(j, 1 + len(i) * parity.shape[1] // (1 << 20)), strict=True)])
+                    most = (n[i] + n[j] - apart) // 2
+                    link = 100 * most >= percent * (n[i] + n[j] - most)
+                    a.append(row[i[link]])
+                    b.append(row[j[link]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.table({"a": np.ascontiguousarray(found[:, 0]), "b": np.ascontiguousarray(found[:, 1])})
+
+    return tiles.groupBy("lot").applyInArrow(compare, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:

@@ -77,7 +77,13 @@ class Words:
     @cached_property
     def named(self) -> np.ndarray:
         """The digest of each code, as two halves."""
-        return digests(self.vocabulary.to_pylist())
+        return digests(self.distinct())
+
+    def distinct(self) -> list[bytes]:
+        """The word of each code, as Python has it."""
+        raw, bounds = text_bytes(self.vocabulary.view(pa.large_string()) if len(self.vocabulary) else pa.array([], pa.large_string()))
+        raw, bounds = raw.tobytes(), bounds.tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     @property
     def hashes(self) -> np.ndarray:
@@ -86,7 +92,7 @@ class Words:
 
     def heads(self, k: int) -> np.ndarray:
         """For every word, a hash of its first k bytes; 0 where it has no more than those."""
-        longer = [w[:k] if len(w) > k else b"" for w in self.vocabulary.to_pylist()]
+        longer = [w[:k] if len(w) > k else b"" for w in self.distinct()]
         return np.where(np.array([len(w) > 0 for w in longer], bool), digests(longer)[:, 0] | np.uint64(1), np.uint64(0))[self.codes]
 
 
