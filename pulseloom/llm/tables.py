@@ -68,10 +68,9 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     Keys that hold more than a `keyed`-th of left's rows, which are fewer than `keyed`, are joined by broadcast,
     so that their rows stay where they are; all others by a shuffle.
     """
-    spark = left.sparkSession
     n = left.count()
-    held = left.groupBy(*keys).count().where(F.col("count") > max(1000, n // keyed)).select(*keys)
-    heavy = spark.createDataFrame(held.collect(), held.schema)  # fewer than `keyed` rows, as their counts sum to n at most
-    few = right.join(F.broadcast(heavy), keys, "left_semi")
-    rest = left.join(F.broadcast(heavy), keys, "left_anti").join(right, keys, how)
-    return left.join(F.broadcast(heavy), keys, "left_semi").join(F.broadcast(few), keys, how).unionByName(rest)
+    # fewer than `keyed` rows, as their counts sum to n at most
+    heavy = F.broadcast(left.groupBy(*keys).count().where(F.col("count") > max(1000, n // keyed)).select(*keys))
+    few = F.broadcast(right.join(heavy, keys, "left_semi"))
+    rest = left.join(heavy, keys, "left_anti").join(right, keys, how)
+    return left.join(heavy, keys, "left_semi").join(few, keys, how).unionByName(rest)

@@ -1,15 +1,18 @@
 """URL filtering by dated lists: native temporal join of captures with list entries.
 
 List events (list, pattern, action add or remove, day) become validity intervals: an added entry holds from its
-day up to the next event of the same list and pattern.  A capture is judged by the entries in force at its fetch
-time, for its host and every parent domain: an equi-join on the pattern with the interval as condition.  Hot hosts
-are spread over `SALTS` parts, and the list is repeated for each.  Blocked is what has an entry in force on a
-blocking list, unless an entry of the `allow` list is at least as specific as the most specific of them.
+day up to the next event of the same list and pattern.  Every distinct pair of host and fetch time is judged once,
+by the entries in force at that time for the host and every parent domain: an equi-join on the pattern with the
+interval as condition.  Patterns that more than a thousandth of these pairs ask for, such as top-level domains, are
+dealt to as many parts as they need, and their entries repeated for each.  Verdicts are joined back to the captures;
+pairs that hold more than a thousandth of them, fewer than a thousand, by broadcast.  Blocked is what has an entry
+in force on a blocking list, unless an entry of the `allow` list is at least as specific as the most specific of them.
 
 Events with null list, pattern or day are ignored; of several events of one list and pattern on one day a removal
 counts last.  Captures with null or unparsable URLs have host null, and nothing applies to them; those without
-fetch time likewise.  Repeated captures are judged alike; each row needs its own key.  Empty tables give empty
-results or no matches.  Other columns of the captures are carried along.
+fetch time likewise.  Captures need no key: repeated ones, whatever their other columns, are judged alike, each as a
+row of its own.  Empty tables give empty results or no matches.  Other columns of the captures are carried along;
+those named host, lists, since or verdict are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 8
+from pulseloom.llm.tables import skew_join
+
+KEYED = 1000
 
 
 def host(url: Column) -> Column:
@@ -34,21 +39,26 @@ def intervals(events: DataFrame) -> DataFrame:
     return dated.where("action = 'add' and (until is null or since < until)").drop("action")
 
 
-def judge(captures: DataFrame, events: DataFrame, key: str, url_col: str, time_col: str) -> DataFrame:
+def judge(captures: DataFrame, events: DataFrame, url_col: str, time_col: str) -> DataFrame:
     """captures with host, lists (in force, sorted), since (of the entry last added) and verdict (blocked, allowed or clear)."""
-    placed = captures.withColumn("host", host(F.col(url_col)))
+    placed = captures.drop(*{"host", "lists", "since", "verdict"} - {url_col, time_col}).withColumn("host", host(F.col(url_col)))
     labels = F.split("host", r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    asked = placed.where(F.col("host").isNotNull() & F.col(time_col).isNotNull()).select(F.col(key).alias("k"), F.col(time_col).alias("at"), F.explode(domains).alias("pattern"))
-    asked = asked.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)))
-    entries = intervals(events).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    held = asked.join(entries, ["pattern", "salt"]).where("at >= since and (until is null or at < until)")
+    pairs = placed.where(F.col("host").isNotNull() & F.col(time_col).isNotNull()).select("host", F.col(time_col).alias("at")).distinct()
+    asked = pairs.withColumn("pattern", F.explode(domains))
+    limit = max(1000, asked.count() // KEYED)
+    parts = F.ceil(F.col("count") / limit).cast("int").alias("parts")
+    heavy = F.broadcast(asked.groupBy("pattern").count().where(F.col("count") > limit).select("pattern", parts))  # KEYED rows at most
+    many = F.coalesce("parts", F.lit(1))
+    asked = asked.join(heavy, "pattern", "left").withColumn("part", F.pmod(F.xxhash64("host", "at"), many).cast("int")).drop("parts")
+    entries = intervals(events).join(heavy, "pattern", "left").withColumn("part", F.explode(F.sequence(F.lit(0), many - 1))).drop("parts")
+    held = asked.join(entries, ["pattern", "part"]).where("at >= since and (until is null or at < until)")
     depth = F.size(F.split("pattern", r"\."))
     allow = F.col("list") == "allow"
-    found = held.groupBy("k").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.max("since").alias("since"), F.max(F.when(~allow, depth)).alias("block"), F.max(F.when(allow, depth)).alias("pass"))
+    found = held.groupBy("host", "at").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.max("since").alias("since"), F.max(F.when(~allow, depth)).alias("block"), F.max(F.when(allow, depth)).alias("pass"))
     verdict = F.when(F.col("block").isNull(), F.when(F.col("pass").isNull(), "clear").otherwise("allowed")).when(F.col("pass") >= F.col("block"), "allowed").otherwise("blocked")
-    found = found.select(F.col("k").alias(key), "lists", "since", verdict.alias("verdict"))
-    return placed.drop("lists", "since", "verdict").join(found, key, "left").withColumns({"lists": F.coalesce("lists", F.lit("")), "verdict": F.coalesce("verdict", F.lit("clear"))})
+    found = found.select("host", F.col("at").alias(time_col), "lists", "since", verdict.alias("verdict"))
+    return skew_join(placed, found, ["host", time_col]).withColumns({"lists": F.coalesce("lists", F.lit("")), "verdict": F.coalesce("verdict", F.lit("clear"))})
 
 
 def _hex(text: Column, at: int) -> Column:
@@ -72,7 +82,7 @@ def derived_events(pages: DataFrame) -> DataFrame:
 
 
 def judge_pages(pages: DataFrame) -> DataFrame:
-    return judge(page_captures(pages), derived_events(pages), "page_id", "url", "fetched").select("page_id", "host", "fetched", "lists", "since", "verdict")
+    return judge(page_captures(pages), derived_events(pages), "url", "fetched").select("page_id", "host", "fetched", "lists", "since", "verdict")
 
 
 SQL = r"""
@@ -85,11 +95,11 @@ d AS (SELECT pattern, ['adult', 'malware', 'spam', 'allow'][('0x' || substr(md5(
   ('0x' || substr(md5(pattern), 3, 2))::INT AS first, ('0x' || substr(md5(pattern), 5, 2))::INT AS gap FROM p),
 i AS (SELECT list, pattern, (DATE '2024-01-01' + first)::DATE AS since, (DATE '2024-01-01' + first + gap)::DATE AS until FROM d WHERE gap > 0
   UNION ALL SELECT list, pattern, (DATE '2024-01-01' + first + gap + 20)::DATE, NULL FROM d),
-a AS (SELECT page_id, fetched, array_to_string(string_split(host, '.')[k:], '.') AS pattern FROM c, unnest(range(1, len(string_split(host, '.')) + 1)) AS t(k) WHERE host IS NOT NULL AND fetched IS NOT NULL),
-f AS (SELECT page_id, array_to_string(list_sort(list_distinct(list(list))), ',') AS lists, max(since) AS since,
+a AS (SELECT host, fetched, array_to_string(string_split(host, '.')[k:], '.') AS pattern FROM (SELECT DISTINCT host, fetched FROM c) c, unnest(range(1, len(string_split(host, '.')) + 1)) AS t(k) WHERE host IS NOT NULL AND fetched IS NOT NULL),
+f AS (SELECT host, fetched, array_to_string(list_sort(list_distinct(list(list))), ',') AS lists, max(since) AS since,
   max(CASE WHEN list <> 'allow' THEN len(string_split(pattern, '.')) END) AS block, max(CASE WHEN list = 'allow' THEN len(string_split(pattern, '.')) END) AS pass
-  FROM a JOIN i USING (pattern) WHERE fetched >= since AND (until IS NULL OR fetched < until) GROUP BY page_id)
-SELECT c.page_id, host, fetched, coalesce(lists, '') AS lists, since,
+  FROM a JOIN i USING (pattern) WHERE fetched >= since AND (until IS NULL OR fetched < until) GROUP BY host, fetched)
+SELECT c.page_id, c.host, c.fetched, coalesce(lists, '') AS lists, since,
   CASE WHEN block IS NULL AND pass IS NULL THEN 'clear' WHEN block IS NULL OR pass >= block THEN 'allowed' ELSE 'blocked' END AS verdict
-FROM c LEFT JOIN f USING (page_id)
+FROM c LEFT JOIN f USING (host, fetched)
 """
