@@ -4,8 +4,9 @@ Every document (ids, then the end id) is first cut into full windows, which are
 The remainders are packed best fit, decreasing: longest first, each into the open window with the least
 room that still holds it; a segment tree over remaining room finds that window.  Pieces are dealt to
 shards by a hash of (doc_id, start), and each shard is packed on its own; only lengths and checksums travel,
-not ids.  There are as many shards as remainders fill SHARD windows, and at most as many as the session has
-shuffle partitions, so that the part-empty windows at the end of each shard are few beside the rest.
+not ids.  A shard's remainders fill SHARD windows at least, so that the part-empty windows at its end are few beside
+the rest, however many partitions the session has; and a shard has about PIECES pieces at most, at every size of
+the corpus, as one task packs it.
 
 Null text counts as empty and gives one piece with the end id.  Repeated rows are packed as often as they
 come.  An empty table gives no pieces.  Other columns are ignored.
@@ -26,6 +27,7 @@ from pulseloom.llm.tables import partitions, stored
 from pulseloom.llm.words import slices
 
 SHARD = 1000  # windows that a shard's remainders fill at least, if there is more than one shard
+PIECES = 500_000  # a shard
 
 
 class RoomTree:
@@ -103,8 +105,8 @@ def pack(pieces: DataFrame, window: int = 1024) -> DataFrame:
     """Adds sequence_id, offset and padded_to (the sequence's length with padding: window, or its own length at a power of two)."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     pieces = stored(pieces.select(*names), "pieces")
-    left = pieces.where(F.col("length") < window).agg(F.sum("length")).first()[0] or 0
-    shards = max(1, min(partitions(pieces.sparkSession), left // (SHARD * window)))
+    left, n = pieces.agg(F.sum(F.when(F.col("length") < window, F.col("length"))), F.count("*")).first()
+    shards = max(1, min(partitions(pieces.sparkSession), (left or 0) // (SHARD * window)), n // PIECES)
     shard = F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,14 @@
 
 Normalisation is done here, by longest-prefix matching against the model's compiled character map
 (a double-array trie over UTF-8 bytes), and records for every normalised byte which source bytes
-it stands for.  The library then segments the already normalised text, with a copy of the model
+it stands for.  The trie is walked from every byte that can begin an entry; what lies between stays as it is, so
+a model whose map is empty, as some are, has no walks but takes the same path.  The library then segments the already normalised text, with a copy of the model
 whose own normaliser is switched off, and each piece is projected through the record to a span of
-source bytes.  Where a model has no character map every character stands for itself.
+source bytes.
 
-Null texts count as empty; an empty text has only the begin and end ids.  Texts are never cut.
+Null texts count as empty; an empty text has only the begin and end ids.  Texts are never cut.  Repeated rows are
+encoded alike, each as a row of its own; an empty table gives an empty result; columns other than id and text are
+ignored.
 """
 
 from __future__ import annotations
@@ -83,6 +86,8 @@ class CharMap:
             self.replacements = blob[4 + size :]
         else:
             self.units, self.replacements = [], b""
+        root = (self.units[0] >> 10) << ((self.units[0] & 512) >> 6) if self.units else 0
+        self.begins = np.array([root ^ b < len(self.units) and self.units[root ^ b] & 0x800000FF == b for b in range(256)])
 
     def longest(self, raw: bytes, at: int) -> tuple[int, int]:
         """(bytes matched, place of the replacement) of the longest entry that starts at raw[at]; (0, 0) if none."""
@@ -142,18 +147,34 @@ class Normalizer:
         rules = self.rules
         if not raw:
             return Aligned(b"", np.zeros(1, np.int64))
-        if not self.map.units and not self._own and not rules.trim_spaces and rules.escape_spaces and not rules.space_suffix:
-            return self._identity(raw)
-        return self._by_prefix(raw)
-
-    def _identity(self, raw: bytes) -> Aligned:
-        """No character map: only spaces change, three bytes for one."""
-        bytes_ = np.frombuffer(raw, np.uint8)
-        source = np.repeat(np.arange(len(raw)), np.where(bytes_ == 32, 3, 1))
-        data = raw.replace(b" ", SPACE_MARK)
+        if rules.trim_spaces or self._own or rules.space_suffix:
+            return self._by_prefix(raw)
+        return self._by_jumps(raw)
+
+    def _by_jumps(self, raw: bytes) -> Aligned:
+        """Where no rule looks at what came before: entries of the map are sought only where a byte can begin one."""
+        bytes_, mark = np.frombuffer(raw, np.uint8), SPACE_MARK if self.rules.escape_spaces else b" "
+        # an entry begins at a character's first byte only
+        places = np.flatnonzero(self.map.begins[bytes_] & (bytes_ & 0xC0 != 0x80))
+        parts, sources, at = [], [], 0
+
+        def put(piece: bytes, source: np.ndarray) -> None:
+            wide = np.where(np.frombuffer(piece, np.uint8) == 32, len(mark), 1)
+            parts.append(piece.replace(b" ", mark))
+            sources.append(np.repeat(source, wide))
+
         if self.rules.dummy_prefix:
-            data, source = SPACE_MARK + data, np.concatenate([np.zeros(3, np.int64), source])
-        return Aligned(data, np.append(source, len(raw)))
+            parts.append(mark)
+            sources.append(np.zeros(len(mark), np.int64))
+        for place in places.tolist():
+            n, found = self.map.longest(raw, place) if place >= at else (0, 0)
+            if n:
+                put(raw[at:place], np.arange(at, place))
+                new = self.map.replacement(found)
+                put(new, np.arange(place, place + n) if new == raw[place : place + n] else np.full(len(new), place))
+                at = place + n
+        put(raw[at:], np.arange(at, len(raw)))
+        return Aligned(b"".join(parts), np.append(np.concatenate(sources), len(raw)))
 
     def _by_prefix(self, raw: bytes) -> Aligned:
         rules = self.rules
@@ -178,11 +199,12 @@ class Normalizer:
         was_space = rules.trim_spaces
         while at < len(raw):
             new, n = self._step(raw, at)
+            own = new == raw[at : at + n]  # then every byte stands for itself
             if was_space and rules.trim_spaces:
                 new = new.lstrip(b" ")
             if new:
-                for byte in new:
-                    put(mark if byte == 32 else bytes([byte]), at)
+                for k, byte in enumerate(new):
+                    put(mark if byte == 32 else bytes([byte]), at + k * own)
                 was_space = new.endswith(b" ")
             at += n
             if not rules.trim_spaces:

@@ -72,5 +72,9 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     # fewer than `keyed` rows, as their counts sum to n at most
     heavy = F.broadcast(left.groupBy(*keys).count().where(F.col("count") > max(1000, n // keyed)).select(*keys))
     few = F.broadcast(right.join(heavy, keys, "left_semi"))
-    rest = left.join(heavy, keys, "left_anti").join(right, keys, how)
-    return left.join(heavy, keys, "left_semi").join(few, keys, how).unionByName(rest)
+    known = F.lit(True)
+    for key in keys:
+        known &= F.col(key).isNotNull()
+    rest = left.where(known).join(heavy, keys, "left_anti").join(right, keys, how)
+    nulls = left.where(~known).join(F.broadcast(right.limit(0)), keys, how)  # match nothing, and needn't move
+    return left.join(heavy, keys, "left_semi").join(few, keys, how).unionByName(rest).unionByName(nulls)

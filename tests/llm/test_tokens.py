@@ -51,6 +51,25 @@ def test_longest_prefix_normalisation_equals_the_library(rule):
         assert len(got.source) == len(got.data) + 1 and (np.diff(got.source) >= 0).all()
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "none"])
+def test_jumps_equal_prefix_steps(rule):
+    """The query's path, for maps with entries and for an empty one."""
+    if rule == "none":
+        charsmap = b""
+    else:
+        spec = next(v for n, _, v, _, _ in piece_codec._fields(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto()) if n == 3)
+        charsmap = bytes({n: v for n, _, v, _, _ in piece_codec._fields(spec)}[2])
+    rng = np.random.default_rng(3)
+    letters = list("ab  \n\tＡﬁ①éé́　Ⅳ½ｶﾞß가ᄀ\u200b\xad\U0001f600日")
+    for prefix in (True, False):
+        for escape in (True, False):
+            own = piece_codec.Normalizer(piece_codec.Rules(charsmap, prefix, False, escape))
+            for n in (1, 2, 5, 40, 40, 300):
+                raw = "".join(rng.choice(letters, n)).encode()
+                one, two = own._by_jumps(raw), own._by_prefix(raw)
+                assert one.data == two.data and one.source.tolist() == two.source.tolist()
+
+
 def test_piece_digests(spark, odd_documents, no_documents):
     own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     rows = piece_codec.piece_digests(odd_documents, MODEL).collect()
