@@ -95,3 +95,44 @@ def test_top_k_equals_brute_force(spark, monkeypatch, case):
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert bounded_topk.top_k(df, F.col("vec_id") % 100 == 0).count() == 0
+
+
+def near_pairs(rng, n, width, cosine):
+    """n pairs of random directions, each with the cosine given."""
+    one = rng.standard_normal((n, width))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    off = rng.standard_normal((n, width))
+    off -= (off * one).sum(1, keepdims=True) * one
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    return np.stack([one, cosine * one + np.sqrt(1 - cosine**2) * off], 1).reshape(-1, width).astype(np.float32)
+
+
+def test_recall_at_the_threshold_with_several_passes(spark, monkeypatch):
+    """4,000 pairs at 0.951 to 0.96, leaves of about 30 rows: two levels on the first sample, then passes over large nodes."""
+    monkeypatch.setattr(tree_forest, "LEAF", 30)
+    monkeypatch.setattr(tree_forest, "DEEPEST", 2)
+    rng = np.random.default_rng(11)
+    x = np.concatenate([near_pairs(rng, 1000, 48, c) for c in (0.951, 0.953, 0.956, 0.96)])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()}
+    found = sum(got[k] == (1, k) and got[k + 1] == (1, k) for k in range(0, len(x), 2))
+    assert found >= 0.99 * 4000 and all(n <= 1 for n, _ in got.values())
+
+
+def test_a_large_group_of_near_copies_is_a_ball(spark, monkeypatch):
+    monkeypatch.setattr(tree_forest, "LEAF", 50)
+    monkeypatch.setattr(tree_forest, "TILE", 32)
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal(16)
+    x = np.concatenate([base + 0.01 * rng.standard_normal((300, 16)), base + 0.3 * rng.standard_normal((60, 16)), rng.standard_normal((500, 16))]).astype(np.float32)
+    rows = [(k, v.tolist()) for k, v in enumerate(x[rng.permutation(len(x))])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got, want = ({k: (n, c) for k, n, c, _ in t} for t in (map(tuple, near_vectors(df).collect()), brute_force(rows, 0.95)))
+    hot = [k for k in want if want[k][0] >= 290]
+    assert len(hot) >= 300 and all(got[k][1] == want[k][1] for k in hot)
+    missed = sum(want[k][0] - got[k][0] for k in want)
+    assert all(got[k][0] <= want[k][0] for k in want) and missed <= 0.001 * sum(n for n, _ in want.values())
+
+
+def test_more_trees_for_deeper_forests():
+    assert tree_forest.trees_for(0, 0.95) == 1 and 4 <= tree_forest.trees_for(6, 0.95) < tree_forest.trees_for(12, 0.95) < 20
