@@ -1,17 +1,25 @@
 """Toxicity scores by weak supervision.
 
-Voters are words (a lexicon) and word beginnings (patterns), the ones most bound to toxic rows among
-labelled rows for fitting.  A generative label model with a hidden class estimates by expectation
-maximisation how often each voter fires in either class, how far the given labels can be trusted, and how
-voters correlate within a class; correlated voters share their weight.  A linear classifier on words and
-word beginnings is then trained on the model's posterior labels, and scores every whole text.
-
-Fitting reads rows whose crc32 of doc_id as text, modulo 4, is not 2, of these a sample by a hash of doc_id of
-about `fit_rows`, the documented bound; all else covers all rows.  Only text enters a score.
+Voters are words (a lexicon) and word beginnings of 4 to 6 bytes (patterns): those that at least LEAST learning rows
+have and of which PRECISION are labelled toxic, the VOTERS most bound to toxic rows.  A voter votes toxic where it
+stands and else abstains, which counts for nothing.  A generative label model with a hidden class estimates by
+expectation maximisation, from the votes alone and starting from where any of them fires, how often each voter is
+right when it fires, and the correlation of every two voters within a class.  The evidence of the voters that fire
+on a row is weighted by the inverse of their correlations, so that voters that say the same count once.  Of the
+labels the model knows their share alone.  A linear classifier on the voters and on EXTRA further terms, which fewer
+rows have or which are less sure, is then trained on the model's posterior labels.  Its ridge, and whether the model's
+posteriors must sum to the share of labels, are those of RIDGES and BALANCED that predict the labels of learning
+rows left out best, in FOLDS folds; held-out rows decide nothing.
+
+Learning reads rows whose crc32 of doc_id as text, modulo 4, is not 2, of these a sample by a hash of doc_id of
+about `fit_rows`, the documented bound; a doc_id whose rows repeat counts with the first FIT_COPIES of them.  The
+bounds are LEAST, PRECISION, VOTERS, EXTRA and fit_rows, all of the fit; scoring covers whole texts of all rows.
+Only text enters a score.
 
 Null and empty texts get the score of a text without features.  Repeated rows are scored alike.  Rows without
-doc_id are scored, and not held out.  Without labels, or without toxic ones, all scores are 0 (to 300 digits).  Labels that
-are null or not 0 or 1 are ignored; so are other columns.
+doc_id are scored, and not held out.  A doc_id that is labelled both ways counts as toxic.  Without labels, or without
+toxic ones, all scores are 0 (to 300 digits), and if all are toxic, 1.  Labels that are null or not 0 or 1 are ignored;
+so are other columns.
 """
 
 from __future__ import annotations
@@ -21,15 +29,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.llm.words import slices, split_words
 
-FIT_ROWS = 20_000
-FEATURES = 1000
-PRECISION = 0.7  # toxic share that a term needs among the labelled rows that have it
-LEAST = 6  # labelled rows that must have a term
+FIT_ROWS, FIT_COPIES = 20_000, 4
+VOTERS, EXTRA = 400, 200
+PRECISION = 0.7  # toxic share that a voter needs among the learning rows that have it; a further term needs half of it
+LEAST = 6  # learning rows that must have a voter; a further term needs half of them
+RIDGES, BALANCED, FOLDS = (1e-3, 1e-2, 3e-2), (True, False), 3
+NEVER = 0.001  # posterior where no voter fires
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
 _BETWEEN = np.ones(256, bool)
@@ -61,64 +71,111 @@ def terms(column: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarray,
     return row[new], found[new]
 
 
-def leading(x: np.ndarray, within: float = 0.9) -> np.ndarray:
-    """Columns of x (row x term) that hardly ever stand only where one with more rows does: of a word and its beginnings the widest."""
-    both = x.T @ x
-    rows, chosen = np.diag(both), []
-    for j in np.argsort(-rows, kind="stable"):
-        if rows[j] and (not chosen or (both[j, chosen] / rows[j]).max() < within):
-            chosen.append(int(j))
-    return np.sort(np.array(chosen, np.int64))
-
-
 @dataclass
 class LabelModel:
-    """Class-conditional firing rates of voters, fitted without trusting any one of them or the given labels."""
+    """How often voters that fire are right, and how they correlate, fitted from their votes alone."""
 
-    prior: float
-    fires: np.ndarray  # voter x class
-    share: np.ndarray  # weight left after correlation
-    trust: float  # how often the given labels are right
+    start: float  # log odds before any evidence
+    right: np.ndarray  # of each voter, when it fires
+    alike: np.ndarray  # correlations within a class
 
-    def logit(self, votes: np.ndarray, given: np.ndarray) -> np.ndarray:
-        one, zero = self.fires[:, 1], self.fires[:, 0]
-        on, off = np.log(one / zero), np.log((1 - one) / (1 - zero))
-        return np.log(self.prior / (1 - self.prior)) + votes @ (self.share * (on - off)) + (self.share * off).sum() + (2 * given - 1) * np.log(self.trust / (1 - self.trust))
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        return np.where(votes.any(1), 1 / (1 + np.exp(-np.clip(self.start + self.evidence(votes), -30, 30))), NEVER)
 
-    def weights(self) -> np.ndarray:
-        """Log odds that a vote adds."""
-        return self.share * np.log(self.fires[:, 1] / self.fires[:, 0] * (1 - self.fires[:, 0]) / (1 - self.fires[:, 1]))
+    def evidence(self, votes: np.ndarray, share: float | None = None, keep: float = 0.1) -> np.ndarray:
+        """Log odds that the voters firing on each row add, with what they have in common counted once."""
+        base = 0.1 if share is None else share
+        own = np.log(self.right / (1 - self.right)) - np.log(base / (1 - base))
+        out = np.zeros(len(votes))
+        for k, row in enumerate(votes):
+            if len(on := np.flatnonzero(row)):
+                out[k] = np.linalg.solve(self.alike[np.ix_(on, on)] + keep * np.eye(len(on)), own[on] * (1 + keep)).clip(0).sum()
+        return out
 
     @classmethod
-    def fit(cls, votes: np.ndarray, given: np.ndarray, rounds: int = 15) -> tuple[LabelModel, np.ndarray]:
-        """The model, and the posterior of class 1 for each row."""
-        q, share = np.clip(given.astype(float), 0.05, 0.95), np.ones(votes.shape[1])
+    def fit(cls, votes: np.ndarray, share: float, times: np.ndarray | None = None, balanced: bool = True, rounds: int = 10) -> tuple[LabelModel, np.ndarray]:
+        """The model, and the posterior of class 1 for each row; times: how often a row stands; share: that of class 1."""
+        w, fires = np.ones(len(votes)) if times is None else times, votes.any(1)
+        share = float(np.clip(share, 1e-4, 1 - 1e-4))
+        odds, q = np.log(share / (1 - share)), np.where(fires, 0.9, NEVER)
         for _ in range(rounds):
-            total = np.array([(1 - q).sum(), q.sum()])
-            fires = np.stack([(1 - q) @ votes, q @ votes], 1)
-            fires = np.clip((fires + 0.1) / (total + 0.2), 1e-6, 1 - 1e-6)
-            rest = votes - np.outer(1 - q, fires[:, 0]) - np.outer(q, fires[:, 1])
-            spread = np.sqrt((rest**2).mean(0)) + 1e-9
-            alike = np.abs(rest.T @ rest / len(rest) / np.outer(spread, spread))
-            share = 1 / np.sqrt(np.where(alike > 0.3, alike, 0).sum(0).clip(1))
-            trust = float(np.clip((q * given + (1 - q) * (1 - given)).mean(), 0.6, 0.99))
-            model = cls(float(np.clip(q.mean(), 1e-4, 1 - 1e-4)), fires, share, trust)
-            q = 1 / (1 + np.exp(-np.clip(model.logit(votes, given), -30, 30)))
+            right = np.clip(((w * q) @ votes + 0.7) / (w @ votes + 1), 0.5, 0.995)
+            model = cls(odds, right, cls.correlations(votes, w, q))
+            evidence = model.evidence(votes, share)
+            if balanced:  # the start at which posteriors sum to the share, or one that is a little more generous
+                low, high = -30.0, odds + 2
+                for _ in range(40):
+                    model.start = (low + high) / 2
+                    total = (w * np.where(fires, 1 / (1 + np.exp(-np.clip(model.start + evidence, -30, 30))), NEVER)).sum()
+                    low, high = (low, model.start) if total > share * w.sum() else (model.start, high)
+            new = np.where(fires, 1 / (1 + np.exp(-np.clip(model.start + evidence, -30, 30))), NEVER)
+            done, q = np.abs(new - q).max(initial=0) < 1e-3, new
+            if done:
+                break
         return model, q
 
+    @staticmethod
+    def correlations(votes: np.ndarray, w: np.ndarray, q: np.ndarray) -> np.ndarray:
+        zero, one = ((w * p) @ votes / max((w * p).sum(), 1e-9) for p in (1 - q, q))
+        rest = votes - np.outer(1 - q, zero) - np.outer(q, one)
+        both = (rest * w[:, None]).T @ rest / w.sum()
+        spread = np.sqrt(np.diag(both)) + 1e-9
+        alike = np.clip(both / np.outer(spread, spread), 0, 1)
+        np.fill_diagonal(alike, 1.0)
+        return alike
+
+
+def _linear(x: np.ndarray, times: np.ndarray, target: np.ndarray, centre: np.ndarray, ridge: float, steps: int = 10) -> np.ndarray:
+    """Weights, and the bias as the last of them, of a logistic regression on soft labels, by damped Newton steps; the ridge draws them to `centre`."""
+    x, times, now = np.concatenate([x, np.ones((len(x), 1))], 1), times / times.sum(), centre.copy()
+
+    def loss(at: np.ndarray) -> float:
+        z = x @ at
+        return float((times * (np.logaddexp(0, z) - target * z)).sum() + ridge * ((at - centre) ** 2).sum() / 2)
 
-def _linear(x: np.ndarray, target: np.ndarray, centre: np.ndarray, ridge: float = 1e-4, steps: int = 12) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on soft labels, by Newton's method; the ridge draws weights to `centre`."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
-    centre = np.append(centre, 0)
-    now, keep = centre.copy(), np.append(np.full(x.shape[1] - 1, ridge), 1e-9)
-    now[-1] = -3
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ now.astype(x.dtype), -30, 30)))
-        slope = x.T @ (p - target) / len(x) + keep * (now - centre)
-        curve = (x * (p * (1 - p) / len(x) + 1e-8)[:, None]).T @ x
-        now -= np.linalg.solve(curve.astype(float) + np.diag(keep), slope)
-    return now[:-1], float(now[-1])
+        p = 1 / (1 + np.exp(-np.clip(x @ now, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p) * times)[:, None]).T @ x + ridge * np.eye(len(now)), x.T @ ((p - target) * times) + ridge * (now - centre))
+        before = loss(now)
+        size = next((s for s in (1, 0.5, 0.25, 0.1, 0.01) if loss(now - s * step) < before - 1e-9), 0)
+        now = now - size * step
+        if not size:
+            break
+    return now
+
+
+def ranking(score: np.ndarray, label: np.ndarray) -> float:
+    """The share of (toxic, clean) pairs in which the toxic one has the higher score; ties count half."""
+    order = np.sort(score[label == 0])
+    low, high = np.searchsorted(order, score[label == 1]), np.searchsorted(order, score[label == 1], "right")
+    return float((low + high).mean() / 2 / max(len(order), 1))
+
+
+def train(x: np.ndarray, votes: np.ndarray, label: np.ndarray, fold: np.ndarray) -> tuple[LabelModel, np.ndarray, float]:
+    """The label model, and weights and bias of the classifier; x: row x term, votes: which terms are voters."""
+    # most rows have the same few terms
+    kinds, kind = np.unique(x.astype(bool), axis=0, return_inverse=True)
+    kind, share, best = kind.ravel(), float(label.mean()), (np.inf,)
+    for balanced in BALANCED:
+        model, posterior = LabelModel.fit(kinds[:, votes].astype(float), share, np.bincount(kind).astype(float), balanced)
+        centre = np.zeros(x.shape[1] + 1)
+        centre[:-1][votes], centre[-1] = np.log(model.right / (1 - model.right)) / 2, np.log(NEVER / (1 - NEVER))
+
+        def linear(rows: np.ndarray, ridge: float, posterior=posterior, centre=centre) -> np.ndarray:
+            some, times = np.unique(kind[rows], return_counts=True)
+            return _linear(kinds[some].astype(float), times, posterior[some], centre, ridge)
+
+        for ridge in RIDGES:
+            score = np.zeros(len(label))
+            for k in np.unique(fold):
+                weights = linear(fold != k if (fold != k).any() else fold == k, ridge)
+                score[fold == k] = x[fold == k] @ weights[:-1] + weights[-1]
+            missed = float((np.logaddexp(0, score) - label * score).mean())
+            if missed < best[0] - 1e-6:
+                best = (missed, model, linear, ridge)
+    _, model, linear, ridge = best
+    weights = linear(np.ones(len(label), bool), ridge)
+    return model, weights[:-1], float(weights[-1])
 
 
 @dataclass
@@ -141,6 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
         given = given.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # a broadcast of about fit_rows pairs of numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(given), "doc_id")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    rows = rows.withColumn("k", first).where(F.col("k") <= FIT_COPIES).drop("k")
 
     def count(batches):
         for batch in batches:
@@ -151,15 +210,20 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
                 toxic = np.bincount(at, label[row], len(term)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(toxic), pa.array(np.bincount(at, minlength=len(term)).astype(np.int64))], ["term", "toxic", "rows"])
 
-    counts = rows.select("label", "text").mapInArrow(count, "term long, toxic long, rows long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows")).where(F.col("rows") >= LEAST)
+    counts = rows.select("label", "text").mapInArrow(count, "term long, toxic long, rows long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows")).where(F.col("rows") >= LEAST // 2)
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not ones or ones == n:
         return Scorer(np.zeros(0, np.uint64), np.zeros(0), -1e9 if not ones else 1e9)
     rate = ones / n
     z = (F.col("toxic") - F.col("rows") * rate) / F.sqrt(F.col("rows") * (rate * (1 - rate)))
-    best = counts.where(F.col("toxic") >= PRECISION * F.col("rows")).withColumn("z", z).orderBy(F.desc("z"), "term").limit(FEATURES).collect()
+    sure = (F.col("rows") >= LEAST) & (F.col("toxic") >= PRECISION * F.col("rows"))
+    counts = counts.where(F.col("toxic") >= PRECISION / 2 * F.col("rows")).withColumns({"z": z, "sure": sure})
+    best = counts.orderBy(F.desc("sure"), F.desc("z"), "term").limit(VOTERS + EXTRA).collect()
+    best = [r for r in best if r.sure][:VOTERS] + [r for r in best if not r.sure][:EXTRA]
     best.sort(key=lambda r: np.int64(r.term).view(np.uint64))
-    known = np.array([r.term for r in best], np.int64).view(np.uint64)
+    known, votes = np.array([r.term for r in best], np.int64).view(np.uint64), np.array([r.sure for r in best], bool)
+    if not votes.any():
+        return Scorer(np.zeros(0, np.uint64), np.zeros(0), float(np.log(rate / (1 - rate))))
 
     def fired(batches):
         for batch in batches:
@@ -168,19 +232,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
                 ends = np.searchsorted(row, np.arange(high - low + 1))
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.searchsorted(known, found), pa.int32()))], ["label", "terms"])
 
-    held = rows.select("doc_id", "label", "text").mapInArrow(fired, "label int, terms array<int>").toArrow()
-    label = held.column("label").to_numpy().astype(np.float32)
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int").alias("label_fold")
+    held = rows.select((F.col("label") * FOLDS + fold).alias("label"), "text").mapInArrow(fired, "label int, terms array<int>").toArrow()  # fit_rows * FIT_COPIES rows at most
+    label, fold = np.divmod(held.column("label").to_numpy(), FOLDS)
     lists = held.column("terms").combine_chunks()
     x = np.zeros((len(label), len(known)), np.float32)
     x[np.repeat(np.arange(len(label)), np.asarray(pa.compute.list_value_length(lists))), np.asarray(pa.compute.list_flatten(lists))] = 1
-    order = np.lexsort(np.concatenate([x[:, : min(16, x.shape[1])].T, label[None]]))  # rows come in any order; sums shouldn't depend on it much
-    x, label = x[order], label[order]
-    voters = leading(x)
-    if not len(voters):
-        return Scorer(np.zeros(0, np.uint64), np.zeros(0), float(np.log(rate / (1 - rate))))
-    x, known = x[:, voters], known[voters]
-    model, posterior = LabelModel.fit(x.astype(float), label.astype(float))
-    weights, bias = _linear(x, posterior.astype(np.float32), model.weights())
+    model, weights, bias = train(x, votes, label, fold)
     return Scorer(known, weights, bias, model)
 
 
