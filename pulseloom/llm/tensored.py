@@ -40,7 +40,7 @@ GROUPS, ROWS = 16, 4  # groups at least
 MISSED = 1e-5  # of pairs at the threshold, by the groups of one collection
 TILE, TILE_SHINGLES = 1024, 1 << 22  # documents and shingles of a tile's side
 LOT, STEP = 8192, 64  # rows of tiles that one call compares, and rows that are held against all others of a tile at once
-TASK_SHINGLES = 200_000  # of texts that are compared with one text in one task
+TASK_SHINGLES = 50_000  # of texts that are compared with one text in one task
 _FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 

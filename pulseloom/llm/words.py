@@ -81,9 +81,7 @@ class Words:
 
     def distinct(self) -> list[bytes]:
         """The word of each code, as Python has it."""
-        raw, bounds = text_bytes(self.vocabulary.view(pa.large_string()) if len(self.vocabulary) else pa.array([], pa.large_string()))
-        raw, bounds = raw.tobytes(), bounds.tolist()
-        return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        return _strings(self.vocabulary)
 
     @property
     def hashes(self) -> np.ndarray:
@@ -92,8 +90,18 @@ class Words:
 
     def heads(self, k: int) -> np.ndarray:
         """For every word, a hash of its first k bytes; 0 where it has no more than those."""
-        longer = [w[:k] if len(w) > k else b"" for w in self.distinct()]
-        return np.where(np.array([len(w) > 0 for w in longer], bool), digests(longer)[:, 0] | np.uint64(1), np.uint64(0))[self.codes]
+        if not self.pieces:
+            return np.zeros(0, np.uint64)
+        longer = np.asarray(pa.compute.greater(pa.compute.binary_length(self.vocabulary), k))
+        head = pa.compute.binary_slice(self.vocabulary, 0, k).dictionary_encode()  # far fewer than words
+        named = digests(_strings(head.dictionary))[:, 0] | np.uint64(1)
+        return np.where(longer, named[np.asarray(head.indices)], np.uint64(0))[self.codes]
+
+
+def _strings(words: pa.Array) -> list[bytes]:
+    raw, bounds = text_bytes(words.view(pa.large_string()) if len(words) else pa.array([], pa.large_string()))
+    raw, bounds = raw.tobytes(), bounds.tolist()
+    return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def _piece(data: np.ndarray, at: int, cuts: np.ndarray, lower: bool, between: np.ndarray) -> tuple[np.ndarray, ...]:
