@@ -22,10 +22,11 @@ def label_of(k: Column, low: float, step: float, upper_edge: bool = True) -> Col
 
 def histogram(df: DataFrame, column: str, low: float, step: float, n: int, by: Sequence[str] = (), right_closed: bool = True, upper_edge: bool = True) -> DataFrame:
     """by, bin, label, n_rows of every bin of every group."""
-    counted = df.withColumn("bin", bin_of(F.col(column), low, step, n, right_closed)).where("bin is not null").groupBy(*by, "bin").agg(F.count("*").alias("n_rows"))
-    groups = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
-    bins = groups.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return bins.join(counted, [*by, "bin"], "left").select(*by, "bin", label_of(F.col("bin"), low, step, upper_edge).alias("label"), F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"))
+    at = F.coalesce(bin_of(F.col(column), low, step, n, right_closed), F.lit(-1))  # a group without rows in range is listed too
+    counted = df.groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n_rows"))
+    listed = counted.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n_rows"))).alias("_n"))
+    bins = listed.select(*by, "_n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"))
+    return bins.select(*by, "bin", label_of(F.col("bin"), low, step, upper_edge).alias("label"), F.coalesce(F.try_element_at("_n", F.col("bin")), F.lit(0)).cast("long").alias("n_rows"))
 
 
 def entropy(df: DataFrame, column: str, low: float, step: float, n: int, by: Sequence[str]) -> DataFrame:

@@ -86,10 +86,14 @@ def optimal_filters(pulses: DataFrame, noise: DataFrame, by: Sequence[str], puls
     return shapes.join(correlated, list(by)).groupBy(*by).applyInPandas(solve, f"{keys}, weights array<double>, variance double, resolution double")
 
 
+def filter_value(pulse: str, weights: str = "weights") -> Column:
+    """The product of a record with the weights beside it."""
+    return F.aggregate(F.zip_with(F.col(pulse), F.col(weights), lambda x, w: x.cast("double") * w), F.lit(0.0), lambda s, x: s + x)
+
+
 def filtered(pulses: DataFrame, filters: DataFrame, by: Sequence[str], pulse: str, output: str) -> DataFrame:
     """pulses with the one-lag output of each channel's own filter."""
-    height = F.aggregate(F.zip_with(F.col(pulse), F.col("weights"), lambda x, w: x.cast("double") * w), F.lit(0.0), lambda s, x: s + x)
-    return pulses.join(filters.select(*by, "weights"), list(by)).withColumn(output, height).drop("weights")
+    return pulses.join(filters.select(*by, "weights"), list(by)).withColumn(output, filter_value(pulse)).drop("weights")
 
 
 def gain_polynomial(assigned: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -202,8 +206,19 @@ def laplace_entropy(df: DataFrame, by: Sequence[str], column: str, width: float,
     return counts.groupBy(*by).applyInPandas(blur, f"{keys}, entropy double")
 
 
+# The consistency factor of the Q estimator of scale, and its corrections for 2 to 9 values and beyond.
+Q_NORMAL = 2.2219
+Q_FEW = (0.0, 0.0, 0.399, 0.994, 0.512, 0.844, 0.611, 0.857, 0.669, 0.872)
+Q_ODD, Q_EVEN = 1.4, 3.8
+
+
+def q_normal(distance: float, n: int) -> float:
+    return distance * Q_NORMAL * (Q_FEW[n] if n < len(Q_FEW) else n / (n + (Q_ODD if n % 2 else Q_EVEN)))
+
+
 def q_scale(df: DataFrame, by: Sequence[str], column: str, rounds: int = 60) -> DataFrame:
-    """by, q: the k-th smallest distance between two values, k = h (h - 1) / 2 with h = n / 2 + 1, without listing distances.
+    """by, q: the k-th smallest distance between two values, k = h (h - 1) / 2 with h = n / 2 + 1, without listing distances,
+    times what makes it the standard deviation of normal values.
 
     Bisection on the distance; each step counts closer pairs by one search a value over the sorted channel.
     """
@@ -219,7 +234,9 @@ def q_scale(df: DataFrame, by: Sequence[str], column: str, rounds: int = 60) ->
         for _ in range(rounds if high else 0):
             mid = (low + high) / 2
             low, high = (low, mid) if closer(mid) >= k else (mid, high)
-        return pd.DataFrame([{**{b: pdf[b].iloc[0] for b in by}, "q": high}])
+        if high:  # the distance itself, which the bisection only approaches
+            high = float((x[np.searchsorted(x, x + high * (1 + 1e-12), "right") - 1] - x).max())
+        return pd.DataFrame([{**{b: pdf[b].iloc[0] for b in by}, "q": q_normal(high, n)}])
 
     keys = ", ".join(f"{b} {df.schema[b].dataType.simpleString()}" for b in by)
     return df.select(*by, column).groupBy(*by).applyInPandas(find, f"{keys}, q double")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,31 +35,54 @@ def quiet_records(df: DataFrame, by: Sequence[str], pulse: str, n_sigma: float =
     return ranged.join(spread(ranged, by, "_range"), list(by)).where(F.col("_range") <= F.col("med") + n_sigma * F.col("smad")).drop("_range", "med", "smad")
 
 
+def _batch_sums(df: DataFrame, by: Sequence[str], pulse: str, f: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """by, k, total, n: sums of what f makes of records, as (row x k, which rows count).
+
+    Records are transformed a batch at a time where they are read, and a batch leaves one row a channel; records with
+    null samples, or none, are left out.
+    """
+    records = df.select(*by, F.col(pulse).cast("array<double>").alias("_x")).where(F.forall("_x", lambda x: x.isNotNull()) & (F.size("_x") > 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.select(list(by)).to_pandas()
+            code = keys.groupby(list(by), dropna=False, sort=False).ngroup().to_numpy()
+            first = pd.Series(code).drop_duplicates().index.to_numpy()
+            size = batch.column("_x").value_lengths().to_numpy()
+            for length in np.unique(size).tolist():
+                rows = np.flatnonzero(size == length)
+                values, counts = f(np.asarray(batch.column("_x").take(pa.array(rows)).flatten()).reshape(len(rows), length))
+                own = code[rows[counts]]
+                sums, n = np.zeros((len(first), values.shape[1])), np.bincount(own, minlength=len(first))
+                np.add.at(sums, own, values[counts])
+                here = pa.array(np.flatnonzero(n))
+                part = batch.select(list(by)).take(pa.array(first)).take(here)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(here) + 1) * values.shape[1], pa.int32()), pa.array(sums[n > 0].ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(n[n > 0], pa.int64())], [*by, "_s", "_n"])
+
+    kinds = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in by)
+    parts = records.mapInArrow(run, f"{kinds}_s array<double>, _n long")
+    return parts.select(*by, F.posexplode("_s").alias("k", "_v"), "_n").groupBy(*by, "k").agg(F.sum("_v").alias("total"), F.sum("_n").alias("n"))
+
+
 def autocorrelation(df: DataFrame, by: Sequence[str], pulse: str, lags: int, most: float = math.inf) -> DataFrame:
     """by, lag, value: mean over records of the biased autocorrelation of each record less its mean; records that stray beyond `most` are left out."""
-    n = F.size(pulse)
-    flat = F.transform(F.col(pulse), lambda x: x.cast("double") - P.mean_of(F.col(pulse)))
-    records = df.select(*by, flat.alias("_y")).where(F.array_max(F.transform("_y", F.abs)) <= most)
-    y = F.col("_y")
-    n = F.size(y)
-    each = F.transform(F.sequence(F.lit(0), F.lit(lags - 1)), lambda k: F.aggregate(F.zip_with(F.slice(y, 1, n - k), F.slice(y, k + 1, n - k), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) / n)
-    return records.select(*by, F.posexplode(each).alias("lag", "_v")).groupBy(*by, "lag").agg(F.avg("_v").alias("value"))
 
+    def correlate(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        y, n = x - x.mean(1, keepdims=True), x.shape[1]
+        power = np.abs(np.fft.rfft(y, 2 * n)) ** 2
+        each = np.zeros((len(y), lags))
+        each[:, : min(lags, n)] = np.fft.irfft(power, 2 * n)[:, : min(lags, n)] / n
+        return each, np.abs(y).max(1) <= most
 
-def periodogram(df: DataFrame, by: Sequence[str], pulse: str, n: int, dt: float) -> DataFrame:
-    """by, k, frequency, psd: mean one-sided power spectral density of records of n samples.
+    return _batch_sums(df, by, pulse, correlate).select(*by, F.col("k").alias("lag"), (F.col("total") / F.col("n")).alias("value"))
 
-    The transform is a sum of products with fixed cosines and sines, records being short.
-    """
-    y = F.col(pulse)
 
-    def part(k: Column, f) -> Column:
-        return F.aggregate(F.zip_with(y, F.sequence(F.lit(0), F.lit(n - 1)), lambda x, j: x.cast("double") * f(2 * math.pi / n * F.pmod(k * j, F.lit(n)))), F.lit(0.0), lambda s, x: s + x)
-
-    power = F.transform(F.sequence(F.lit(0), F.lit(n // 2)), lambda k: F.pow(part(k, F.cos), 2.0) + F.pow(part(k, F.sin), 2.0))
-    spectra = df.select(*by, F.posexplode(power).alias("k", "_p")).groupBy(*by, "k").agg(F.avg("_p").alias("_p"))
+def periodogram(df: DataFrame, by: Sequence[str], pulse: str, n: int, dt: float) -> DataFrame:
+    """by, k, frequency, psd: mean one-sided power spectral density of the records of n samples."""
+    spectra = _batch_sums(df.where(F.size(pulse) == n), by, pulse, lambda x: (np.abs(np.fft.rfft(x)) ** 2, np.ones(len(x), bool)))
     edge = (F.col("k") == 0) | (F.col("k") * 2 == n)
-    return spectra.select(*by, "k", (F.col("k") / (n * dt)).alias("frequency"), (F.col("_p") * dt / n * F.when(edge, 1.0).otherwise(2.0)).alias("psd"))
+    return spectra.select(*by, "k", (F.col("k") / (n * dt)).alias("frequency"), (F.col("total") / F.col("n") * dt / n * F.when(edge, 1.0).otherwise(2.0)).alias("psd"))
 
 
 def log_rebinned(psd: DataFrame, by: Sequence[str], per_decade: int) -> DataFrame:
@@ -122,7 +146,7 @@ def kink_at(df: DataFrame, by: Sequence[str], x: str, y: str, k: float) -> DataF
 
 
 def ranked_assignments(lines: DataFrame, peaks: DataFrame, curvature: float = 30_000.0, within: float = 0.1) -> DataFrame:
-    """Ways to give three peak heights to three line energies by a falling linear gain, best first.
+    """Ways to give three peak heights to three line energies by a falling linear gain; rank 1 has the least relative error.
 
     lines (energy) and peaks (height) are short lists; pairs come from range joins between them.
     """
@@ -134,7 +158,9 @@ def ranked_assignments(lines: DataFrame, peaks: DataFrame, curvature: float = 30
     pairs = pairs.where((F.col("slope") < 0) & (1 + curvature * F.col("slope") / F.col("gain") > 0.25))
     full = pairs.join(e(2), F.col("e1") < F.col("e2")).join(p(2), F.col("p1") < F.col("p2"))
     error = F.col("p2") / (F.col("gain") + F.col("slope") * F.col("p2")) - F.col("e2")
-    return full.withColumn("error", error).where(F.abs(F.col("error") / F.col("e2")) < within).select("e0", "p0", "e1", "p1", "e2", "p2", "error")
+    full = full.withColumn("error", error).where(F.abs(F.col("error") / F.col("e2")) < within)
+    best = Window.orderBy(F.round(F.abs(F.col("error") / F.col("e2")), 9), "e0", "p0", "e1", "p1", "e2", "p2")  # as few rows as short lists give
+    return full.withColumn("rank", F.row_number().over(best)).select("e0", "p0", "e1", "p1", "e2", "p2", "error", "rank")
 
 
 def best_combination(lines: Sequence[float], peaks: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -44,22 +44,43 @@ def asof(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value: s
     return found.where(F.col("_side") == (1 if back else 0)).select(*names, F.col("_found.t").alias(f"{value}_at"), F.col("_found.v").alias(value))
 
 
-def trigger_distances(df: DataFrame, triggers: DataFrame, by: Sequence[str], on: str, tick_ms: float) -> DataFrame:
+def around(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value: str, slot: float | None = None) -> DataFrame:
+    """left with _before and _after, structs (t, v) of the right rows at or before and at or after each row, by one sort."""
+    held = F.struct(F.col(on).alias("t"), F.col(value).alias("v"))
+    kind = right.select(held.alias("h")).schema["h"].dataType
+    mine = left.select("*", F.lit(None).cast(kind).alias("_h"), F.lit(1).alias("_side"))
+    both = mine.unionByName(right.select(*by, on, held.alias("_h"), F.lit(0).alias("_side")), allowMissingColumns=True)
+    place = F.floor((F.col(on).cast("timestamp").cast("double") if dict(left.dtypes)[on].startswith("timestamp") else F.col(on).cast("double")) / (slot or 1.0))
+    keys = [*by, "_slot"] if slot else list(by)
+    both = both.withColumn("_slot", place) if slot else both
+    w = Window.partitionBy(*keys).orderBy(on, "_side")
+    past, future = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    found = both.withColumns({"_before": F.last("_h", ignorenulls=True).over(past), "_after": F.first("_h", ignorenulls=True).over(future)}).where("_side = 1").drop("_h", "_side")
+    if slot:
+        rows = both.where(F.col("_h").isNotNull())
+        ends = rows.groupBy(*keys).agg(F.max_by("_h", on).alias("_last"), F.min_by("_h", on).alias("_first"))
+        slots = both.select(*keys).distinct().join(ends, keys, "left")
+        s = Window.partitionBy(*by).orderBy("_slot")
+        near = slots.select(*keys, F.last("_last", ignorenulls=True).over(s.rowsBetween(Window.unboundedPreceding, -1)).alias("_low"), F.first("_first", ignorenulls=True).over(s.rowsBetween(1, Window.unboundedFollowing)).alias("_high"))
+        found = found.join(near, keys, "left").withColumns({"_before": F.coalesce("_before", "_low"), "_after": F.coalesce("_after", "_high")}).drop("_low", "_high", "_slot")
+    # at equal times right rows stand first, so the row before is the one after too
+    return found.withColumn("_after", F.when(F.col("_before.t") == F.col(on), F.col("_before")).otherwise(F.col("_after")))
+
+
+def trigger_distances(df: DataFrame, triggers: DataFrame, by: Sequence[str], on: str, tick_ms: float, slot: float | None = None) -> DataFrame:
     """df with ms since the last trigger, until the next one, and the nearer of both (negative: until the next)."""
-    trig = triggers.select(*by, on, F.col(on).alias("prev"))
-    out = asof(df, trig, by, on, "prev").drop("prev_at")
-    out = asof(out, trig.withColumnRenamed("prev", "next"), by, on, "next", "forward").drop("next_at")
-    since, until = F.col(on) - F.col("prev"), F.col("next") - F.col(on)
+    out = around(df, triggers, by, on, on, slot)
+    since, until = F.col(on) - F.col("_before.t"), F.col("_after.t") - F.col(on)
     out = out.withColumns({"ms_since": since * tick_ms, "ms_until": until * tick_ms})
-    return out.withColumn("ms_nearest", F.when(since < until, F.col("ms_since")).otherwise(-F.col("ms_until"))).drop("prev", "next")
+    return out.withColumn("ms_nearest", F.when(since < until, F.col("ms_since")).otherwise(-F.col("ms_until"))).drop("_before", "_after")
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value: str) -> DataFrame:
+def asof_nearest(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, value: str, slot: float | None = None) -> DataFrame:
     """left with `value` and its place of the nearest right row; ties go to the earlier one."""
-    out = asof(left, right, by, on, value).withColumnsRenamed({value: "_vb", f"{value}_at": "_tb"})
-    out = asof(out, right, by, on, value, "forward").withColumnsRenamed({value: "_vf", f"{value}_at": "_tf"})
-    earlier = F.col("_tf").isNull() | (F.col(on) - F.col("_tb") <= F.col("_tf") - F.col(on))
-    return out.withColumns({f"{value}_at": F.when(earlier, F.col("_tb")).otherwise(F.col("_tf")), value: F.when(earlier, F.col("_vb")).otherwise(F.col("_vf"))}).drop("_vb", "_tb", "_vf", "_tf")
+    out = around(left, right, by, on, value, slot)
+    earlier = F.col("_after").isNull() | (F.col(on) - F.col("_before.t") <= F.col("_after.t") - F.col(on))
+    near = F.when(earlier, F.col("_before")).otherwise(F.col("_after"))
+    return out.withColumn("_near", near).select(*left.columns, F.col("_near.t").alias(f"{value}_at"), F.col("_near.v").alias(value))
 
 
 def monotonic(df: DataFrame, by: Sequence[str], order: Sequence[str], column: str) -> DataFrame:

@@ -363,35 +363,37 @@ def gain_calibration(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", energy.alias("e")).select("l_orderkey", "l_linenumber", F.round("e", 6).alias("energy"), F.round(back, 4).alias("height"))
 
 
-_TRIOS = "l(e) AS (VALUES (1000.0::DOUBLE), (1400.0), (1900.0), (2600.0)), h(p) AS (SELECT DISTINCT p_retailprice FROM part ORDER BY 1 DESC LIMIT 25)"
+_TRIOS = """l(e) AS (VALUES (1000.0::DOUBLE), (1400.0), (1900.0), (2600.0)), c AS (SELECT (CASE WHEN l_extendedprice = 0 THEN 0 ELSE ceil(l_extendedprice / 500.0) - 1 END)::INT AS bin, count(*) AS n FROM lineitem WHERE l_extendedprice BETWEEN 0 AND 100000 GROUP BY 1),
+b AS (SELECT b::INT AS bin, (b + 1.0::DOUBLE) * 500.0 AS label, coalesce(n, 0)::BIGINT AS n FROM range(200) t(b) LEFT JOIN c ON c.bin = b), s AS (SELECT *, lag(n) OVER (ORDER BY bin) AS l, lead(n) OVER (ORDER BY bin) AS r FROM b),
+h(p) AS (SELECT label FROM s WHERE n > l AND n > r ORDER BY n DESC, bin LIMIT 25)"""
 
 
 @query(f"""WITH {_TRIOS}, a AS (SELECT l0.e AS e0, l1.e AS e1, h0.p AS p0, h1.p AS p1, (h1.p / l1.e - h0.p / l0.e) / (h1.p - h0.p) AS slope, h0.p / l0.e - h0.p * ((h1.p / l1.e - h0.p / l0.e) / (h1.p - h0.p)) AS gain
-FROM l l0 JOIN l l1 ON l0.e < l1.e JOIN h h0 ON true JOIN h h1 ON h0.p < h1.p)
-SELECT e0, p0, e1, p1, l2.e AS e2, h2.p AS p2, round(h2.p / (gain + slope * h2.p) - l2.e, 6) AS error FROM a JOIN l l2 ON e1 < l2.e JOIN h h2 ON p1 < h2.p
-WHERE slope < 0 AND 1 + 1.0 * slope / gain > 0.25 AND abs((h2.p / (gain + slope * h2.p) - l2.e) / l2.e) < 0.5""")
+FROM l l0 JOIN l l1 ON l0.e < l1.e JOIN h h0 ON true JOIN h h1 ON h0.p < h1.p),
+f AS (SELECT e0, p0, e1, p1, l2.e AS e2, h2.p AS p2, h2.p / (gain + slope * h2.p) - l2.e AS error FROM a JOIN l l2 ON e1 < l2.e JOIN h h2 ON p1 < h2.p
+WHERE slope < 0 AND 1 + 1.0 * slope / gain > 0.25 AND abs((h2.p / (gain + slope * h2.p) - l2.e) / l2.e) < 0.5)
+SELECT e0, p0, e1, p1, e2, p2, round(error, 6) AS error, (row_number() OVER (ORDER BY round(abs(error / e2), 9), e0, p0, e1, p1, e2, p2))::INT AS rank FROM f""")
 def three_peak_assignments(spark, sf_dir):
+    """Peaks are the 25 highest local maxima of the spectrum of all rows: as many as lines, and 21 more."""
     lines = spark.createDataFrame([(x,) for x in (1000.0, 1400.0, 1900.0, 2600.0)], "energy double")
-    peaks = _t(spark, sf_dir, "part").select(F.col("p_retailprice").alias("height")).distinct().orderBy(F.desc("height")).limit(25)
+    maxima = histograms.local_maxima(histograms.histogram(_t(spark, sf_dir, "lineitem"), "l_extendedprice", 0.0, 500.0, 200), [])
+    peaks = maxima.orderBy(F.desc("n_rows"), "bin").limit(25).select(F.col("label").alias("height"))
     return pulse_stats.ranked_assignments(lines, peaks, 1.0, 0.5).withColumn("error", F.round("error", 6))
 
 
-@query("""WITH h AS (SELECT p_size, p_retailprice AS h FROM part WHERE p_size <= 20 QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY p_retailprice DESC, p_partkey) <= 12),
+@query("""WITH h AS (SELECT DISTINCT p_size, p_retailprice AS h FROM part),
 t AS (SELECT a.p_size, a.h AS h0, b.h AS h1, c.h AS h2, abs(1000.0 + (b.h - a.h) / (c.h - a.h) * 900.0 - 1300.0) AS rms FROM h a JOIN h b ON a.p_size = b.p_size AND a.h < b.h JOIN h c ON a.p_size = c.p_size AND b.h < c.h)
 SELECT p_size, h0, h1, h2, round(rms, 6) AS rms FROM t QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY rms, h0, h1, h2) = 1""")
 def combinatoric_assignment(spark, sf_dir):
-    by = Window.partitionBy("p_size").orderBy(F.desc("p_retailprice"), "p_partkey")
-    peaks = _t(spark, sf_dir, "part").where("p_size <= 20").withColumn("rn", F.row_number().over(by)).where("rn <= 12").select("p_size", F.col("p_retailprice").alias("height"))
+    """Over all channels and all of their heights."""
+    peaks = _t(spark, sf_dir, "part").select("p_size", F.col("p_retailprice").alias("height"))
     return pulse_stats.best_combination([1000.0, 1300.0, 1900.0], peaks, ["p_size"]).withColumn("rms", F.round("rms", 6))
 
 
-@query("""WITH h AS (SELECT DISTINCT p_size, p_retailprice AS h FROM part),
-t AS (SELECT a.p_size, a.h AS h0, b.h AS h1, c.h AS h2, abs(1000.0 + (b.h - a.h) / (c.h - a.h) * 900.0 - 1300.0) AS rms FROM h a JOIN h b ON a.p_size = b.p_size AND a.h < b.h JOIN h c ON a.p_size = c.p_size AND b.h < c.h)
-SELECT p_size, h0, h1, h2, round(rms, 6) AS rms FROM t QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY rms, h0, h1, h2) = 1""")
+@query(SQL["combinatoric_assignment"])
 def combinatoric_assignment_all(spark, sf_dir):
-    """combinatoric_assignment over all channels and all of their heights."""
-    peaks = _t(spark, sf_dir, "part").select("p_size", F.col("p_retailprice").alias("height"))
-    return pulse_stats.best_combination([1000.0, 1300.0, 1900.0], peaks, ["p_size"]).withColumn("rms", F.round("rms", 6))
+    """The older name of combinatoric_assignment."""
+    return combinatoric_assignment(spark, sf_dir)
 
 
 @query("""WITH c AS (SELECT (CASE WHEN l_extendedprice = 0 THEN 0 ELSE ceil(l_extendedprice / 500.0) - 1 END)::INT AS bin, count(*) AS n FROM lineitem WHERE l_extendedprice BETWEEN 0 AND 100000 GROUP BY 1),
@@ -485,7 +487,7 @@ def unwrap_running(spark, sf_dir):
 
 @query("""WITH x AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
 d AS (SELECT a.user_id, abs(a.value - b.value) AS d, a.n FROM x a JOIN x b ON a.user_id = b.user_id AND a.k < b.k),
-r AS (SELECT user_id, d, n, row_number() OVER (PARTITION BY user_id ORDER BY d) AS k FROM d) SELECT user_id, round(d, 6) AS q FROM r WHERE k = (n // 2 + 1) * (n // 2) // 2""")
+r AS (SELECT user_id, d, n, row_number() OVER (PARTITION BY user_id ORDER BY d) AS k FROM d) SELECT user_id, round(d * 2.2219 * CASE WHEN n <= 9 THEN [0.399, 0.994, 0.512, 0.844, 0.611, 0.857, 0.669, 0.872][n - 1] WHEN n % 2 = 1 THEN n / (n + 1.4) ELSE n / (n + 3.8) END, 6) AS q FROM r WHERE k = (n // 2 + 1) * (n // 2) // 2""")
 def q_scale(spark, sf_dir):
     from pulseloom.operators import learning
 
@@ -535,6 +537,26 @@ def recipe_replay(spark, sf_dir):
     return recipe.trimmed(["twice"]).replay(e).select("event_id", F.round("twice", 7).alias("twice"))
 
 
+@query(f"""WITH {_BASE}, d AS (SELECT vec_id, label, round(m, 6) AS base, CASE WHEN m < peak THEN peak - floor(m + 0.5) ELSE 0 END AS top FROM c),
+g AS (SELECT *, top / (1.1 + 0.0001 * top + 1e-9 * top * top) AS energy FROM d)
+SELECT vec_id, top, round(energy, 6) AS energy, CASE WHEN energy > 150 THEN 'high' WHEN energy > 50 THEN 'middle' ELSE 'fallback' END AS class FROM g""")
+def recipe_of_operations(spark, sf_dir):
+    """Summary, calibration and categories, recorded as steps, trimmed to what is needed, and replayed."""
+    from pulseloom.plans.recipe import Recipe, Step
+
+    rows, recipe = _pulses(spark, sf_dir), Recipe(("label",))
+    steps = [
+        Step.named("summary", ["pulse"], ["base", "top"], pulse="pulse", pre=PRE, columns={"base": "pretrig_mean", "top": "peak_value"}),
+        Step.named("summary", ["pulse"], ["rms"], pulse="pulse", pre=PRE, columns={"rms": "pulse_rms"}),
+        Step.named("gain", ["top"], ["energy"], height="top", a=1e-9, b=0.0001, c=1.1, output="energy"),
+        Step.named("categorize", ["energy"], ["class"], conditions={"middle": "energy > 50", "high": "energy > 150"}, output="class"),
+    ]
+    made = rows
+    for step in steps:
+        made, recipe = recipe.then(made, step)
+    return recipe.trimmed(["class"]).replay(rows).select("vec_id", "top", F.round("energy", 6).alias("energy"), "class")
+
+
 @query("SELECT event_id, round(sqrt(value) + 1, 9) AS mapped FROM events")
 def column_map(spark, sf_dir):
     @F.pandas_udf("double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseloom.plans.recipe import Recipe, Step
@@ -75,10 +75,32 @@ class Channels:
         last = mine.agg(F.max("concat_state")).first()[0] or 0
         return replace(self, df=mine.unionByName(theirs.drop("concat_state").withColumn("concat_state", F.lit(last + 1))), recipe=None)
 
+    def with_more_channels(self, other: Channels) -> Channels:
+        """The rows of other channels below; a channel that both have is an error."""
+        both = self.df.select(self.key).distinct().join(other.df.select(other.key).distinct(), self.key, "left_semi")
+        if not both.isEmpty():
+            raise ValueError("both have some of the channels")
+        return replace(self, df=self.df.unionByName(other.df, allowMissingColumns=True))
+
     def save(self, path: str, overwrite: bool = False) -> None:
-        self.df.drop("pulse").write.mode("overwrite" if overwrite else "errorifexists").partitionBy(self.key).parquet(f"{path}/rows")
-        if self.recipe and not overwrite:
-            self.recipe.save(path)
+        """Rows without pulses, partitioned by channel; the filter, bad channels and recipe beside them."""
+        mode = "overwrite" if overwrite else "errorifexists"
+        self.df.drop("pulse").write.mode(mode).partitionBy(self.key).parquet(f"{path}/rows")
+        spark = self.df.sparkSession
+        facts = spark.createDataFrame([(self.key, self.df.schema[self.key].dataType.simpleString(), self.good_expr, self.recipe is not None)], "key string, kind string, good string, recipe boolean")
+        facts.coalesce(1).write.mode(mode).json(f"{path}/channels")
+        bad = self.bad if self.bad is not None else spark.createDataFrame([], f"{self.key} long, {BAD}")
+        bad.coalesce(1).write.mode(mode).parquet(f"{path}/bad")
+        if self.recipe:
+            self.recipe.save(f"{path}/recipe", overwrite)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Channels:
+        """What save() wrote."""
+        facts = spark.read.json(f"{path}/channels").first()
+        rows = spark.read.parquet(f"{path}/rows")
+        bad = spark.read.parquet(f"{path}/bad")
+        return cls(rows.withColumn(facts.key, F.col(facts.key).cast(facts.kind)), facts.key, facts.good, Recipe.load(spark, f"{path}/recipe") if facts.recipe else None, None if bad.isEmpty() else bad)
 
 
 def combined(named: dict[str, DataFrame], label: str = "source") -> DataFrame:

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseloom.functions import pulses as P
-from pulseloom.operators import temporal
+from pulseloom.operators import pulse_stats, temporal
 from pulseloom.plans.channels import Channels, combined
 from pulseloom.plans.recipe import Recipe, Step
 from pulseloom.sources import pulse_files
@@ -132,3 +132,67 @@ def test_streams(spark, rows, tmp_path):
     q = counts.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("counted").agg(F.sum("n_rows")).first()[0] == 60
+
+
+def test_operations_are_recorded_saved_trimmed_and_replayed(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    shape = np.concatenate([np.zeros(16), 600 * np.exp(-np.arange(48) / 12)])
+    rows = []
+    for k in range(400):
+        size, base = (0.0 if k // 2 % 4 == 0 else 1.0 + 0.5 * (k % 2)), rng.normal(0, 4)
+        pulse = 1000 + base + size * shape * (1 + 2e-4 * base) + rng.normal(0, 2, 64)
+        rows.append((k % 2, k, [int(x) for x in pulse], k // 2 % 4 == 0))
+    df = spark.createDataFrame(rows, "ch_num int, row_idx int, pulse array<int>, is_noise boolean")
+    ch = Channels(df)
+    for step in (
+        Step.named("summary", ["pulse"], ["base", "top"], pulse="pulse", pre=16, columns={"base": "pretrig_mean", "top": "peak_value"}),
+        Step.named("filter", ["pulse", "is_noise"], ["height"], pulse="pulse", pre=16, noise="is_noise", output="height"),
+        Step.named("drift", ["height", "base"], ["steady"], use="not is_noise", height="height", indicator="base", output="steady"),
+        Step.named("gain", ["steady"], ["energy"], height="steady", a=0.0, b=0.0, c=2.0, output="energy"),
+        Step.named("categorize", ["top"], ["kind"], conditions={"pulse": "top > 100"}, output="kind"),
+        Step.named("unwrap", ["row_idx", "ch_num"], ["flat"], column="row_idx", period=100.0, order=["row_idx"], output="flat"),
+    ):
+        ch = ch.with_step(step)
+    want = ch.df.orderBy("row_idx").collect()
+    pulses = [r for r in want if r.kind == "pulse"]
+    assert len(pulses) == 300 and all(r.energy == pytest.approx(r.steady / 2) for r in pulses)
+    spread = {k: np.std([r[k] for r in pulses if r.row_idx % 2]) / np.mean([r[k] for r in pulses if r.row_idx % 2]) for k in ("top", "height", "steady")}
+    assert spread["height"] < spread["top"] and spread["steady"] <= spread["height"] * 1.01
+    ch.set_bad([1], "x").with_good_expr("top > 0").save(str(tmp_path / "c"))
+    again = Channels.load(spark, str(tmp_path / "c"))
+    assert again.good_expr == "top > 0" and again.all_good().select("ch_num").distinct().collect() == [(0,)] and again.df.count() == 400
+    replayed = again.recipe.replay(df).orderBy("row_idx").collect()
+    assert [r.asDict() for r in replayed] == [r.asDict() for r in want]
+    assert [s.operation for s in again.recipe.trimmed(["energy"]).steps] == ["summary", "filter", "drift", "gain"]
+    ch.with_step(Step({"more": "2 * energy"}, ("energy",))).save(str(tmp_path / "c"), overwrite=True)
+    assert len(Channels.load(spark, str(tmp_path / "c")).recipe.steps) == 7
+    with pytest.raises(ValueError):
+        Step.named("nothing", [], [])
+    with pytest.raises(ValueError):
+        ch.with_more_channels(ch)
+
+
+@pytest.mark.parametrize("slot", [None, 7.0])
+def test_around_finds_both_neighbours(spark, slot):
+    rng = np.random.default_rng(4)
+    left = sorted({(int(c), int(t)) for c, t in rng.integers(0, [3, 100], (80, 2))})
+    right = sorted({(int(c), int(t)) for c, t in rng.integers(0, [2, 100], (15, 2))})
+    got = temporal.asof_nearest(spark.createDataFrame(left, "ch int, t int"), spark.createDataFrame([(*r, r[1] * 10) for r in right], "ch int, t int, v int"), ["ch"], "t", "v", slot).collect()
+    for r in got:
+        times = [t for c, t in right if c == r.ch]
+        best = min(times, key=lambda t: (abs(t - r.t), t)) if times else None
+        assert (r.v_at, r.v) == (best, None if best is None else best * 10)
+
+
+def test_batch_spectra_equal_the_definition(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 5, (30, 20)).round(3)
+    df = spark.createDataFrame([(k % 3, v.tolist()) for k, v in enumerate(x)] + [(0, [1.0, 2.0]), (1, None), (2, [None] * 20), (None, x[0].tolist())], "ch int, y array<double>")
+    got = {(r.ch, r.k): r.psd for r in pulse_stats.periodogram(df, ["ch"], "y", 20, 0.5).collect()}
+    for c in range(3):
+        power = (np.abs(np.fft.fft(x[c::3]))[:, :11] ** 2).mean(0) * 0.5 / 20 * np.where(np.isin(np.arange(11), (0, 10)), 1, 2)
+        assert [got[c, k] for k in range(11)] == pytest.approx(power)
+    assert (None, 3) in got
+    lags = {(r.ch, r.lag): r.value for r in pulse_stats.autocorrelation(df.where("size(y) = 20"), ["ch"], "y", 4).collect()}
+    flat = x - x.mean(1, keepdims=True)
+    assert all(lags[c, k] == pytest.approx(np.mean([f[: 20 - k] @ f[k:] / 20 for f in flat[c::3]])) for c in range(3) for k in range(4))

@@ -73,7 +73,8 @@ def test_entropy_and_q_scale(spark):
     d = sorted(abs(a - b) for i, a in enumerate(small) for b in small[:i])
     h = 101 // 2 + 1
     got = learning.q_scale(spark.createDataFrame([(1, v) for v in small] + [(2, 5.0), (3, None)], "ch int, x double"), ["ch"], "x").collect()
-    assert {r.ch: r.q for r in got} == pytest.approx({1: d[h * (h - 1) // 2 - 1], 2: 0.0, 3: 0.0})
+    assert {r.ch: r.q for r in got} == pytest.approx({1: d[h * (h - 1) // 2 - 1] * 2.2219 * 101 / 102.4, 2: 0.0, 3: 0.0})
+    assert learning.q_scale(df, ["ch"], "x").first().q == pytest.approx(1, abs=0.03)
 
 
 def test_chosen_columns(spark):
