@@ -22,10 +22,9 @@ def _with_least(edges: DataFrame, n: int) -> DataFrame:
     """edges (u, v) with m, the smallest v of each u."""
     limit = max(LEAST, n // HUBS)
     tasks = min(partitions(edges.sparkSession), max(8, n // EDGES))
-    dealt = edges.repartition(tasks, "u")
-    grouped = dealt.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    grouped = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))  # summed before the shuffle, so a hub is a row a task
     if (grouped.agg(F.max("n")).first()[0] or 0) <= limit:
-        return dealt.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        return edges.repartition(tasks, "u").withColumn("m", F.min("v").over(Window.partitionBy("u")))
     hubs = F.broadcast(grouped.where(F.col("n") > limit).select("u", F.ceil(F.col("n") / limit).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
     left = edges.join(hubs, "u", "left").withColumn("part", F.pmod(F.xxhash64("v"), parts).cast("int")).drop("parts")
