@@ -10,7 +10,8 @@ Only combinations of groups that some other document has too are formed.  In eac
 documents are compared with the smallest one; components of the links found are contracted, and then only
 documents of one bucket that lie in different components are compared, in tiles: those of the bucket's largest
 component with the others alone, and only sizes that can be alike.  A large group of near copies so costs a
-comparison a member, not one a pair, and no link between components is lost.  Tiles bound an intersection from
+comparison a member, not one a pair, and no link between components is lost.  Buckets that share a key of the
+first collection are compared as one where that holds no more pairs than they do together.  Tiles bound an intersection from
 above by parities, as many bits as a set has shingles; no pairs but possible links leave a tile.
 
 Hashes only propose.  Every link, and every document held equal to another, is confirmed on the words
@@ -164,6 +165,33 @@ def _unpacked(column: pa.Array) -> np.ndarray:
     return np.array([np.bitwise_xor.reduce(flat[a:b].reshape(-1, width), 0) for a, b in zip(at, at[1:], strict=False)])
 
 
+def buckets(df: DataFrame) -> DataFrame:
+    """A row for each table that a document has: p, the key of the first collection, and bucket, of both keys."""
+    return df.withColumn("p", F.explode("first")).withColumn("q", F.explode("second")).withColumn("bucket", F.xxhash64("p", "q")).drop("q", "first", "second")
+
+
+def to_compare(placed: DataFrame) -> DataFrame:
+    """bucket, row, n, component of the buckets with several components; placed: row, n, first, second, component.
+
+    Much alike documents share most of the tables of a key p of the first collection, and would be compared in each.
+    The buckets of such a p become one, of all documents with p, wherever that holds no more pairs than they do
+    together.  No pair that shares a table is lost by it.  Buckets of the same rows are compared once.
+    """
+    rows = (F.count("*").alias("rows"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("one"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(20,0)")).alias("two"))
+    dealt, whole = buckets(placed), placed.withColumn("p", F.explode("first")).drop("first", "second")
+    spans = dealt.groupBy("p", "bucket").agg(F.min("component").alias("from"), F.max("component").alias("to"), *rows)
+    spans = stored(spans.where("`from` <> `to`").drop("from", "to"), "spans")
+    pairs = F.sum(F.col("rows").cast("double") * F.col("rows")).alias("pairs")
+    merged = whole.groupBy("p").agg(*rows).join(spans.groupBy("p").agg(pairs, F.count("*").alias("buckets")), "p").where("buckets > 1 and cast(rows as double) * rows <= pairs")
+    merged = stored(merged.select("p", F.xxhash64("p").alias("bucket"), "rows", "one", "two", F.lit(True).alias("merged")), "merged")
+    every = spans.withColumn("merged", F.lit(False)).join(merged.select("p"), "p", "left_anti").unionByName(merged)
+    once = stored(every.groupBy("rows", "one", "two").agg(F.min(F.struct("merged", "p", "bucket")).alias("s")).select("s.*"), "once")
+    apart = dealt.join(once.where("not merged").select("bucket"), "bucket", "left_semi")
+    joint = whole.join(once.where("merged").select("p", "bucket"), "p")
+    of = ("bucket", "row", "n", "component")
+    return apart.select(*of).union(joint.select(*of))
+
+
 def near_misses(rows: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of one bucket in different components that sizes and parities do not rule out.
 
@@ -277,8 +305,7 @@ def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
         common = keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
         of = lambda s: F.collect_list(F.when(F.col("side") == s, F.col("key")))
         shared = stored(keys.join(common, "key", "left_semi").groupBy("row", "n").agg(of(0).alias("first"), of(1).alias("second")).where("size(first) > 0 and size(second) > 0"), "shared")
-        buckets = lambda df: df.withColumn("p", F.explode("first")).withColumn("q", F.explode("second")).withColumn("bucket", F.xxhash64("p", "q")).drop("p", "q", "first", "second")
-        tables = buckets(shared)
+        tables = buckets(shared).drop("p")
         least = tables.groupBy("bucket").agg(F.min(F.struct(F.col("row").alias("a"), F.col("n").alias("m"))).alias("s"), F.count("*").alias("size")).where("size > 1").select("bucket", "s.*")
         alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
         star = stored(tables.join(least, "bucket").where((F.col("a") != F.col("row")) & alike(F.col("n"), F.col("m"))).select("a", F.col("row").alias("b")).distinct(), "star")
@@ -301,11 +328,7 @@ def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
         components = joined(components, stored(confirmed(more, sets, size, percent), "links"))
         # what is left: documents that share a table and lie in different components
         placed = stored(shared.join(components, shared.row == components.node, "left").select("row", "n", "first", "second", F.coalesce("component", "row").alias("component")), "placed")
-        dealt = buckets(placed)
-        spans = dealt.groupBy("bucket").agg(F.min("component").alias("from"), F.max("component").alias("to"), F.count("*").alias("rows"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("one"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(20,0)")).alias("two"))
-        # buckets of the same rows are compared once
-        spans = spans.where("`from` <> `to`").groupBy("rows", "one", "two").agg(F.min("bucket").alias("bucket")).select("bucket")
-        left = dealt.join(spans, "bucket", "left_semi").join(sets.select("row", "bits"), "row")
+        left = to_compare(placed).join(sets.select("row", "bits"), "row")
         pairs = stored(near_misses(left, percent), "pairs")
         components = joined(components, stored(confirmed(pairs, sets, size, percent), "links"))
         of_node = stored(nodes.join(components, nodes.row == components.node, "left").select("row", "low", F.coalesce("component", "row").alias("component")), "nodes")
