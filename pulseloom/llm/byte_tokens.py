@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
+LOT = 1 << 18  # characters, about, that the library encodes at a time
 _GAP = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 _UNSAFE = rf"\A | \z|{_GAP} | {_GAP}"  # a space at an end of the text or beside other white space
 
@@ -38,7 +39,13 @@ class ByteTokens:
         self.pool, self.bounds = np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        out, low, held = [], 0, 0
+        for k, text in enumerate(texts, 1):
+            held += len(text)
+            if held >= LOT or k == len(texts):  # the library's results hold far more than ids
+                out += [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts[low:k], add_special_tokens=False)]
+                low, held = k, 0
+        return out
 
     def _unknown(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a space and each word, one after the other, and their bounds; the words hold no space."""

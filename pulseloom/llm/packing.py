@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseloom.llm.byte_tokens import byte_tokens, crc32
-from pulseloom.llm.tables import partitions, stored
+from pulseloom.llm.tables import give_back, partitions, stored
 from pulseloom.llm.words import slices
 
 SHARD = 1000  # windows that a shard's remainders fill at least, if there is more than one shard
@@ -81,10 +81,11 @@ def token_pieces(docs: DataFrame, vocab: str, window: int = 1024, end_id: int =
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens."""
 
     def run(batches):
+        give_back()
         own = byte_tokens(vocab)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
-            for low, high in slices(texts, 8 << 20):
+            for low, high in slices(texts, 4 << 20):
                 row, start, length, crc, total = [], [], [], [], []
                 for k, ids in enumerate(own.encode([t or "" for t in texts.slice(low, high - low).to_pylist()]), low):
                     ids = np.append(ids, np.array([end_id], ids.dtype))
@@ -110,6 +111,7 @@ def pack(pieces: DataFrame, window: int = 1024) -> DataFrame:
     shard = F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         held = [b for b in batches if b.num_rows]
         if not held:
             return

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulseloom.llm.tables import partitions
+from pulseloom.llm.tables import give_back, partitions
 from pulseloom.llm.words import digests, mix, split_words, text_bytes
 
 FILTER, ROUNDS, REVEAL = 4, 6, (10, 14)  # symbols of about 3, 5, 17 and 50 words
@@ -268,6 +268,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, salt: bytes = b"") -> DataF
     dealt = docs.drop(*own).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(n_slices)).cast("int"))
 
     def name(group: pa.Table) -> pa.Table:
+        give_back()
         out = []
         here = group.column("slice")[0].as_py()
         s = Slice(group, width, salt)
@@ -283,6 +284,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, salt: bytes = b"") -> DataF
         return _table(out, name_schema)
 
     def shared(group: pa.Table) -> pa.Table:
+        give_back()
         rows = group.to_pylist()
         keys = [np.frombuffer(r["names"], "<u4") for r in rows]
         every = np.sort(np.concatenate(keys + [np.frombuffer(r["others"], "<u4") for r in rows]))
@@ -301,6 +303,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, salt: bytes = b"") -> DataF
         return _table(out, reply_schema)
 
     def candidates(group: pa.Table, replies: pa.Table) -> pa.Table:
+        give_back()
         if not group.num_rows:
             return _table([], window_schema)
         here = group.column("slice")[0].as_py()
@@ -340,6 +343,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, salt: bytes = b"") -> DataF
         return _table(out, window_schema)
 
     def earliest(group: pa.Table) -> pa.Table:
+        give_back()
         out, rows = [], []
         for r in group.to_pylist():
             if r["facts"] is not None:
@@ -360,6 +364,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, salt: bytes = b"") -> DataF
         return _table(out, reply_schema)
 
     def ask(group: pa.Table, replies: pa.Table) -> pa.Table:
+        give_back()
         if not group.num_rows or not replies.num_rows:
             return _table([], ask_schema)
         here = group.column("slice")[0].as_py()
@@ -375,6 +380,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, salt: bytes = b"") -> DataF
     result = T.StructType([*kept_fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def cut(group: pa.Table, asks: pa.Table) -> pa.Table:
+        give_back()
         if not group.num_rows:
             return None
         s = Slice(group, width)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseloom.llm.components import connected_components
-from pulseloom.llm.tables import scratch, skew_join, stored
+from pulseloom.llm.tables import give_back, scratch, skew_join, stored
 from pulseloom.llm.words import Words, mix, slices, split_words
 
 GROUPS, ROWS = 16, 4  # groups at least
@@ -111,6 +111,7 @@ def signatures(docs: DataFrame, size: int, groups: int) -> DataFrame:
     """doc_id, mark, n_shingles, one and two (a digest of the set), first and second (group keys)."""
 
     def run(batches):
+        give_back()
         for batch in batches:
             for low, high in slices(batch.column("text"), 2 << 20):
                 part = batch.slice(low, high - low)
@@ -129,6 +130,7 @@ def with_parities(texts: DataFrame, size: int) -> DataFrame:
     """texts (row, n, text) with bits: parities of the set's elements by their hashes, at least as many as elements, and 1024."""
 
     def run(batches):
+        give_back()
         for batch in batches:
             for low, high in slices(batch.column("text"), 2 << 20):
                 part = batch.slice(low, high - low)
@@ -217,6 +219,7 @@ def near_misses(rows: DataFrame, percent: int) -> DataFrame:
     tiles = tiles.withColumn("lot", F.pmod("tile", F.lit(lots)))  # most tiles are small; a lot has many
 
     def compare(lot: pa.Table) -> pa.Table:
+        give_back()
         lot = lot.sort_by("tile")
         tile = lot.column("tile").to_numpy()
         side, n, component, row = (lot.column(c).to_numpy() for c in ("side", "n", "component", "row"))

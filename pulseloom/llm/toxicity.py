@@ -32,6 +32,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseloom.llm.tables import give_back
 from pulseloom.llm.words import slices, split_words
 
 FIT_ROWS, FIT_COPIES = 20_000, 4
@@ -202,6 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
     rows = rows.withColumn("k", first).where(F.col("k") <= FIT_COPIES).drop("k")
 
     def count(batches):
+        give_back()
         for batch in batches:
             for low, high in slices(batch.column("text"), 1 << 20):
                 label = batch.column("label").slice(low, high - low).to_numpy()
@@ -226,6 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
         return Scorer(np.zeros(0, np.uint64), np.zeros(0), float(np.log(rate / (1 - rate))))
 
     def fired(batches):
+        give_back()
         for batch in batches:
             for low, high in slices(batch.column("text"), 1 << 20):
                 row, found = terms(batch.column("text").slice(low, high - low), known)
@@ -246,6 +249,7 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> Data
     """Per row: doc_id, held_out, score, predicted."""
 
     def run(batches):
+        give_back()
         for batch in batches:
             for low, high in slices(batch.column("text"), 1 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), pa.array(scorer(batch.column("text").slice(low, high - low)))], ["doc_id", "score"])
@@ -258,6 +262,7 @@ def keep_clean(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) ->
     """The rows of docs whose score is below the threshold."""
 
     def run(batches):
+        give_back()
         for batch in batches:
             for low, high in slices(batch.column("text"), 1 << 20):
                 part = batch.slice(low, high - low)
