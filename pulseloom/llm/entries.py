@@ -7,11 +7,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm import bounded_topk, fixity, packing, piece_codec, recompression, tensored, toxicity, tree_forest, url_lists, wavelet
+from pulseloom.llm import bounded_topk, fixity, packing, piece_codec, prefix_trie, recompression, repair, tensored, toxicity, tree_forest, url_lists, wavelet, word_bpe
 from pulseloom.llm.tables import new_path, table
 
 PIECES = "piece_bpe_32k.model"
 BYTES = "byte_bpe_50k.json"
+WORDS = "word_bpe_49k.json"
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +58,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digests(table(spark, sf_dir, "conversations"))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.word_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.family_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_tree_forest, op3_merkle_fixity, op4_branch_and_bound, op5_wavelet_tokens, op6_temporal_url_lists, op7_weak_toxicity, op8_tensored_minhash, op9_recompression, op10_packing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_tree_forest, op3_merkle_fixity, op4_branch_and_bound, op5_wavelet_tokens, op6_temporal_url_lists, op7_weak_toxicity, op8_tensored_minhash, op9_recompression, op10_packing, op11_structure_repair, op12_word_bpe, op13_prefix_trie)}
 
 
 _LINKED = """, reach(id, to_id) AS (SELECT id, id FROM n UNION SELECT r.id, l.b FROM reach r JOIN l ON l.a = r.to_id)"""
@@ -101,4 +114,4 @@ SELECT doc_id, len(ws) AS n_words, len(gone) AS n_removed, sha256(array_to_strin
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_tree_forest": _VECTORS, "op3_merkle_fixity": fixity.SQL, "op4_branch_and_bound": _TOP, "op6_temporal_url_lists": url_lists.SQL, "op8_tensored_minhash": _NEAR, "op9_recompression": _REPEATS}
+    return {"op2_tree_forest": _VECTORS, "op3_merkle_fixity": fixity.SQL, "op4_branch_and_bound": _TOP, "op6_temporal_url_lists": url_lists.SQL, "op8_tensored_minhash": _NEAR, "op9_recompression": _REPEATS, "op11_structure_repair": repair.SQL, "op13_prefix_trie": prefix_trie.SQL}

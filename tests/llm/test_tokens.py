@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -10,7 +11,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pulseloom.llm import packing, piece_codec, wavelet
+from pulseloom.llm import packing, piece_codec, wavelet, word_bpe
 from pulseloom.llm.byte_tokens import byte_tokens
 from pulseloom.llm.tables import new_path
 
@@ -178,3 +179,64 @@ def test_packing_in_several_shards(spark, monkeypatch):
     for parts in held.values():
         ends = [0, *(a + b for a, b in sorted(parts))]
         assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 1024
+
+
+@pytest.fixture(scope="module")
+def word_codec():
+    return word_bpe.WordCodec(P.path("word_bpe_49k.json"))
+
+
+def word_ids(library, text):
+    return library.encode(text, add_special_tokens=False).ids
+
+
+def test_words_as_the_library_has_them(word_codec):
+    library, r = word_codec.library, random.Random(4)
+    plain = [chr(k) for k in range(0x2100) if re.match(f"[{word_bpe.PLAIN}]", chr(k))]
+    texts = [f"a{c}b {c}{c} 1{c}. '{c}s" for c in plain]
+    texts += ["".join(r.choice("abcdeinorstthheé .'!1<|>") for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    texts += ["".join(r.choice("aab") for _ in range(r.randint(0, 90))) for _ in range(500)]
+    texts += ["".join(chr(r.choice([r.randrange(0x300), r.randrange(0xD800), r.randrange(0x10000, 0x20000)])) for _ in range(30)) for _ in range(500)]
+    texts += ["", "<|endoftext|>a<|startoftext|>", "<|ENDOFTEXT|>", "ΑΣ Σ İ", "é\u0301 日本語", "a" * 5000, "ab" * 3000, "x<|endoftext|"]
+    for text, (ids, _, _) in zip(texts, word_codec.encode(texts), strict=True):
+        assert ids.tolist() == word_ids(library, text), text
+        assert word_codec.decode(ids.tolist()).decode() == library.decode(ids.tolist(), skip_special_tokens=False)
+
+
+def test_only_failing_words_are_merged(word_codec):
+    """Speculation stands just where the merges give the same; both ways of merging agree."""
+    r = random.Random(5)
+    words = ["".join(r.choice("aeinorsth") for _ in range(r.randint(1, 12))).encode() for _ in range(4000)] + [b"a" * k for k in range(1, 70)]
+    m = word_codec.merges
+    tokens, bounds = m.propose(words)
+    exact, ends = m.merge(words)
+    n_failed = 0
+    for k, w in enumerate(words):
+        guess = tokens[bounds[k] : bounds[k + 1]]
+        assert exact[ends[k] : ends[k + 1]].tolist() == m.merge_one(w)
+        assert m.compatible(guess[:-1], guess[1:]).all() == (guess.tolist() == m.merge_one(w))
+        n_failed += guess.tolist() != m.merge_one(w)
+    assert 0 < n_failed < len(words)
+
+
+def test_word_cache_and_long_texts_change_nothing(word_codec, monkeypatch):
+    small = word_bpe.WordCodec(P.path("word_bpe_49k.json"), kept=5)
+    monkeypatch.setattr(word_bpe, "LOT", 40)
+    texts = ["one two three don't " * 9, "four", "", "no" * 100, "five six <|endoftext|> seven " * 5, "naïve é\u0301 x " * 9]
+    assert [(i.tolist(), n, w) for i, n, w in small.encode(texts)] == [(i.tolist(), n, w) for i, n, w in word_codec.encode(texts)]
+    assert [i.tolist() for i, _, _ in small.encode(texts)] == [word_ids(word_codec.library, t) for t in texts]
+
+
+def test_word_tables(spark, odd_documents, no_documents, word_codec):
+    path = P.path("word_bpe_49k.json")
+    want = sorted((r.doc_id, word_ids(word_codec.library, r.text or "")) for r in odd_documents.collect())
+    coded = word_bpe.encode_words(odd_documents, path)
+    assert sorted((r.doc_id, r.ids) for r in coded.collect()) == want
+    back = sorted((r.doc_id, r.text) for r in word_bpe.decode_words(coded, path).collect())
+    assert back == sorted((i, word_codec.library.decode(ids, skip_special_tokens=False)) for i, ids in want)
+    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in word_bpe.word_digests(odd_documents, path).collect())
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == sorted((i, len(ids), sha(" ".join(map(str, ids)).encode()), sha(word_codec.library.decode(ids, skip_special_tokens=False).encode())) for i, ids in want)
+    assert word_bpe.word_digests(no_documents, path).collect() == []
+    null = spark.createDataFrame([(1, None), (2, [5, None, 999999])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in word_bpe.decode_words(null, path).collect()} == {1: "", 2: word_codec.library.decode([5], skip_special_tokens=False)}
