@@ -7,9 +7,10 @@ import os
 import duckdb
 import pytest
 
-from pulseloom.plans import catalogue
+from pulseloom.plans import calibrations, catalogue
 
 DIR = "/root/testdata/sf0.01"
+QUERIES, SQL = catalogue.QUERIES | calibrations.QUERIES, catalogue.SQL | calibrations.SQL
 
 
 @pytest.fixture(scope="module")
@@ -26,15 +27,15 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = catalogue.QUERIES[name](spark, DIR)
+    df = QUERIES[name](spark, DIR)
     names = sorted(df.columns)
     got = sorted((tuple(map(plain, r)) for r in df.select(*names).collect()), key=repr)
-    if name not in catalogue.SQL:
+    if name not in SQL:
         assert got
         return
-    found = duck.sql(catalogue.SQL[name])
+    found = duck.sql(SQL[name])
     assert sorted(found.columns) == names
     want = sorted((tuple(map(plain, r)) for r in found.select(*(f'"{n}"' for n in names)).fetchall()), key=repr)
     assert got == want
