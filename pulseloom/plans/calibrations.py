@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseloom.operators import calibration as C
+from pulseloom.operators import rough_calibration as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,3 +86,35 @@ def anchor_leave_one_out(spark, sf_dir):
     """What each anchor's energy would be by the curve through the two others."""
     out = C.leave_one_out(_anchors(_lines(spark, sf_dir), 0.1, 0.5, 0.9), ["l_linenumber"], ["linear", "loglog", "gain", "invgain", "loggain"])
     return out.select("l_linenumber", "kind", "energy", F.round("error", 6).alias("error"))
+
+
+_FOUR = """h AS (SELECT DISTINCT p_size, p_retailprice AS h, dense_rank() OVER (PARTITION BY p_size ORDER BY p_retailprice) - 1 AS k FROM part),
+t AS (SELECT a.p_size, a.h AS h0, b.h AS h1, c.h AS h2, d.h AS h3, sqrt(((1000.0 + 900.0 * ((b.h - a.h) / (c.h - a.h)) - 1300.0) ** 2 + (1300.0 + 1300.0 * ((c.h - b.h) / (d.h - b.h)) - 1900.0) ** 2) / 2) AS rms
+FROM h a JOIN h b ON a.p_size = b.p_size AND a.h < b.h JOIN h c ON a.p_size = c.p_size AND b.h < c.h JOIN h d ON a.p_size = d.p_size AND c.h < d.h WHERE {0})
+SELECT p_size, h0, h1, h2, h3, round(rms, 6) AS rms FROM t QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY round(rms, 9), h0, h1, h2, h3) = 1"""
+
+
+def _four(spark, sf_dir, allowed=None):
+    peaks = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_size", F.col("p_retailprice").alias("height"))
+    found = R.assign_lines(peaks, ["p_size"], [1000.0, 1300.0, 1900.0, 2600.0], allowed)
+    return found.select("p_size", *[F.get("heights", F.lit(k)).alias(f"h{k}") for k in range(4)], F.round("rms", 6).alias("rms"))
+
+
+@query("WITH " + _FOUR.format("true"))
+def four_line_assignment(spark, sf_dir):
+    """Four lines among all heights of each channel (a size of parts)."""
+    return _four(spark, sf_dir)
+
+
+@query("WITH " + _FOUR.format("a.k < 3 AND b.k BETWEEN 1 AND 12 AND c.k % 2 = 0 AND d.k > 8"))
+def four_line_assignment_allowed(spark, sf_dir):
+    """The same, where each line may have some places in the order of heights only."""
+    places = range(100_000)  # more than there are heights of a size
+    return _four(spark, sf_dir, [range(3), range(1, 13), places[::2], places[9:]])
+
+
+@query()
+def rough_calibrations(spark, sf_dir):
+    """Peaks, assignment and gain of each kind of event, from all its values."""
+    gain = R.rough_calibration(spark.read.parquet(f"{sf_dir}/events.parquet"), ["event_type"], "value", [50.0, 100.0, 180.0, 300.0], 4.0, extra=4)
+    return gain.select("event_type", F.transform("heights", lambda h: F.round(h, 6)).alias("heights"), *[F.round(c, 9).alias(c) for c in ("rms", "a", "b", "c", "zero_gain", "below")])
