@@ -22,6 +22,51 @@ class Channels:
     good_expr: str = "true"
     recipe: Recipe | None = None
     bad: DataFrame | None = None
+    noise: DataFrame | None = None
+
+    @classmethod
+    def from_folder(cls, spark: SparkSession, pulses: str, noise: str | None = None, include: list[int] | None = None, exclude: list[int] | None = None, limit: int | None = None, **options: str) -> Channels:
+        """Channels of the pulse files of a folder; with a noise folder those that both have, and their noise records beside them.
+
+        options: of the data source, e.g. max_pulses or pulses="false".
+        """
+        from pulseloom.sources import pulse_source as S
+
+        S.register(spark)
+        if noise is None:
+            files = S.find_files(spark, pulses, include=include, exclude=exclude).select("ch_num")
+            chosen = files.orderBy("ch_num").limit(limit) if limit is not None else files
+        else:
+            chosen = S.pair_files(spark, pulses, noise, include=include, exclude=exclude, limit=limit).select("ch_num")
+        numbers = sorted(r.ch_num for r in chosen.distinct().collect())  # channel numbers, as many as there are sensors
+
+        def records(folder: str) -> DataFrame:
+            read = spark.read.format("pulses").options(path=folder, include=",".join(map(str, numbers)), **options)
+            return read.load() if numbers else read.load().limit(0)
+
+        return cls(records(pulses), noise=None if noise is None else records(noise))
+
+    @classmethod
+    def from_pairs(cls, spark: SparkSession, pairs: Sequence[tuple[str, str]], **options: str) -> Channels:
+        """Channels of (pulse file, noise file) pairs; a noise path may be empty, and a channel may have one pair only."""
+        from pulseloom.sources import pulse_source as S
+
+        S.register(spark)
+
+        def records(paths: list[str]) -> DataFrame | None:
+            out = None
+            for path in paths:
+                one = spark.read.format("pulses").options(path=path, **options).load()
+                out = one if out is None else out.unionByName(one)
+            return out
+
+        pulses, noise = records([p for p, _ in pairs]), records([n for _, n in pairs if n])
+        if pulses is None:
+            raise ValueError("there are no pairs")
+        twice = pulses.groupBy("ch_num").agg(F.countDistinct("path").alias("n")).where("n > 1").first()
+        if twice:
+            raise ValueError(f"channel {twice['ch_num']} has {twice['n']} pulse files")
+        return cls(pulses, noise=noise)
 
     def with_good_expr(self, condition: str, replace_old: bool = False) -> Channels:
         return replace(self, good_expr=condition if replace_old or self.good_expr == "true" else f"({self.good_expr}) and ({condition})")

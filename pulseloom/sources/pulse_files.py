@@ -91,24 +91,31 @@ def _lists(x: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel(), kind))
 
 
+def ljh_batch(path: str, r: np.ndarray, first: int, facts: dict, keep_pulses: bool) -> pa.RecordBatch:
+    """Records of one file, the first of them being number `first`, as a batch of LJH_SCHEMA."""
+    names = r.dtype.names
+    if "posix_usec" in names:
+        us, frames = r["posix_usec"].astype(np.int64), pa.array(r["subframecount"].astype(np.int64))
+    else:
+        us = r["ms"].astype(np.int64) * 1000 + int(facts["offset"] * 1e6) + (r["us4"].astype(np.int64) * 4 if "us4" in names else 0)
+        frames = pa.nulls(len(r), pa.int64())
+    pulse = _lists(r["pulse"].astype(np.int32), pa.int32()) if keep_pulses else pa.nulls(len(r), pa.list_(pa.int32()))
+    n = pa.array(np.arange(first, first + len(r)), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([path] * len(r), pa.string()), pa.array([facts["channel"]] * len(r), pa.int64()), n, pa.array(us, pa.timestamp("us", "UTC")), frames, pulse], ["path", "ch_num", "row_idx", "timestamp", "subframecount", "pulse"])
+
+
 def read_ljh(spark: SparkSession, path: str | list[str], keep_pulses: bool = True) -> DataFrame:
-    """Records of files, in file order by row_idx; older versions have no subframecount."""
+    """Records of files, in file order by row_idx; older versions have no subframecount.
+
+    A file is read whole by one task; sources.pulse_source reads large files in parts, and growing ones as streams.
+    """
 
     def decode(path: str, raw) -> Iterator[pa.RecordBatch]:
         fields, size = ljh_header(bytes(raw[: 1 << 16]))
         dtype, facts = ljh_layout(fields)
         records = np.frombuffer(raw, dtype, (len(raw) - size) // dtype.itemsize, size)
         for low in range(0, len(records), BATCH):
-            r = records[low : low + BATCH]
-            names = dtype.names
-            if "posix_usec" in names:
-                us, frames = r["posix_usec"].astype(np.int64), pa.array(r["subframecount"].astype(np.int64))
-            else:
-                us = r["ms"].astype(np.int64) * 1000 + int(facts["offset"] * 1e6) + (r["us4"].astype(np.int64) * 4 if "us4" in names else 0)
-                frames = pa.nulls(len(r), pa.int64())
-            pulse = _lists(r["pulse"].astype(np.int32), pa.int32()) if keep_pulses else pa.nulls(len(r), pa.list_(pa.int32()))
-            n = pa.array(np.arange(low, low + len(r)), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([path] * len(r)), pa.array([facts["channel"]] * len(r), pa.int64()), n, pa.array(us, pa.timestamp("us", "UTC")), frames, pulse], ["path", "ch_num", "row_idx", "timestamp", "subframecount", "pulse"])
+            yield ljh_batch(path, records[low : low + BATCH], low, facts, keep_pulses)
 
     return _per_file(_files(spark, path), decode, LJH_SCHEMA)
 
