@@ -353,14 +353,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each component, the first by (doc_id, nulls last); rows without words all stay."""
+    """docs with one row of each component, the first by (doc_id, nulls last); rows without words all stay.  Other columns may have any names."""
     found = grouped(docs, size, percent).groupBy("doc_id", "mark").agg(F.count("*").alias("rows"), F.count_if("first").alias("stay"))
-    gone = found.where("stay = 0").select(F.col("doc_id").alias("of"), F.col("mark").alias("seen"))
-    once = found.where("stay > 0 and stay < rows").select(F.col("doc_id").alias("of"), F.col("mark").alias("seen"))
-    marked = docs.withColumn("__mark", mark())
-    same = marked["doc_id"].eqNullSafe(F.col("of")) & (F.col("__mark") == F.col("seen"))
+    taken = {c.lower() for c in docs.columns}
+    own, of, seen = (next(f"_{name}{k}" for k in range(len(taken) + 1) if f"_{name}{k}" not in taken) for name in ("mark", "of", "seen"))
+    gone = found.where("stay = 0").select(F.col("doc_id").alias(of), F.col("mark").alias(seen))
+    once = found.where("stay > 0 and stay < rows").select(F.col("doc_id").alias(of), F.col("mark").alias(seen))
+    marked = docs.withColumn(own, mark())
+    same = marked["doc_id"].eqNullSafe(F.col(of)) & (F.col(own) == F.col(seen))
     kept = marked.join(gone.hint("shuffle_hash"), same, "left_anti")
     if not once.isEmpty():
-        repeated = kept.join(once.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", "__mark"])
+        repeated = kept.join(once.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", own])
         kept = kept.join(once.hint("shuffle_hash"), same, "left_anti").union(repeated)
     return kept.select(*docs.columns)

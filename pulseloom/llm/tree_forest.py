@@ -17,7 +17,7 @@ of all rows so costs a comparison a row with what lies around it, not one a pair
 and stand for one.  Vectors of each width have a forest of their own; those of different widths never link.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing.  Rows that
-repeat an id count as vectors of their own in n_links.  An empty table gives an empty result; other columns are
+repeat an id are vectors of their own, also where these differ: the nodes of all links are different vectors, not ids.  An empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.llm.components import connected_components
-from pulseloom.llm.tables import scratch, stored
+from pulseloom.llm.tables import scratch, skew_join, stored
 
 SPILL = 0.25  # of the standard deviation, along a direction, of what parts two vectors at the threshold
 MISSED = 1e-3
@@ -160,7 +160,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     out = [F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")]
     with scratch(vectors.sparkSession):
         fit = rows.where(some).withColumn("x", F.transform("x", lambda v: F.when(v == 0, F.lit(0).cast(kind)).otherwise(v)))
-        lone = stored(fit.groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("weight")), "vectors")
+        # id is from here on the number of a different vector, fixed as it is written; low is the smallest vec_id that has it
+        lone = stored(fit.groupBy("x").agg(F.min("id").alias("low"), F.count("*").alias("weight")).withColumn("id", F.monotonically_increasing_id()), "vectors")
         counts = {r["width"]: r["count"] for r in lone.groupBy(F.size("x").alias("width")).count().collect()}
         if not counts:
             return stored(rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")).select(*out), "result", outer=True)
@@ -172,7 +173,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
         components = connected_components(edges)
         links = found.select("id", "links").union(inside.select("id", F.col("size") - F.col("weight"))).groupBy("id").agg(F.sum("links").alias("links"))
         classes = lone.join(links, "id", "left").join(components.withColumnRenamed("node", "id"), "id", "left")
-        classes = classes.select("x", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        classes = stored(classes.select("x", "low", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")), "classes")
+        classes = skew_join(classes.drop("low"), classes.groupBy("component").agg(F.min("low").alias("component_id")), ["component"])
         done = fit.join(classes, "x").select("id", "n_links", "component_id")
         rest = rows.where(~F.coalesce(some, F.lit(False)))
         return stored(done.union(rest.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))).select(*out), "result", outer=True)
@@ -187,7 +189,7 @@ def _first(lone: DataFrame, counts: dict[int, int], least: float, kind: str) ->
         if not depth:  # one leaf holds all
             models[width] = [Tree((_SEED,), 0, width, np.zeros(0))], np.zeros((0, width))
             continue
-        held = lone.select("x").where((F.size("x") == width) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / n)) + 1)).limit(2 * SAMPLE).toArrow().column("x").combine_chunks()
+        held = lone.select("x").where((F.size("x") == width) & (F.pmod(F.xxhash64("x"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / n)) + 1)).limit(2 * SAMPLE).toArrow().column("x").combine_chunks()
         sample = _matrix(held, width)
         sample = sample[np.lexsort(sample.T[:3])]
         sample = sample[np.random.default_rng(_SEED).permutation(len(sample))]

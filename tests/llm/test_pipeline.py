@@ -52,3 +52,11 @@ def test_stages_take_odd_rows(spark, odd_documents, no_documents):
             docs = stored(stage(spark, docs, DIR), name)
         words = {r.doc_id for r in docs.collect()}
         assert not words or None in words
+
+
+def test_near_duplicates_with_clashing_columns(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "a", 1, b"x", 5), (2, text, "b", 2, b"y", 6), (3, "quite another text that has words of its own", "c", 3, b"z", 7), (3, "quite another text that has words of its own", "c", 3, b"z", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, of string, seen int, __mark binary, _OF0 int")
+    kept = corpus_pipeline.STAGES[1][1](spark, docs, DIR)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.of, r.seen, bytes(r["__mark"]), r["_OF0"]) for r in kept.collect()) == [(1, "a", 1, b"x", 5), (3, "c", 3, b"z", 7)]

@@ -136,3 +136,21 @@ def test_a_large_group_of_near_copies_is_a_ball(spark, monkeypatch):
 
 def test_more_trees_for_deeper_forests():
     assert tree_forest.trees_for(0, 0.95) == 1 and 4 <= tree_forest.trees_for(6, 0.95) < tree_forest.trees_for(12, 0.95) < 20
+
+
+@pytest.mark.parametrize("leaf,deepest", [(1500, 9), (5, 1)])
+def test_rows_that_repeat_an_id_with_other_vectors(spark, monkeypatch, leaf, deepest):
+    monkeypatch.setattr(tree_forest, "LEAF", leaf)
+    monkeypatch.setattr(tree_forest, "DEEPEST", deepest)
+    rng = np.random.default_rng(6)
+    rows = [(1, [1.0, 0, 0, 0]), (1, [0, 1.0, 0, 0]), (2, [1.0, 0.01, 0, 0]), (3, [0, 1.0, 0, 0])]
+    rows += [(10 + k % 40, (rng.standard_normal(4) if k % 3 else np.array([0, 0, 1, 0.001 * k])).tolist()) for k in range(160)]
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in rows], "vec_id long, embedding array<double>")
+    unit = np.array([np.array(v) / np.linalg.norm(v) for _, v in rows])
+    linked = unit @ unit.T >= 0.95
+    root = lowest(range(len(rows)), [(i, j) for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True)])
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[root[i]] = min(k, least.get(root[i], k))
+    want = sorted((k, int(linked[i].sum()) - 1, least[root[i]], k == least[root[i]]) for i, (k, _) in enumerate(rows))
+    assert sorted(map(tuple, near_vectors(df).collect())) == want
