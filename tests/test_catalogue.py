@@ -7,10 +7,10 @@ import os
 import duckdb
 import pytest
 
-from pulseloom.plans import calibrations, catalogue
+from pulseloom.plans import calibrations, catalogue, spectra
 
 DIR = "/root/testdata/sf0.01"
-QUERIES, SQL = catalogue.QUERIES | calibrations.QUERIES, catalogue.SQL | calibrations.SQL
+QUERIES, SQL = catalogue.QUERIES | calibrations.QUERIES | spectra.QUERIES, catalogue.SQL | calibrations.SQL | spectra.SQL
 
 
 @pytest.fixture(scope="module")
