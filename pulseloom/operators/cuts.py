@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseloom.operators.quantiles import median
+
 SIGMA_PER_MAD = 1.4826
 
 
@@ -25,11 +27,12 @@ def bad(df: DataFrame, good_expr: Column, use_expr: Column | None = None) -> Dat
 
 
 def spread(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
-    """by, med and smad (scaled median absolute deviation) of a column, exact."""
+    """by, med and smad (scaled median absolute deviation) of a column, exact, from aggregates that split large channels."""
     x = F.col(column).cast("double")
-    med = df.groupBy(*by).agg(F.median(x).alias("med"))
+    med = median(df, by, x)
     off = df.select(*by, x.alias("_x")).join(med, list(by))
-    return off.groupBy(*by).agg(F.first("med").alias("med"), (F.median(F.abs(F.col("_x") - F.col("med"))) * SIGMA_PER_MAD).alias("smad"))
+    deviation = median(off, by, F.abs(F.col("_x") - F.col("med")), "_mad")
+    return med.join(deviation, list(by)).select(*by, "med", (F.col("_mad") * SIGMA_PER_MAD).alias("smad"))
 
 
 def _limits(df: DataFrame, by: Sequence[str], column: str, low: Column | None, high: Column, strict: bool) -> DataFrame:

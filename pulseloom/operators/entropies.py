@@ -22,6 +22,7 @@ from pyspark.storagelevel import StorageLevel
 
 from pulseloom.functions import pulses as P
 from pulseloom.operators.learning import laplace_entropy
+from pulseloom.operators.quantiles import median, quantiles
 
 #: Widths of a slot; gaps between values beyond FAR widths count as endless.
 SLOT, FAR = 16.0, 600.0
@@ -221,8 +222,8 @@ def drift_by_entropy(df: DataFrame, by: Sequence[str], height: str, indicator: s
     functions.pulses.drift_corrected.  Rows with nulls count for nothing.
     """
     rows = df.select(*by, F.col(height).cast("double").alias("_h"), F.col(indicator).cast("double").alias("_i")).where("_h is not null and _i is not null")
-    top = F.lit(float(limit)) if limit is not None else 1.25 * F.percentile("_h", F.lit(0.99))
-    facts = rows.groupBy(*by).agg(F.median("_i").alias("offset"), top.alias("_top")).where("_top > 0")
+    top = F.lit(float(limit)) if limit is not None else 1.25 * F.col("_q")
+    facts = median(rows, by, F.col("_i"), "offset").join(quantiles(rows, by, F.col("_h"), [0.99], ["_q"]), list(by)).select(*by, "offset", top.alias("_top")).where("_top > 0")
     ready = rows.join(facts, list(by)).select(*by, "_h", (F.col("_i") - F.col("offset")).alias("_i"), "_top").persist(StorageLevel.MEMORY_AND_DISK)
     try:
 
@@ -255,7 +256,7 @@ def time_drift_by_entropy(
     """
     rows = df.select(*by, F.col(time).cast("timestamp").cast("double").alias("_t") if dict(df.dtypes)[time].startswith("timestamp") else F.col(time).cast("double").alias("_t"), F.col(height).cast("double").alias("_h")).where("_h is not null and _t is not null")
     if limits is None:
-        top = rows.groupBy(*by).agg((1.25 * F.percentile("_h", F.lit(0.99))).alias("_top"))
+        top = quantiles(rows, by, F.col("_h"), [0.99], ["_q"]).select(*by, (1.25 * F.col("_q")).alias("_top"))
         rows = rows.join(top, list(by)).where("_h > 0 and _h < _top").drop("_top")
     else:
         rows = rows.where((F.col("_h") > limits[0]) & (F.col("_h") < limits[1]))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions import pulses as P
+from pulseloom.operators.quantiles import median, quantiles
 
 BLOCK = 64  # lowest heights whose combinations one row scores
 
@@ -24,7 +25,7 @@ def average_pulse(df: DataFrame, by: Sequence[str], pulse: str, pre: int) -> Dat
 
 
 def typical_peak(df: DataFrame, by: Sequence[str], pulse: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.floor(F.median(P.peak_index(F.col(pulse)))).cast("int").alias("peak_index"))
+    return median(df, by, P.peak_index(F.col(pulse)), "_m").select(*by, F.floor("_m").cast("int").alias("peak_index"))
 
 
 def quiet_records(df: DataFrame, by: Sequence[str], pulse: str, n_sigma: float = 5.0) -> DataFrame:
@@ -96,9 +97,9 @@ def robust(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
     from pulseloom.operators.cuts import spread
 
     x = F.col(column).cast("double")
-    quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    one = df.groupBy(*by).agg(quartiles.alias("_q"), F.sqrt(F.avg(x * x)).alias("rms"), F.min(F.when(x > 0, x)).alias("least_positive"))
-    return one.join(spread(df, by, column), list(by)).select(*by, ((F.col("_q")[0] + 2 * F.col("_q")[1] + F.col("_q")[2]) / 4).alias("trimean"), (F.col("smad") / 1.4826 / 0.674480).alias("mad"), "rms", "least_positive")
+    quartiles = quantiles(df, by, x, [0.25, 0.5, 0.75], ["_a", "_b", "_c"])
+    one = df.groupBy(*by).agg(F.sqrt(F.avg(x * x)).alias("rms"), F.min(F.when(x > 0, x)).alias("least_positive"))
+    return one.join(spread(df, by, column), list(by)).join(quartiles, list(by)).select(*by, ((F.col("_a") + 2 * F.col("_b") + F.col("_c")) / 4).alias("trimean"), (F.col("smad") / 1.4826 / 0.674480).alias("mad"), "rms", "least_positive")
 
 
 def shortest_half(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
@@ -128,7 +129,7 @@ def weighted_mean_step(df: DataFrame, by: Sequence[str], column: str, centre: Da
 
 def weighted_mean(df: DataFrame, by: Sequence[str], column: str, k: float, kind: str = "bisquare", steps: int = 10) -> DataFrame:
     """The iteratively reweighted mean, from the median; each step is one aggregate over the same rows."""
-    centre = df.groupBy(*by).agg(F.median(F.col(column).cast("double")).alias("value"))
+    centre = median(df, by, F.col(column), "value")
     for _ in range(steps):
         centre = weighted_mean_step(df, by, column, centre, k, kind)
     return centre

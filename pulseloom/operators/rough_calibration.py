@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.functions import pulses as P
 from pulseloom.operators.learning import gain_polynomial
+from pulseloom.operators.quantiles import median
 
 #: Bins of the fine histogram, which reaches MARGIN widths beyond the lowest and highest height.
 BINS, MARGIN = 1 << 17, 3
@@ -268,7 +269,7 @@ def rough_calibration(df: DataFrame, by: Sequence[str], column: str, lines: Sequ
     peaks = smoothed_peaks(df, by, column, fwhm).where(F.col("rank") <= len(lines) + extra)
     ways = {"linear": lambda: assign_lines(peaks, by, lines, allowed), "gain": lambda: assign_by_gain(peaks, by, lines), "three": lambda: assign_by_three(peaks, by, lines, **settings)}
     gain = rough_gain(ways[rule](), by, lines)
-    middle = df.groupBy(*by).agg(F.median(F.col(column).cast("double")).alias("_m"))
+    middle = median(df, by, F.col(column), "_m")
     return gain.join(middle, list(by)).withColumn("below", F.when(F.col("zero_gain") > F.col("_m"), F.col("zero_gain"))).drop("_m")
 
 
