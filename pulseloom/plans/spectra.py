@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseloom.operators import entropies as E
+from pulseloom.operators import streams as S
 from pulseloom.operators.learning import laplace_entropy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +89,47 @@ def drift_slopes(spark, sf_dir):
 def time_drift_series(spark, sf_dir):
     """Legendre series of each kind of event's drift in time, by least entropy over all rows."""
     return E.time_drift_by_entropy(_events(spark, sf_dir), ["event_type"], "ts", "value", 5.0, degrees=2).select("event_type", "coefficients", "before", "after")
+
+
+_STREAM = """p AS (SELECT vec_id, label, list_transform(embedding, lambda x: round(x::DOUBLE * 1000)::INT + 5000) AS pulse, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS chunk FROM embeddings),
+s AS (SELECT label, chunk * 64 + generate_subscripts(pulse, 1) - 1 AS spot, unnest(pulse)::DOUBLE AS x FROM p)"""
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's vectors, one after the other, as the chunks of a continuous stream."""
+    chunk = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("chunk", chunk.cast("long"))
+    return rows.select("label", "chunk", (F.col("chunk") * 64).alias("start"), F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("int") + 5000).alias("samples"))
+
+
+@query(f"""WITH {_STREAM}, y AS (SELECT label, spot, lead(x, 2) OVER w - 2 * lead(x) OVER w + x AS y FROM s WINDOW w AS (PARTITION BY label ORDER BY spot)),
+n AS (SELECT *, lag(y) OVER w AS a, lead(y) OVER w AS c, max(spot) OVER (PARTITION BY label) - 4 AS last FROM y WINDOW w AS (PARTITION BY label ORDER BY spot)),
+e AS (SELECT label, spot, y < 0 AS arms, y > 150 AND y >= c AND y > a AS peak FROM n WHERE spot BETWEEN 1 AND last),
+q AS (SELECT *, sum(arms::INT) OVER (PARTITION BY label ORDER BY spot) AS epoch FROM e)
+SELECT label, spot + 1 AS trigger FROM q WHERE peak AND epoch > 0 QUALIFY row_number() OVER (PARTITION BY label, epoch ORDER BY spot) = 1""")
+def peak_triggers(spark, sf_dir):
+    """Peaks of the second difference of each label's stream."""
+    return S.peak_triggers(_stream(spark, sf_dir), ["label"], [1.0, -2.0, 1.0], 150.0)
+
+
+@query(f"""WITH {_STREAM}, m AS (SELECT label, avg(x) AS m, count(*) AS n FROM s GROUP BY label), z AS (SELECT s.label, spot, x - m AS x, n FROM s JOIN m ON m.label = s.label)
+SELECT a.label, l::INT AS lag, round(sum(a.x * b.x) / any_value(a.n), 4) AS value FROM z a, range(70) r(l) JOIN z b ON b.label = a.label AND b.spot = a.spot + l GROUP BY a.label, l""")
+def continuous_correlation(spark, sf_dir):
+    """Correlations of each label's stream, at lags beyond the length of a chunk."""
+    return S.continuous_correlation(_stream(spark, sf_dir), ["label"], 70).withColumn("value", F.round("value", 4))
+
+
+@query(f"""WITH {_STREAM}, m AS (SELECT label, spot // 120 AS block, avg(x) AS m FROM s GROUP BY ALL HAVING count(*) = 120), z AS (SELECT s.label, block, spot, x - m AS x FROM s JOIN m ON m.label = s.label AND m.block = spot // 120),
+k AS (SELECT label, block FROM z GROUP BY ALL HAVING max(abs(x)) <= 450), n AS (SELECT label, count(*) AS n FROM k GROUP BY label)
+SELECT a.label, l::INT AS lag, round(sum(a.x * b.x) / any_value(n.n) / 120, 4) AS value FROM z a JOIN k ON k.label = a.label AND k.block = a.block JOIN n ON n.label = a.label, range(8) r(l) JOIN z b ON b.label = a.label AND b.block = a.block AND b.spot = a.spot + l GROUP BY a.label, l""")
+def block_correlation(spark, sf_dir):
+    """Correlations within blocks that cross chunks' borders, without blocks that stray far."""
+    return S.block_correlation(_stream(spark, sf_dir), ["label"], 8, 450.0).withColumn("value", F.round("value", 4))
+
+
+@query("""WITH g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS d FROM events)
+SELECT user_id, max(d) AS largest_gap, coalesce(max(d) <= 90000000000, false) AS continuous FROM g GROUP BY user_id""")
+def continuity(spark, sf_dir):
+    """Whether each user's events follow each other without a long gap."""
+    e = _events(spark, sf_dir).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    return S.continuity(e, ["user_id"], "event_id", "us", 90_000_000_000, slot=1000)
