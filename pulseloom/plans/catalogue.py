@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions import pulses as P
 from pulseloom.operators import cuts, histograms, pulse_stats, temporal
+from pulseloom.plans.channels import mapped
 
 PRE, N = 16, 64
 WEIGHTS = [((k * 7) % 11) - 5 for k in range(N)]
@@ -559,20 +559,17 @@ def recipe_of_operations(spark, sf_dir):
 
 @query("SELECT event_id, round(sqrt(value) + 1, 9) AS mapped FROM events")
 def column_map(spark, sf_dir):
-    @F.pandas_udf("double")
-    def f(x: pd.Series) -> pd.Series:
-        return x.pow(0.5) + 1
-
-    return _t(spark, sf_dir, "events").select("event_id", F.round(f("value"), 9).alias("mapped"))
+    """A function of Python over a column, a batch at a time."""
+    return mapped(_t(spark, sf_dir, "events"), "value", lambda x: x**0.5 + 1, "mapped").select("event_id", F.round("mapped", 9).alias("mapped"))
 
 
 @query("SELECT user_id, event_id, value FROM events")
 def partitioned_round_trip(spark, sf_dir):
-    import tempfile
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{shared}/rows-{uuid.uuid4().hex}"
+    from pulseloom.session import shared_folder
+
+    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
     _t(spark, sf_dir, "events").select("user_id", "event_id", "value").write.partitionBy("user_id").parquet(path)
     return spark.read.schema("event_id long, value double, user_id long").parquet(path).select("user_id", "event_id", "value")
 

@@ -121,11 +121,24 @@ class Channels:
         return replace(self, df=mine.unionByName(theirs.drop("concat_state").withColumn("concat_state", F.lit(last + 1))), recipe=None)
 
     def with_more_channels(self, other: Channels) -> Channels:
-        """The rows of other channels below; a channel that both have is an error."""
-        both = self.df.select(self.key).distinct().join(other.df.select(other.key).distinct(), self.key, "left_semi")
-        if not both.isEmpty():
-            raise ValueError("both have some of the channels")
-        return replace(self, df=self.df.unionByName(other.df, allowMissingColumns=True))
+        """Other channels besides these; of a channel that both have, the other's rows, noise and mark as bad take the place of these.
+
+        The standing filter and the recipe stay.
+        """
+        newer = other.df.select(F.col(other.key).alias(self.key)).distinct()
+
+        def merged(mine: DataFrame | None, more: DataFrame | None) -> DataFrame | None:
+            old = None if mine is None else mine.join(newer, self.key, "left_anti")
+            more = None if more is None else more.withColumnRenamed(other.key, self.key)
+            return more if old is None else old if more is None else old.unionByName(more, allowMissingColumns=True)
+
+        return replace(self, df=merged(self.df, other.df), bad=merged(self.bad, other.bad), noise=merged(self.noise, other.noise))
+
+    def with_mapped(self, column: str, f: Callable, output: str, kind: str = "double") -> Channels:
+        """A column that f makes of another, a batch of records at a time: f gets an array, of rows and samples if the column
+        holds arrays of one length, and returns as many values or rows.  Nulls are left out of what f gets, and stay null.
+        """
+        return replace(self, df=mapped(self.df, column, f, output, kind))
 
     def save(self, path: str, overwrite: bool = False) -> None:
         """Rows without pulses, partitioned by channel; the filter, bad channels and recipe beside them."""
@@ -148,8 +161,36 @@ class Channels:
         return cls(rows.withColumn(facts.key, F.col(facts.key).cast(facts.kind)), facts.key, facts.good, Recipe.load(spark, f"{path}/recipe") if facts.recipe else None, None if bad.isEmpty() else bad)
 
 
-def combined(named: dict[str, DataFrame], label: str = "source") -> DataFrame:
-    """Tables one under the other, with a column that says which is which."""
+def mapped(df: DataFrame, column: str, f: Callable, output: str, kind: str = "double") -> DataFrame:
+    """See Channels.with_mapped."""
+    import numpy as np
+    import pandas as pd
+
+    def run(x: pd.Series) -> pd.Series:
+        some = np.flatnonzero(x.notna())
+        out: list = [None] * len(x)
+        if len(some):
+            kept = x.iloc[some]
+            found = f(np.stack(kept.to_list()) if isinstance(kept.iloc[0], (list, np.ndarray)) else kept.to_numpy())
+            if len(found) != len(kept):
+                raise ValueError(f"{len(found)} results for {len(kept)} records")
+            for k, value in zip(some.tolist(), found, strict=True):
+                out[k] = value
+        return pd.Series(out, index=x.index)
+
+    run.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    return df.withColumn(output, F.pandas_udf(run, kind)(F.col(column)))
+
+
+def combined(named: dict[str, DataFrame], label: str = "source", same: Sequence[str] = ()) -> DataFrame:
+    """Tables one under the other, with a column that says which is which.
+
+    same: columns, like the number of samples or the sample time, that must have one value in all of them.
+    """
+    for column in same:
+        values = {name: sorted(map(str, (r[0] for r in df.select(column).distinct().limit(2).collect()))) for name, df in named.items()}
+        if len({v for vs in values.values() for v in vs}) > 1:
+            raise ValueError(f"{column} differs: {values}")
     parts = [df.withColumn(label, F.lit(name)) for name, df in named.items()]
     out = parts[0]
     for part in parts[1:]:

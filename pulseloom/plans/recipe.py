@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseloom.functions import pulses as P
-from pulseloom.operators import learning, temporal
+from pulseloom.operators import filters, learning, temporal
 
 #: What a step may learn about a column, as SQL aggregates.
 LEARNS = {"median": "median({0})", "mean": "avg({0})", "low": "min({0})", "high": "max({0})", "count": "count({0})"}
@@ -38,6 +38,26 @@ def _filters(df: DataFrame, by: Sequence[str], a: dict) -> DataFrame:
     return learning.optimal_filters(df.where(f"not ({a['noise']})"), df.where(a["noise"]), by, a["pulse"], a["pre"])
 
 
+def _of_kind(kind: str) -> Operation:
+    """A step that learns filters of one kind and applies them; args as filter_table takes them, with noise as a condition."""
+
+    def learn(df: DataFrame, by: Sequence[str], a: dict) -> DataFrame:
+        more = {k: v for k, v in a.items() if k in ("dt", "f_max", "f_3db", "cut_pre", "cut_post", "decays", "blind") and (kind == "noexp" or k not in ("decays", "blind"))}
+        made = filters.filter_table(df.where(f"not ({a['noise']})"), df.where(a["noise"]), by, a["pulse"], a["pre"], [kind], **more)
+        return made.select(*by, "weights", "arrival_weights")
+
+    def make(df: DataFrame, by: Sequence[str], a: dict) -> DataFrame:
+        x, w = F.col(a["pulse"]), F.col("weights")
+        if kind in ("one_lag", "arrival"):
+            height = filters.dot(x, w)
+            found = F.struct(height.alias("height"), F.try_divide(filters.dot(x, F.col("arrival_weights")), height).alias("place"))
+        else:
+            found = filters.five_lag(x, w)
+        return df.withColumn("_y", found).withColumns({a["output"]: F.col("_y.height"), a["place"]: F.col("_y.place")}).drop("_y")
+
+    return Operation(make, learn)
+
+
 def _summarized(df: DataFrame, by: Sequence[str], a: dict) -> DataFrame:
     found: dict[str, Column] = P.summary(F.col(a["pulse"]), a["pre"], a.get("ignore", 0))
     return df.withColumns({name: found[quantity] for name, quantity in a["columns"].items()})
@@ -49,6 +69,8 @@ OPERATIONS = {
     "summary": Operation(_summarized),
     # pulse, pre, noise (condition), output
     "filter": Operation(lambda df, by, a: df.withColumn(a["output"], learning.filter_value(a["pulse"])), _filters),
+    # pulse, pre, noise (condition), output, place, and filter_table's options
+    **{f"filter_{kind}": _of_kind(kind) for kind in filters.KINDS},
     # height, indicator, output
     "drift": Operation(lambda df, by, a: df.withColumn(a["output"], P.drift_corrected(F.col(a["height"]), F.col(a["indicator"]), F.col("slope"), F.col("offset"))), lambda df, by, a: learning.drift_slope(df, by, a["height"], a["indicator"])),
     # height, a, b, c, output

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseloom.operators import entropies as E
+from pulseloom.operators import filters
 from pulseloom.operators import streams as S
 from pulseloom.operators.learning import laplace_entropy
 
@@ -133,3 +134,12 @@ def continuity(spark, sf_dir):
     """Whether each user's events follow each other without a long gap."""
     e = _events(spark, sf_dir).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     return S.continuity(e, ["user_id"], "event_id", "us", 90_000_000_000, slot=1000)
+
+
+@query()
+def filter_kinds(spark, sf_dir):
+    """Filters of all kinds of each label's vectors as pulses; noise records are those of even number."""
+    whole = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("int") + 5000)
+    p = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", whole.alias("pulse"))
+    found = filters.filter_table(p, p.where("vec_id % 2 = 0"), ["label"], "pulse", 16, filters.KINDS, decays=[20.0])
+    return found.select("label", "kind", F.round("peak", 6).alias("peak"), F.round("variance", 6).alias("variance"), F.round("resolution", 6).alias("resolution"))

@@ -168,8 +168,6 @@ def test_operations_are_recorded_saved_trimmed_and_replayed(spark, tmp_path):
     assert len(Channels.load(spark, str(tmp_path / "c")).recipe.steps) == 7
     with pytest.raises(ValueError):
         Step.named("nothing", [], [])
-    with pytest.raises(ValueError):
-        ch.with_more_channels(ch)
 
 
 @pytest.mark.parametrize("slot", [None, 7.0])
@@ -196,3 +194,28 @@ def test_batch_spectra_equal_the_definition(spark):
     lags = {(r.ch, r.lag): r.value for r in pulse_stats.autocorrelation(df.where("size(y) = 20"), ["ch"], "y", 4).collect()}
     flat = x - x.mean(1, keepdims=True)
     assert all(lags[c, k] == pytest.approx(np.mean([f[: 20 - k] @ f[k:] / 20 for f in flat[c::3]])) for c in range(3) for k in range(4))
+
+
+def test_more_channels_take_the_place_of_older_ones(spark, rows):
+    old = Channels(rows, noise=rows.where("row_idx < 6")).set_bad([0, 1], "old")
+    new = Channels(rows.where("ch_num > 0 and row_idx < 30").withColumn("a", F.lit(-1.0)).withColumn("more", F.lit(1)), noise=rows.where("ch_num = 1 and row_idx < 3")).set_bad([2], "new")
+    both = old.with_more_channels(new)
+    assert {(r.ch_num, r.n, r.low) for r in both.df.groupBy("ch_num").agg(F.count("*").alias("n"), F.min("a").alias("low")).collect()} == {(0, 20, 0.0), (1, 10, -1.0), (2, 10, -1.0)}
+    assert {(r.ch_num, r.message) for r in both.bad.collect()} == {(0, "old"), (2, "new")} and both.df.where("more is null").count() == 20
+    assert {r.ch_num: r["count"] for r in both.noise.groupBy("ch_num").count().collect()} == {0: 2, 1: 1}
+
+
+def test_mapped_columns(spark, rows):
+    found = Channels(rows.withColumn("pulse", F.when(F.col("row_idx") % 5 > 0, F.array("a", "b")))).with_mapped("pulse", lambda x: x.sum(1), "total").with_mapped("b", lambda x: x + 1, "next").df
+    assert all((r.total is None) == (r.row_idx % 5 == 0) and (r.total is None or r.total == r.a + r.b) and r.next == r.b + 1 for r in found.collect())
+    arrays = Channels(rows.withColumn("pulse", F.array("a", "b"))).with_mapped("pulse", lambda x: x[:, ::-1], "turned", "array<double>").df
+    assert all(r.turned == [r.b, r.a] for r in arrays.collect())
+    with pytest.raises(Exception, match="1 results"):
+        Channels(rows.coalesce(1)).with_mapped("b", lambda x: x[:1], "few").df.collect()
+
+
+def test_combined_tables_agree(spark, rows):
+    one, two = rows.withColumn("n_samples", F.lit(64)), rows.withColumn("n_samples", F.lit(65))
+    assert combined({"x": one, "y": one}, same=["n_samples"]).count() == 120
+    with pytest.raises(ValueError, match="n_samples differs"):
+        combined({"x": one, "y": two}, same=["n_samples"])
