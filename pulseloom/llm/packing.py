@@ -2,11 +2,10 @@
 
 Every document (ids, then the end id) is first cut into full windows, which are sequences of their own.
 The remainders are packed best fit, decreasing: longest first, each into the open window with the least
-room that still holds it; a segment tree over remaining room finds that window.  Pieces are dealt to
-shards by a hash of (doc_id, start), and each shard is packed on its own; only lengths and checksums travel,
-not ids.  A shard's remainders fill SHARD windows at least, so that the part-empty windows at its end are few beside
-the rest, however many partitions the session has; and a shard has about PIECES pieces at most, at every size of
-the corpus, as one task packs it.
+room that still holds it; a segment tree over remaining room finds that window.  Full windows stay where they are;
+remainders are dealt evenly, whatever their documents, to shards of about PIECES each at every size of the corpus and
+in every session, and each shard is packed on its own by one task.  Only lengths and checksums travel, not ids.  A shard's
+part-empty windows are few beside the many that its remainders fill.
 
 Null text counts as empty and gives one piece with the end id.  Repeated rows are packed as often as they
 come.  An empty table gives no pieces.  Other columns are ignored.
@@ -23,11 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseloom.llm.byte_tokens import byte_tokens, crc32
-from pulseloom.llm.tables import give_back, partitions, stored
+from pulseloom.llm.tables import give_back, stored
 from pulseloom.llm.words import slices
 
-SHARD = 1000  # windows that a shard's remainders fill at least, if there is more than one shard
-PIECES = 500_000  # a shard
+PIECES = 100_000  # remainders of a shard, about
 
 
 class RoomTree:
@@ -106,9 +104,9 @@ def pack(pieces: DataFrame, window: int = 1024) -> DataFrame:
     """Adds sequence_id, offset and padded_to (the sequence's length with padding: window, or its own length at a power of two)."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     pieces = stored(pieces.select(*names), "pieces")
-    left, n = pieces.agg(F.sum(F.when(F.col("length") < window, F.col("length"))), F.count("*")).first()
-    shards = max(1, min(partitions(pieces.sparkSession), (left or 0) // (SHARD * window)), n // PIECES)
-    shard = F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("int")
+    short = pieces.where(F.col("length") < window)
+    shards = max(1, -(-short.count() // PIECES))
+    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
@@ -121,11 +119,14 @@ def pack(pieces: DataFrame, window: int = 1024) -> DataFrame:
         fill = np.bincount(sequence, lengths, n).astype(np.int64)
         padded = np.where(fill & (fill - 1), window, fill)
         shard = TaskContext.get().partitionId()
-        part = part.append_column("sequence_id", pa.array(sequence * shards + shard)).append_column("offset", pa.array(offset)).append_column("padded_to", pa.array(padded[sequence]))
+        part = part.append_column("sequence_id", pa.array(2 * (sequence * shards + shard))).append_column("offset", pa.array(offset)).append_column("padded_to", pa.array(padded[sequence]))
         yield from part.to_batches(max_chunksize=10_000)
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return pieces.repartitionById(shards, shard).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long")
+    packed = short.repartitionById(shards, shard).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long")
+    # odd numbers for windows that are full as they come
+    full = pieces.where(F.col("length") >= window).select(*names, (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(window).cast("long").alias("padded_to"))
+    return packed.unionByName(full)
 
 
 def pack_documents(docs: DataFrame, vocab: str, window: int = 1024, end_id: int = 0) -> DataFrame:

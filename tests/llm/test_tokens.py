@@ -169,16 +169,29 @@ def test_packing_pads_little_over_many_partitions(spark):
     assert n <= -(-tokens // 1024) + 1
 
 
-def test_packing_in_several_shards(spark, monkeypatch):
-    monkeypatch.setattr(packing, "SHARD", 2)
-    docs = spark.createDataFrame([(k, "lamp stone " * (3 + k % 40)) for k in range(300)], "doc_id long, text string")
-    held = defaultdict(list)
-    for r in packing.pack_documents(docs, VOCAB).collect():
+@pytest.mark.parametrize("session", ["2", "50"])
+def test_packing_in_several_shards(spark, monkeypatch, session):
+    """Shards hold about PIECES remainders each, in any session, also if all rows are one document's."""
+    monkeypatch.setattr(packing, "PIECES", 50)
+    docs = spark.createDataFrame([(k if k < 100 else None, "lamp stone " * (3 + (k % 40 if k < 100 else 7))) for k in range(300)] + [(7, "lamp stone " * 3000)], "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", session)
+    try:
+        rows = packing.pack_documents(docs, VOCAB).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    held, shards = defaultdict(list), defaultdict(int)
+    for r in rows:
         held[r.sequence_id].append((r.offset, r.length))
-    assert sum(map(len, held.values())) == 300 and len({s % 4 for s in held}) > 1
-    for parts in held.values():
+        if r.length < 1024:
+            shards[r.sequence_id // 2 % 7] += 1
+    assert sum(r.length < 1024 for r in rows) == 301 and len(rows) > 301
+    assert len(shards) == 7 and max(shards.values()) <= 75
+    for s, parts in held.items():
         ends = [0, *(a + b for a, b in sorted(parts))]
         assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 1024
+        assert (s % 2 == 1) == (parts == [(0, 1024)])
+    assert len(held) - sum(r.length == 1024 for r in rows) <= sum(r.length for r in rows if r.length < 1024) / 1024 * 1.3 + 7
 
 
 @pytest.fixture(scope="module")
