@@ -2,10 +2,12 @@
 
 A replica holds files of records; each record has an id, a byte range and a digest.  A record's number, the same in
 every replica, gives its leaf: a leaf hashes lengths and digests of its records in offset order, and a node hashes
-its `FAN` children in order with the range of bytes they span, measured from its own begin.  Roots of two replicas
-are compared first, only children of nodes that differ are looked at, level by level, and under leaves that
-differ records are compared by id.  As numbers and not places align the trees, and ranges are relative, a lost or
-inserted record changes the nodes above it alone, and not all that follows.
+its `FAN` children in order and, where these lie end to end, the ranges of bytes they span, measured from its own begin.
+Roots of two replicas are compared first, only children of nodes that differ are looked at, level by level, and under
+leaves that differ records are compared by id.  As numbers and not places align the trees, and a range counts only where no
+other record can lie within it, a lost or inserted record changes the nodes above it alone, and not all that follows.
+Records of a derived table are numbered in order; those of stored files by a hash of their id, as replicas that differ have
+no other numbers in common, so there a tree is over the hashes' order.
 
 Records are hashed where they are read; only ranges and digests are shuffled.  A file's records are put in order in
 one task, files being of bounded length, as archive files are; pages without page_id form files of their own, by
@@ -53,17 +55,29 @@ def record_index(records: DataFrame, per_file: int = PER_FILE) -> DataFrame:
     return hashed.withColumns({"place": (F.row_number().over(by) - 1).cast("long"), "start": F.sum("length").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")})
 
 
+def _member(raw: bytes, at: int) -> tuple[bytes, int]:
+    """The record in the gzip member at a place, and the member's length; a damaged or cut member is a record up to the end, as it stands.
+
+    The member is fed in growing steps, so its own bytes are read, not all that follow.
+    """
+    member, view, parts, place, step = zlib.decompressobj(31), memoryview(raw), [], at, 4096
+    try:
+        while not member.eof and place < len(raw):
+            parts.append(member.decompress(view[place : place + step]))
+            place, step = min(place + step, len(raw)), min(2 * step, 1 << 20)
+    except zlib.error:
+        return raw[at:], len(raw) - at
+    if not member.eof:
+        return raw[at:], len(raw) - at
+    return b"".join(parts), place - at - len(member.unused_data)
+
+
 def _records(raw: bytes) -> Iterator[tuple[int, int, bytes]]:
     """(offset, length, record) of a WARC file, plain or with a gzip member a record; what cannot be read is one record up to the end."""
     at = 0
     while at < len(raw):
         if raw[at : at + 2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            try:
-                record = member.decompress(raw[at:])
-                length = len(raw) - at - len(member.unused_data)
-            except zlib.error:
-                record, length = raw[at:], len(raw) - at
+            record, length = _member(raw, at)
         else:
             end = raw.find(b"\r\n\r\n", at)
             size = next((int(v) for k, _, v in (h.partition(b":") for h in raw[at : max(end, at)].split(b"\r\n")) if k.strip().lower() == b"content-length" and v.strip().isdigit()), None)
@@ -92,18 +106,20 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def leaves(index: DataFrame) -> DataFrame:
-    """Level 0 of the trees: file, place (the records' number), low and high (byte range), node (hash)."""
+    """Level 0 of the trees: file, place (the records' number), low and high (byte range), whole (no gap within), node (hash)."""
     known = index.where("file is not null and start is not null")
     order = F.array_sort(F.collect_list(F.struct("start", "length", "digest")))
-    return known.groupBy("file", F.col("number").alias("place")).agg(F.min("start").alias("low"), F.max(F.col("start") + F.col("length")).alias("high"), order.alias("r")).select("file", "place", "low", "high", F.sha2(F.concat_ws(",", F.transform("r", lambda r: F.concat_ws(":", r["length"], r["digest"]))), 256).alias("node"))
+    return known.groupBy("file", F.col("number").alias("place")).agg(F.min("start").alias("low"), F.max(F.col("start") + F.col("length")).alias("high"), F.sum("length").alias("size"), order.alias("r")).select("file", "place", "low", "high", (F.col("high") - F.col("low") == F.col("size")).alias("whole"), F.sha2(F.concat_ws(",", F.transform("r", lambda r: F.concat_ws(":", r["length"], r["digest"]))), 256).alias("node"))
 
 
 def parents(level: DataFrame) -> DataFrame:
-    """The next level: every FAN nodes become one."""
+    """The next level: every FAN nodes become one, with their ranges where these tile its own."""
     children = F.array_sort(F.collect_list(F.struct("place", "low", "high", "node")))
-    up = level.groupBy("file", F.floor(F.col("place") / FAN).alias("up")).agg(F.min("low").alias("low"), F.max("high").alias("high"), children.alias("children"))
-    parts = F.transform("children", lambda c: F.concat_ws(":", c["place"], c["low"] - F.col("low"), c["high"] - F.col("low"), c["node"]))
-    return up.select("file", F.col("up").alias("place"), "low", "high", F.sha2(F.concat_ws(",", parts), 256).alias("node"))
+    up = level.groupBy("file", F.floor(F.col("place") / FAN).alias("up")).agg(F.min("low").alias("low"), F.max("high").alias("high"), children.alias("children"), F.every("whole").alias("all"), F.sum(F.col("high") - F.col("low")).alias("size"))
+    up = up.withColumn("whole", F.col("all") & (F.col("high") - F.col("low") == F.col("size")))
+    ranges = lambda c: F.when(F.col("whole"), F.concat_ws(":", c["low"] - F.col("low"), c["high"] - F.col("low"))).otherwise("")
+    parts = F.transform("children", lambda c: F.concat_ws(":", c["place"], ranges(c), c["node"]))
+    return up.select("file", F.col("up").alias("place"), "low", "high", "whole", F.sha2(F.concat_ws(",", parts), 256).alias("node"))
 
 
 def tree(level: DataFrame, height: int) -> list[DataFrame]:

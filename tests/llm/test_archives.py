@@ -1,6 +1,7 @@
 import datetime as dt
 import gzip
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,3 +114,40 @@ def test_captures_need_no_key(spark, monkeypatch):
     got = sorted(((r.id, r.host, r.verdict) for r in url_lists.judge(captures, events, "url", "at").collect()), key=str)
     want = [(8, "good.test", "clear"), (8, "bad.example", "blocked"), (None, "bad.example", "blocked"), (None, "a.bad.example", "allowed"), (None, None, "clear")] + [(9, "bad.example", "blocked")] * 3000
     assert got == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("fault", ["lost", "new", "altered"])
+def test_one_fault_in_a_stored_archive_is_one_path(spark, tmp_path, fault):
+    def record(k, body):
+        return f"WARC/1.0\r\nWARC-Record-ID: <urn:r:{k}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    rows = [record(k, b"x" * (k % 50)) for k in range(3000)]
+    other = {"lost": rows[:1200] + rows[1201:], "new": rows[:1200] + [record("new", b"n" * 77)] + rows[1200:], "altered": rows[:1200] + [record(1200, b"longer" * 9)] + rows[1201:]}[fault]
+    levels = []
+    for side, data in (("one", rows), ("two", other)):
+        (tmp_path / side).mkdir()
+        (tmp_path / side / "a.warc").write_bytes(b"".join(data))
+        levels.append(fixity.tree(fixity.leaves(fixity.read_archive(spark, str(tmp_path / side))), fixity.HEIGHT))
+    under = None
+    for level in range(fixity.HEIGHT, -1, -1):
+        under = fixity.differing(levels[0][level], levels[1][level], under)
+        assert under.count() == 1, level
+
+
+def test_gzip_members_in_linear_time():
+    body = random.Random(1).randbytes(3000)
+    record = b"WARC/1.0\r\nContent-Length: 3000\r\n\r\n" + body + b"\r\n\r\n"
+    member = gzip.compress(record, 1)
+    times = []
+    for n in (2000, 16000):  # 6 and 50 MB
+        raw = member * n
+        begun = time.process_time()
+        found = list(fixity._records(raw))
+        times.append(time.process_time() - begun)
+        assert len(found) == n and found[-1] == (len(member) * (n - 1), len(member), record)
+    assert times[1] < 20 * times[0] + 0.5
+    cut = member * 3 + member[:100]
+    assert [(a, n) for a, n, _ in fixity._records(cut)] == [(k * len(member), len(member)) for k in range(3)] + [(3 * len(member), 100)]
+    assert list(fixity._records(cut))[-1][2] == member[:100] and list(fixity._records(b"")) == []
+    damaged = member + b"\x1f\x8b" + b"rubbish" * 9
+    assert len(list(fixity._records(damaged))) == 2
