@@ -494,13 +494,6 @@ def q_scale(spark, sf_dir):
     return learning.q_scale(_t(spark, sf_dir, "events"), ["user_id"], "value").withColumn("q", F.round("q", 6))
 
 
-@query()
-def laplace_entropy(spark, sf_dir):
-    from pulseloom.operators import learning
-
-    return learning.laplace_entropy(_t(spark, sf_dir, "events"), ["user_id"], "value", 5.0)
-
-
 @query()
 def line_fits(spark, sf_dir):
     from pulseloom.operators import learning
@@ -582,10 +575,16 @@ def daily_spectra(spark, sf_dir):
     return out.withColumn("since", F.col("since").cast("timestamp_ntz"))
 
 
-@query()
+@query("""WITH u AS (SELECT event_type, k::DOUBLE AS k, value AS y, (event_id % 100)::DOUBLE - k AS u, least((event_id % 100)::DOUBLE - k, 0) AS a, greatest((event_id % 100)::DOUBLE - k, 0) AS b FROM events, (VALUES (20), (40), (60), (80)) t(k)),
+s AS (SELECT event_type, k, count(*)::DOUBLE AS n, sum(a) AS i, sum(b) AS j, sum(a * a) AS ii, sum(b * b) AS jj, sum(y) AS y, sum(a * y) AS iy, sum(b * y) AS jy FROM u GROUP BY ALL),
+f AS (SELECT *, (y * ii * jj - i * iy * jj - j * jy * ii) / (n * ii * jj - i * i * jj - j * j * ii) AS level FROM s),
+g AS (SELECT event_type, k, level, (iy - i * level) / ii AS l, (jy - j * level) / jj AS r FROM f),
+m AS (SELECT g.event_type, g.k, level, l, r, sum((y - level - CASE WHEN u < 0 THEN l ELSE r END * u) ** 2) AS misfit FROM u JOIN g ON g.event_type = u.event_type AND g.k = u.k GROUP BY ALL)
+SELECT event_type, k AS place, round(level, 6) AS level, round(l, 7) AS "left", round(r, 7) AS "right", round(misfit, 3) AS misfit FROM m QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY misfit, k) = 1""")
 def kink_search(spark, sf_dir):
     e = _t(spark, sf_dir, "events").withColumn("x", F.col("event_id") % 100)
-    return pulse_stats.kink_fit(e, ["event_type"], "x", "value", [20, 40, 60, 80])
+    found = pulse_stats.kink_fit(e, ["event_type"], "x", "value", [20, 40, 60, 80])
+    return found.select("event_type", "place", F.round("level", 6).alias("level"), F.round("left", 7).alias("left"), F.round("right", 7).alias("right"), F.round("misfit", 3).alias("misfit"))
 
 
 @query()

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseloom.operators import entropies as E
-from pulseloom.operators import filters
+from pulseloom.operators import filters, learning
 from pulseloom.operators import streams as S
-from pulseloom.operators.learning import laplace_entropy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,13 +69,13 @@ def time_drift_candidate(spark, sf_dir):
     span = e.groupBy("event_type").agg(F.min("us").alias("a"), F.max("us").alias("b"))
     u = 2 * (F.col("us") - F.col("a")).cast("double") / (F.col("b") - F.col("a")) - 1
     drifted = e.join(span, "event_type").withColumn("x", F.col("value") * (1 + E.legendre(u, F.array(F.lit(0.002), F.lit(-0.001)))))
-    return laplace_entropy(drifted, ["event_type"], "x", 5.0).withColumn("entropy", F.round("entropy", 7))
+    return learning.laplace_entropy(drifted, ["event_type"], "x", 5.0).withColumn("entropy", F.round("entropy", 7))
 
 
 @query("WITH " + _BLURRED.format(key="user_id", x="value", source="events"))
-def blurred_entropy(spark, sf_dir):
+def laplace_entropy(spark, sf_dir):
     """Entropy of each user's values from binned counts."""
-    return laplace_entropy(_events(spark, sf_dir), ["user_id"], "value", 5.0).withColumn("entropy", F.round("entropy", 7))
+    return learning.laplace_entropy(_events(spark, sf_dir), ["user_id"], "value", 5.0).withColumn("entropy", F.round("entropy", 7))
 
 
 @query()
