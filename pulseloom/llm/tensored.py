@@ -42,6 +42,7 @@ MISSED = 1e-5  # of pairs at the threshold, by the groups of one collection
 TILE, TILE_SHINGLES = 1024, 1 << 22  # documents and shingles of a tile's side
 LOT, STEP = 8192, 64  # rows of tiles that one call compares, and rows that are held against all others of a tile at once
 TASK_SHINGLES = 50_000  # of texts that are compared with one text in one task
+TASK_PAIRS = 4096  # of one row whose parities are compared in one task
 _FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -151,13 +152,22 @@ def _folded(bits: Column, n: Column) -> Column:
     return F.when(F.size(bits) == n, bits).otherwise(F.transform(F.sequence(F.lit(0), n - 1), at))
 
 
+def dealt(pairs: DataFrame, loads: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs with part, rows (a, parts)): the pairs of one a in as many parts as keep each part's share of a's loads (a, load) near `most`."""
+    many = loads.groupBy("a").agg(F.ceil(F.sum("load") / F.lit(most)).cast("int").alias("parts"))
+    parted = skew_join(pairs, many, ["a"], "inner").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
+    return parted.drop("parts"), many
+
+
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that parities do not rule out: elements in one set only are at least as many as differing parities."""
     brief = lambda k: sets.select(F.col("row").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"n_{k}"))
     width = F.least(F.size("bits_a"), F.size("bits_b"))
     apart = F.aggregate(F.zip_with(_folded(F.col("bits_a"), width), _folded(F.col("bits_b"), width), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     most = F.floor((F.col("n_a") + F.col("n_b") - apart) / 2)
-    return pairs.join(brief("a"), "a").join(brief("b"), "b").where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b")
+    pairs, many = dealt(pairs, pairs.select("a", F.lit(1).alias("load")), TASK_PAIRS)
+    left = many.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").join(brief("a"), "a")
+    return pairs.join(left, ["a", "part"]).join(brief("b"), "b").where(100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)).select("a", "b")
 
 
 def _unpacked(column: pa.Array) -> np.ndarray:
@@ -194,12 +204,12 @@ def to_compare(placed: DataFrame) -> DataFrame:
     return apart.select(*of).union(joint.select(*of))
 
 
-def near_misses(rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of one bucket in different components that sizes and parities do not rule out.
+def tiles_of(rows: DataFrame, percent: int) -> DataFrame:
+    """tile, side, row, n, component, bits, lot: rows (bucket, row, n, component, bits) copied to every tile that compares them.
 
-    rows: bucket, row, n (set size), component, bits.  A bucket's rows are cut into chunks by whether they belong
-    to its largest component, by size class (alike sizes are in one class or in neighbouring ones), and by a hash.
-    Every two chunks that may hold a link are compared in one task.
+    A bucket's rows are cut into chunks by whether they belong to its largest component, by size class (alike sizes
+    are in one class or in neighbouring ones), and by a hash.  Every two chunks that may hold a link are a tile.  Lots
+    are as many as keep the copies in one near LOT rows, and near LOT / TILE chunks' shingles, however many tiles a bucket has.
     """
     by = rows.groupBy("bucket", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
     small = (F.sum("rows") <= TILE) & (F.sum("shingles") <= TILE_SHINGLES)  # one chunk
@@ -208,15 +218,22 @@ def near_misses(rows: DataFrame, percent: int) -> DataFrame:
     held = rows.join(by.where("components > 1").drop("components"), "bucket")
     held = held.withColumns({"class": F.when(F.col("small"), 0).otherwise(sized), "minor": (F.col("small") | (F.col("component") != F.col("main"))).cast("int")}).drop("main", "small")
     chunks = F.ceil(F.count("*") / F.lit(TILE) + F.sum("n") / F.lit(TILE_SHINGLES)).cast("int")
-    sizes = held.groupBy("bucket", "class", "minor").agg(chunks.alias("chunks"))
-    lists = sizes.groupBy("bucket").agg(F.collect_list(F.struct("class", "minor", "chunks")).alias("all"))  # a few a bucket: classes are logarithms
+    load = F.count("*") / F.lit(LOT) + F.sum("n") / F.lit(TILE_SHINGLES * (LOT // TILE))
+    sizes = held.groupBy("bucket", "class", "minor").agg(chunks.alias("chunks"), load.alias("load"))
+    lists = stored(sizes.groupBy("bucket").agg(F.collect_list(F.struct("class", "minor", "chunks", "load")).alias("all")), "chunks")  # a few a bucket: classes are logarithms
+    meets = lambda c, d: (F.abs(c["class"] - d["class"]) <= 1) & (c["minor"] + d["minor"] > 0)
+    met = lambda d: F.aggregate("all", F.lit(0), lambda x, c: F.when(meets(c, d), x + c["chunks"]).otherwise(x))
+    lots = 1 + int(lists.agg(F.sum(F.aggregate("all", F.lit(0.0), lambda x, d: x + d["load"] * met(d)))).first()[0] or 0)
     own = F.aggregate("all", F.lit(1), lambda x, c: F.when((c["class"] == F.col("class")) & (c["minor"] == F.col("minor")), c["chunks"]).otherwise(x))
     held = held.join(lists, "bucket").withColumn("chunk", F.struct("class", "minor", F.pmod(F.xxhash64("row"), own).cast("int").alias("part")))
     fits = F.filter("all", lambda c: (F.abs(c["class"] - F.col("class")) <= 1) & (c["minor"] + F.col("minor") > 0))
     others = F.flatten(F.transform(fits, lambda c: F.transform(F.sequence(F.lit(0), c["chunks"] - 1), lambda k: F.struct(c["class"].alias("class"), c["minor"].alias("minor"), k.alias("part")))))
     tiles = held.withColumn("other", F.explode(others)).select(F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("tile"), F.when(F.col("chunk") <= F.col("other"), 0).otherwise(1).alias("side"), "row", "n", "component", "bits")
-    lots = 1 + rows.count() // LOT
-    tiles = tiles.withColumn("lot", F.pmod("tile", F.lit(lots)))  # most tiles are small; a lot has many
+    return tiles.withColumn("lot", F.pmod("tile", F.lit(lots)))  # most tiles are small; a lot has many
+
+
+def near_misses(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of one bucket in different components that sizes and parities do not rule out; rows as tiles_of() takes them."""
 
     def compare(lot: pa.Table) -> pa.Table:
         give_back()
@@ -230,7 +247,7 @@ def near_misses(rows: DataFrame, percent: int) -> DataFrame:
             here = np.arange(low, high)
             x, y = here[side[low:high] == 0], here[side[low:high] == 1]
             alone = not len(y)  # a chunk with itself
-            y = x if alone else y
+            y, parity = x if alone else y, None
             # pairs of other components whose sizes are alike; most tiles have few
             for k in range(0, len(x), STEP):
                 few = x[k : k + STEP]
@@ -240,7 +257,7 @@ def near_misses(rows: DataFrame, percent: int) -> DataFrame:
                 i, j = np.nonzero(may)
                 i, j = few[i], y[j]
                 if len(i):
-                    parity = _unpacked(bits.slice(low, high - low))
+                    parity = _unpacked(bits.slice(low, high - low)) if parity is None else parity
                     apart = np.concatenate([np.bitwise_count(parity[p - low] ^ parity[q - low]).sum(1, dtype=np.int64) for p, q in zip(np.array_split(i, 1 + len(i) * parity.shape[1] // (1 << 20)), np.array_split(j, 1 + len(i) * parity.shape[1] // (1 << 20)), strict=True)])
                     most = (n[i] + n[j] - apart) // 2
                     link = 100 * most >= percent * (n[i] + n[j] - most)
@@ -250,15 +267,15 @@ def near_misses(rows: DataFrame, percent: int) -> DataFrame:
         found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         return pa.table({"a": np.ascontiguousarray(found[:, 0]), "b": np.ascontiguousarray(found[:, 1])})
 
-    return tiles.groupBy("lot").applyInArrow(compare, "a long, b long").distinct()
+    return tiles_of(rows, percent).groupBy("lot").applyInArrow(compare, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their shingles, by words; an a with many pairs is dealt to many tasks."""
     held = pairs.join(texts.select(F.col("row").alias("b"), "n"), "b")
-    many = held.groupBy("a").agg(F.ceil(F.sum(F.col("n") + 400) / F.lit(TASK_SHINGLES)).cast("int").alias("parts"))
+    pairs, many = dealt(pairs, held.select("a", (F.col("n") + 400).alias("load")), TASK_SHINGLES)
     left = many.join(texts.select(F.col("row").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "text")
-    right = pairs.join(many, "a").select(F.col("a").alias("to"), "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("at")).join(texts.select(F.col("row").alias("b"), "text"), "b")
+    right = pairs.select(F.col("a").alias("to"), "b", F.col("part").alias("at")).join(texts.select(F.col("row").alias("b"), "text"), "b")
 
     def compare(one: pa.Table, more: pa.Table) -> pa.Table:
         if not one.num_rows or not more.num_rows:

@@ -134,3 +134,31 @@ def test_recall_of_tables():
         alike = [(k[::2] == k[1::2]).any(1) for k in (first, second)]
         missed += int((~(alike[0] & alike[1])).sum())
     assert missed <= 20
+
+
+def test_lots_are_bounded_by_the_copies_in_tiles(spark, monkeypatch):
+    """One bucket of many components has a tile for every two chunks; no lot holds many of their rows, and none is lost."""
+    monkeypatch.setattr(tensored, "TILE", 8)
+    monkeypatch.setattr(tensored, "LOT", 64)
+    rows = spark.range(600).selectExpr("id as row", "1 as bucket", "40l as n", "id as component", "array(id) as bits")
+    tiles = tensored.tiles_of(rows, 85).groupBy("lot").count().collect()
+    chunks = -(-599 // 8)  # of all but the largest component, which is row 0 and a chunk that isn't compared with itself
+    assert sum(t["count"] for t in tiles) == 599 * (chunks + 1) + chunks
+    assert max(t["count"] for t in tiles) <= 4 * 64
+    few = tensored.tiles_of(rows.where("row < 5"), 85).groupBy("lot").count().collect()
+    assert [t["count"] for t in few] == [5]
+
+
+def test_pairs_of_a_hub_are_dealt_to_parts(spark, monkeypatch):
+    """A row with most pairs has them in many parts, whose number follows from its load; no pair is lost or doubled."""
+    pairs = spark.range(5000).selectExpr("if(id < 4000, 0, id) as a", "id + 10000 as b")
+    dealt, many = tensored.dealt(pairs, pairs.selectExpr("a", "1 as load"), 100)
+    parts = {r.a: r.parts for r in many.collect()}
+    assert parts[0] == 40 and set(parts.values()) == {1, 40}
+    got = dealt.collect()
+    assert sorted((r.a, r.b) for r in got) == sorted((r.a, r.b) for r in pairs.collect())
+    assert dealt.groupBy("a", "part").count().agg({"count": "max"}).first()[0] < 200
+    monkeypatch.setattr(tensored, "TASK_PAIRS", 3)
+    sets = tensored.with_parities(spark.createDataFrame([(k, 30, " ".join(f"w{i}" for i in range(k % 3 * 10, 30 + k % 3 * 10))) for k in range(40)], "row long, n long, text string"), 1)
+    hub = spark.range(1, 40).selectExpr("0l as a", "id as b")
+    assert sorted(r.b for r in tensored.possible(hub, sets, 85).collect()) == [k for k in range(1, 40) if k % 3 == 0]
