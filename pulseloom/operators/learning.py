@@ -1,7 +1,7 @@
 """Learned parameters: one row a channel, found by grouped Spark jobs; applied by a join on the channel.
 
 Scans over the records are aggregates; what is solved per channel afterwards is small (a filter's length, a histogram,
-a handful of peaks).  Operators that follow a channel's records one by one say so.
+a handful of peaks).
 """
 
 from __future__ import annotations
@@ -158,31 +158,6 @@ def spline_applied(df: DataFrame, spline: DataFrame, by: Sequence[str], column:
     return df.join(pieces, list(by)).withColumn("_q", piece).withColumn(output, value).drop("_p", "_q")
 
 
-def _running_unwrap(x: np.ndarray, period: float, n: int, good: np.ndarray) -> np.ndarray:
-    out, recent = np.empty_like(x), []
-    for k, v in enumerate(x):
-        near = np.mean(recent) if recent else v
-        out[k] = v - period * np.round((v - near) / period)
-        if good[k]:
-            recent = [*recent, out[k]][-n:]
-    return out
-
-
-def unwrap_running(df: DataFrame, by: Sequence[str], order: Sequence[str], column: str, period: float, output: str, n: int = 3, good: Column | None = None) -> DataFrame:
-    """Takes each value to within half a period of the mean of the last n good ones, as corrected.
-
-    Each value depends on those before, so a channel's rows are followed in order in one task.
-    """
-    marked = df.withColumn("_good", F.lit(True) if good is None else F.coalesce(good, F.lit(False)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order))
-        return pdf.assign(**{output: _running_unwrap(pdf[column].to_numpy(float), period, n, pdf["_good"].to_numpy())}).drop(columns="_good")
-
-    schema = df.schema.add(output, "double")
-    return marked.groupBy(*by).applyInPandas(run, schema)
-
-
 def laplace_entropy(df: DataFrame, by: Sequence[str], column: str, width: float, bins_a_width: int = 20) -> DataFrame:
     """by, entropy of values blurred by a two-sided exponential, from binned counts.
 

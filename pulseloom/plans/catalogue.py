@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions import pulses as P
-from pulseloom.operators import cuts, histograms, pulse_stats, temporal
+from pulseloom.operators import cuts, histograms, jumps, pulse_stats, temporal
 from pulseloom.plans.channels import mapped
 
 PRE, N = 16, 64
@@ -477,12 +477,22 @@ def time_drift_gain(spark, sf_dir):
     return learning.time_drift(_events(spark, sf_dir), ["event_type"], "us", "value").select("event_id", "gain")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, value, i, 0::BIGINT AS k, [{'v': value, 'k': 0::BIGINT}] AS recent FROM o WHERE i = 1
+ UNION ALL SELECT user_id, event_id, value, i, k, list_append(recent, {'v': value, 'k': k})[-3:] FROM (SELECT *, last + round_even((value - list_reduce(list_transform(recent, lambda s: s.v - 100.0::DOUBLE * (s.k - last)), lambda x, y: x + y) / len(recent)) / 100.0::DOUBLE, 0)::BIGINT AS k
+  FROM (SELECT o.*, r.recent, r.recent[-1].k AS last FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)))
+SELECT user_id, event_id, value, round(value - 100.0::DOUBLE * k, 6) AS flat FROM r""")
 def unwrap_running(spark, sf_dir):
-    from pulseloom.operators import learning
-
     e = _t(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    return learning.unwrap_running(e, ["user_id"], ["event_id"], "value", 100.0, "flat")
+    return jumps.unwrap_running(e, ["user_id"], ["event_id"], "value", 100.0, "flat").withColumn("flat", F.round("flat", 6))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN event_type <> 'error' THEN value % 100 END AS m FROM events),
+f AS (SELECT user_id, max(value) - min(value) AS reach, coalesce(max(m) - min(m), 0) > 75 AS low, arg_min(value, event_id) AS first FROM g GROUP BY user_id)
+SELECT event_id, round(CASE WHEN reach < 100 THEN value WHEN low THEN (value + 25) % 100 - (first + 25) % 100 + first ELSE value % 100 - first % 100 + first END, 6) AS flat FROM events JOIN f USING (user_id)""")
+def flux_jumps(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    return jumps.flux_jumps(e, ["user_id"], ["event_id"], "value", 100.0, "flat", F.col("event_type") != "error").select("event_id", F.round("flat", 6).alias("flat"))
 
 
 @query("""WITH x AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
@@ -501,11 +511,19 @@ def line_fits(spark, sf_dir):
     return learning.line_fits(_t(spark, sf_dir, "events"), ["event_type"], "value", 100.0, 90.0, 2.0)
 
 
-@query()
+@query("""WITH c AS (SELECT event_type, (CASE WHEN value = 0 THEN 0 ELSE ceil(value / 5.0) - 1 END)::INT AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 500 GROUP BY ALL),
+h AS (SELECT g.event_type, b::INT AS bin, (b + 1.0::DOUBLE) * 5.0 AS label, coalesce(n, 0)::BIGINT AS n_rows FROM (SELECT DISTINCT event_type FROM events) g CROSS JOIN range(100) t(b) LEFT JOIN c ON c.bin = b AND c.event_type = g.event_type),
+s AS (SELECT *, avg(n_rows) OVER (PARTITION BY event_type ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM h),
+n AS (SELECT *, lag(s) OVER w AS l, lead(s) OVER w AS r FROM s WINDOW w AS (PARTITION BY event_type ORDER BY bin)),
+t AS (SELECT *, s > coalesce(l, -1) AND s >= coalesce(r, -1) AS top, CASE WHEN NOT (s > coalesce(l, -1) AND s >= coalesce(r, -1)) AND s <= coalesce(l, 1e300) AND s < coalesce(r, 1e300) THEN s END AS low FROM n),
+e AS (SELECT *, last_value(low IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, first_value(low IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM t),
+p AS (SELECT event_type, bin, label, s - (coalesce(b, a, 0) + coalesce(a, b, 0)) / 2 AS prominence FROM e WHERE top)
+SELECT event_type, bin, label, round(prominence, 6) AS prominence FROM p QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY prominence DESC, bin) <= 3""")
 def prominent_peaks(spark, sf_dir):
     from pulseloom.operators import learning
 
-    return learning.prominent_peaks(histograms.histogram(_t(spark, sf_dir, "events"), "value", 0.0, 5.0, 100, ["event_type"]), ["event_type"], 2, 3)
+    found = learning.prominent_peaks(histograms.histogram(_t(spark, sf_dir, "events"), "value", 0.0, 5.0, 100, ["event_type"]), ["event_type"], 2, 3)
+    return found.withColumn("prominence", F.round("prominence", 6))
 
 
 @query("""WITH k AS (SELECT event_type, min(value) AS x0, max(value) AS x1 FROM events GROUP BY event_type)

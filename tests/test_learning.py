@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pulseloom.operators import histograms, learning, pulse_stats
+from pulseloom.operators import histograms, jumps, learning, pulse_stats
 
 
 def test_drift_slope(spark):
@@ -60,7 +60,7 @@ def test_running_unwrap(spark):
     true = np.cumsum(rng.normal(0, 5, 500)) + 3000
     jumped = true + 4096 * np.cumsum(rng.choice([0, 0, 0, 0, 1, -1], 500))
     df = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate(jumped)], "ch int, k int, x double")
-    got = np.array([r.y for r in learning.unwrap_running(df, ["ch"], ["k"], "x", 4096.0, "y").orderBy("k").collect()])
+    got = np.array([r.y for r in jumps.unwrap_running(df, ["ch"], ["k"], "x", 4096.0, "y").orderBy("k").collect()])
     assert np.abs(np.diff(got - true)).max() < 1e-6
 
 
