@@ -6,9 +6,10 @@ with one of the second, which gives groups * groups tables of 2 * ROWS minhashes
 table exactly if they agree in a group of both collections.  The number of groups follows from the threshold
 (16 for 0.85, 22 for 0.8): all but 2 pairs in 100,000 at the threshold do, and of more similar pairs all but fewer.
 
-Only combinations of groups that some other document has too are formed.  In each bucket of a table all
-documents are compared with the smallest one; components of the links found are contracted, and then only
-documents of one bucket that lie in different components are compared, in tiles: those of the bucket's largest
+Only combinations of groups that some other document has too are formed.  Every document is first compared with
+one other, and components of the links found are contracted.  In each bucket of a table that holds several, all
+documents of other components than the smallest one's are compared with it; components are contracted again, and then
+only documents of one bucket that lie in different components are compared, in tiles: those of the bucket's largest
 component with the others alone, and only sizes that can be alike.  A large group of near copies so costs a
 comparison a member, not one a pair, and no link between components is lost.  Buckets that share a key of the
 first collection are compared as one where that holds no more pairs than they do together.  Tiles bound an intersection from
@@ -177,11 +178,36 @@ def _unpacked(column: pa.Array) -> np.ndarray:
     return np.array([np.bitwise_xor.reduce(flat[a:b].reshape(-1, width), 0) for a, b in zip(at, at[1:], strict=False)])
 
 
+def _alike(n: Column, m: Column, percent: int) -> Column:
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
 def buckets(df: DataFrame) -> DataFrame:
     """A row for each table that a document has: p, the key of the first collection, and bucket, of both keys."""
     return df.withColumn("p", F.explode("first")).withColumn("q", F.explode("second")).withColumn("bucket", F.xxhash64("p", "q")).drop("q", "first", "second")
 
 
+def nearest(shared: DataFrame, percent: int) -> DataFrame:
+    """A pair (a, b) at most for each row b of shared (row, n, first, second): of the smallest rows with one of b's keys of the first collection, the one with most of them."""
+    keys = shared.select("row", "n", F.explode("first").alias("key"))
+    least = keys.groupBy("key").agg(F.min(F.struct(F.col("row").alias("a"), F.col("n").alias("m"))).alias("s")).select("key", "s.*")
+    held = skew_join(keys, least, ["key"], "inner").where((F.col("a") != F.col("row")) & _alike(F.col("n"), F.col("m"), percent))
+    return held.groupBy("row", "a").agg(F.count("*").alias("keys")).groupBy(F.col("row").alias("b")).agg(F.max_by("a", F.struct("keys", -F.col("a"))).alias("a")).select("a", "b")
+
+
+def stars(placed: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of a bucket's smallest row and its rows in other components than that; placed as to_compare() takes it.
+
+    Buckets that lie in one component give none, so a large group of near copies that the first links have joined does
+    not list the smallest row of each of its tables.
+    """
+    tables = buckets(placed).drop("p")
+    ends = (F.min("component").alias("from"), F.max("component").alias("to"))
+    least = tables.groupBy("bucket").agg(F.min(F.struct(F.col("row").alias("a"), F.col("n").alias("m"), F.col("component").alias("of"))).alias("s"), *ends)
+    least = stored(least.where("`from` <> `to`").select("bucket", "s.*"), "mixed")
+    return tables.join(least, "bucket").where((F.col("component") != F.col("of")) & _alike(F.col("n"), F.col("m"), percent)).select("a", F.col("row").alias("b")).distinct()
+
+
 def to_compare(placed: DataFrame) -> DataFrame:
     """bucket, row, n, component of the buckets with several components; placed: row, n, first, second, component.
 
@@ -325,10 +351,6 @@ def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
         common = keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
         of = lambda s: F.collect_list(F.when(F.col("side") == s, F.col("key")))
         shared = stored(keys.join(common, "key", "left_semi").groupBy("row", "n").agg(of(0).alias("first"), of(1).alias("second")).where("size(first) > 0 and size(second) > 0"), "shared")
-        tables = buckets(shared).drop("p")
-        least = tables.groupBy("bucket").agg(F.min(F.struct(F.col("row").alias("a"), F.col("n").alias("m"))).alias("s"), F.count("*").alias("size")).where("size > 1").select("bucket", "s.*")
-        alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-        star = stored(tables.join(least, "bucket").where((F.col("a") != F.col("row")) & alike(F.col("n"), F.col("m"))).select("a", F.col("row").alias("b")).distinct(), "star")
         sets = stored(with_parities(with_text(shared), size), "sets")
 
         def joined(components: DataFrame, links: DataFrame) -> DataFrame:
@@ -337,17 +359,17 @@ def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 return components
             return connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
 
-        def between(pairs: DataFrame, components: DataFrame) -> DataFrame:
-            """Those pairs whose ends lie in different components."""
-            of = lambda k: components.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}"))
-            return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+        def placed_by(components: DataFrame) -> DataFrame:
+            held = shared.join(components, shared.row == components.node, "left")
+            return stored(held.select("row", "n", "first", "second", F.coalesce("component", "row").alias("component")), "placed")
 
-        links = stored(confirmed(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, size, percent), "links")
+        links = stored(confirmed(nearest(shared, percent), sets, size, percent), "links")
         components = connected_components(links)
-        more = stored(possible(between(star, components), sets, percent), "pairs")
+        star = stored(stars(placed_by(components), percent), "star")
+        more = stored(possible(star, sets, percent), "pairs")
         components = joined(components, stored(confirmed(more, sets, size, percent), "links"))
         # what is left: documents that share a table and lie in different components
-        placed = stored(shared.join(components, shared.row == components.node, "left").select("row", "n", "first", "second", F.coalesce("component", "row").alias("component")), "placed")
+        placed = placed_by(components)
         left = to_compare(placed).join(sets.select("row", "bits"), "row")
         pairs = stored(near_misses(left, percent), "pairs")
         components = joined(components, stored(confirmed(pairs, sets, size, percent), "links"))

@@ -162,3 +162,33 @@ def test_pairs_of_a_hub_are_dealt_to_parts(spark, monkeypatch):
     sets = tensored.with_parities(spark.createDataFrame([(k, 30, " ".join(f"w{i}" for i in range(k % 3 * 10, 30 + k % 3 * 10))) for k in range(40)], "row long, n long, text string"), 1)
     hub = spark.range(1, 40).selectExpr("0l as a", "id as b")
     assert sorted(r.b for r in tensored.possible(hub, sets, 85).collect()) == [k for k in range(1, 40) if k % 3 == 0]
+
+
+def test_pairs_of_stars_leave_out_what_is_joined(spark, monkeypatch):
+    """A group that the first links join lists no pairs of its tables' smallest rows; what is listed is written once, not joined anew by every reader."""
+    listed, inner = [], tensored.possible
+
+    def possible(pairs, *rest):
+        listed.append((pairs.count(), pairs._jdf.queryExecution().optimizedPlan().toString()))
+        return inner(pairs, *rest)
+
+    monkeypatch.setattr(tensored, "possible", possible)
+    rows = [(k, " ".join(f"w{i}" if i != 7 * k else f"u{k}" for i in range(300))) for k in range(40)]
+    df = spark.createDataFrame([*rows, (90, "quite another text")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(df, 3, 85).collect()}
+    assert got == dict.fromkeys(range(40), 0) | {90: 90}
+    assert [n for n, _ in listed] == [0] and "Join" not in listed[0][1]
+
+
+def test_groups_about_the_threshold_equal_brute_force(spark):
+    """Many copies of one text of which about half of the pairs are linked, so that no row is linked to all."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(120):
+        words = list(base)
+        for _ in range(rng.randrange(1, 8)):
+            words[rng.randrange(150)] = f"v{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == brute_force(rows, 3, 85)
