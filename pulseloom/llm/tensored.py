@@ -7,8 +7,8 @@ table exactly if they agree in a group of both collections.  The number of group
 (16 for 0.85, 22 for 0.8): all but 2 pairs in 100,000 at the threshold do, and of more similar pairs all but fewer.
 
 Only combinations of groups that some other document has too are formed.  Every document is first compared with
-one other, and components of the links found are contracted.  In each bucket of a table that holds several, all
-documents of other components than the smallest one's are compared with it; components are contracted again, and then
+one other, and components of the links found are contracted.  Of those with one key of the first collection, all
+outside the component that holds most are compared with one in it; components are contracted again, and then
 only documents of one bucket that lie in different components are compared, in tiles: those of the bucket's largest
 component with the others alone, and only sizes that can be alike.  A large group of near copies so costs a
 comparison a member, not one a pair, and no link between components is lost.  Buckets that share a key of the
@@ -196,16 +196,17 @@ def nearest(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def stars(placed: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of a bucket's smallest row and its rows in other components than that; placed as to_compare() takes it.
+    """A pair (a, b) at most for each row b and key of its first collection; placed as to_compare() takes it.
 
-    Buckets that lie in one component give none, so a large group of near copies that the first links have joined does
-    not list the smallest row of each of its tables.
+    Of a key's rows, a is the smallest in the component that has most of them, and b lies in another.  Keys that lie in
+    one component give no pairs.  A row so lists as many pairs as groups, and not one for each of its tables, which are their square.
     """
-    tables = buckets(placed).drop("p")
-    ends = (F.min("component").alias("from"), F.max("component").alias("to"))
-    least = tables.groupBy("bucket").agg(F.min(F.struct(F.col("row").alias("a"), F.col("n").alias("m"), F.col("component").alias("of"))).alias("s"), *ends)
-    least = stored(least.where("`from` <> `to`").select("bucket", "s.*"), "mixed")
-    return tables.join(least, "bucket").where((F.col("component") != F.col("of")) & _alike(F.col("n"), F.col("m"), percent)).select("a", F.col("row").alias("b")).distinct()
+    keys = placed.select("row", "n", "component", F.explode("first").alias("key"))
+    by = keys.groupBy("key", "component").agg(F.count("*").alias("rows"), F.min(F.struct("row", "n")).alias("s"))
+    main = F.max_by(F.struct(F.col("s.row").alias("a"), F.col("s.n").alias("m"), F.col("component").alias("of")), F.struct("rows", -F.col("component")))
+    least = by.groupBy("key").agg(main.alias("s"), F.count("*").alias("components")).where("components > 1")
+    held = skew_join(keys, stored(least.select("key", "s.*"), "mixed"), ["key"], "inner")
+    return held.where((F.col("component") != F.col("of")) & _alike(F.col("n"), F.col("m"), percent)).select("a", F.col("row").alias("b")).distinct()
 
 
 def to_compare(placed: DataFrame) -> DataFrame:

@@ -180,6 +180,17 @@ def test_pairs_of_stars_leave_out_what_is_joined(spark, monkeypatch):
     assert [n for n, _ in listed] == [0] and "Join" not in listed[0][1]
 
 
+def test_stars_list_a_pair_a_key_and_not_a_pair_a_table(spark):
+    """A row whose 100 tables have 100 smallest rows meets one row of each of its 10 keys: of the component with most rows there, not the smallest row."""
+    firsts, seconds = list(range(10)), list(range(100, 110))
+    rows = [(10 * i + j, 40, [i], [100 + j], 1000 if j > 6 else 10 * i + j) for i in range(10) for j in range(10)]
+    rows += [(500, 40, firsts, seconds, 500), (501, 90, firsts, seconds, 501), (600, 40, [50], seconds, 600), (601, 40, [50], [200], 600)]
+    placed = spark.createDataFrame(rows, "row long, n long, first array<long>, second array<long>, component long")
+    got = sorted((r.a, r.b) for r in tensored.stars(placed, 85).collect())
+    # keys 0 to 9 each have three rows of component 1000, from 10 * i + 7; row 501 is too large for any, and key 50 lies in one component
+    assert got == sorted((10 * i + 7, b) for i in range(10) for b in [500, *range(10 * i, 10 * i + 7)])
+
+
 def test_groups_about_the_threshold_equal_brute_force(spark):
     """Many copies of one text of which about half of the pairs are linked, so that no row is linked to all."""
     rng = random.Random(11)
