@@ -289,12 +289,12 @@ def remove_repeats(docs: DataFrame, width: int = 20, salt: bytes = b"") -> DataF
         keys = [np.frombuffer(r["names"], "<u4") for r in rows]
         every = np.sort(np.concatenate(keys + [np.frombuffer(r["others"], "<u4") for r in rows]))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
+        known = _among(keys, twice)
         high, sizes = np.concatenate([np.frombuffer(r["high"], _HIGH) for r in rows]), [len(r["high"]) // _HIGH.itemsize for r in rows]
         source = np.repeat([r["slice"] for r in rows], sizes)
         later, first = _later(high["one"], high["two"], high["doc"])
         out, at = [], 0
-        for r, k, size in zip(rows, keys, sizes, strict=True):
-            found = np.isin(k, twice) if len(k) else np.zeros(0, bool)
+        for r, found, size in zip(rows, known, sizes, strict=True):
             tell = np.flatnonzero(later[at : at + size]) + at
             facts = _facts(_unpacked(r["symbols"])[tell - at], np.zeros(len(tell)), source[first[tell]], high["at"][first[tell]]) if len(tell) else None
             if found.any() or facts:
@@ -417,6 +417,13 @@ def remove_repeats(docs: DataFrame, width: int = 20, salt: bytes = b"") -> DataF
     return by_slice.cogroup(asked.groupBy("slice")).applyInArrow(cut, result)
 
 
+def _among(keys: list[np.ndarray], known: np.ndarray) -> list[np.ndarray]:
+    """Whether the keys of each array are in `known`, which is sorted; the work goes with the keys, not with arrays times `known`."""
+    every = np.concatenate([*keys, known[:0]])
+    at = np.minimum(np.searchsorted(known, every), max(0, len(known) - 1))
+    return np.split(known[at] == every if len(known) else np.zeros(len(every), bool), np.cumsum([len(k) for k in keys])[:-1])
+
+
 def _later(one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each entry has an equal name of a smaller doc, and which entry is the first of its name."""
     order = np.lexsort((doc, two, one))

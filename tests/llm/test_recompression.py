@@ -1,11 +1,12 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from pulseloom.llm.recompression import FILTER, REVEAL, ROUNDS, Slice, remove_repeats
+from pulseloom.llm.recompression import FILTER, REVEAL, ROUNDS, Slice, _among, remove_repeats
 
 
 def brute_force(rows, width):
@@ -105,6 +106,20 @@ def test_other_words_under_one_name_fail():
         s.compare(np.array([[5], [30], [-1], [0]]))
 
 
+def test_lookups_of_a_bucket_go_with_its_keys():
+    """A bucket of a large corpus has keys of thousands of slices; np.isin for each slice sorts all of `known`, 0.9 s a slice here."""
+    rng = np.random.default_rng(7)
+    known = np.unique(rng.integers(0, 1 << 32, 1_000_000, dtype=np.uint32))
+    keys = [rng.integers(0, 1 << 32, rng.integers(0, 60), dtype=np.uint32) for _ in range(2000)]
+    keys[3][:5], keys[7] = known[-5:], known[:40]
+    began = time.thread_time()
+    found = _among(keys, known)
+    assert time.thread_time() - began < 3
+    assert [len(f) for f in found] == [len(k) for k in keys]
+    assert np.array_equal(np.concatenate(found), np.isin(np.concatenate(keys), known)) and found[3][:5].all() and found[7].all()
+    assert not any(f.any() for f in _among(keys, known[:0])) and [len(f) for f in _among([keys[0]], known)] == [len(keys[0])]
+
+
 def test_doc_ids_must_be_integers(spark):
     with pytest.raises(TypeError):
         remove_repeats(spark.createDataFrame([("x", "a b")], "doc_id string, text string"))
