@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.functions import pulses as P
 from pulseloom.operators import cuts, histograms, jumps, pulse_stats, temporal
-from pulseloom.plans.channels import mapped
+from pulseloom.plans.channels import mapped, write_by_channel
 
 PRE, N = 16, 64
 WEIGHTS = [((k * 7) % 11) - 5 for k in range(N)]
@@ -581,7 +581,7 @@ def partitioned_round_trip(spark, sf_dir):
     from pulseloom.session import shared_folder
 
     path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
-    _t(spark, sf_dir, "events").select("user_id", "event_id", "value").write.partitionBy("user_id").parquet(path)
+    write_by_channel(_t(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", path)
     return spark.read.schema("event_id long, value double, user_id long").parquet(path).select("user_id", "event_id", "value")
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pulseloom.plans.recipe import Recipe, Step
 
 BAD = "error string, message string"
+#: Folders that write_by_channel deals channels to.
+FOLDERS = 64
 
 
 @dataclass(frozen=True)
@@ -161,6 +163,16 @@ class Channels:
         return cls(rows.withColumn(facts.key, F.col(facts.key).cast(facts.kind)), facts.key, facts.good, Recipe.load(spark, f"{path}/recipe") if facts.recipe else None, None if bad.isEmpty() else bad)
 
 
+def write_by_channel(df: DataFrame, key: str, path: str, folders: int = FOLDERS) -> None:
+    """Rows as Parquet, each channel whole in one of `folders` folders (channel_folder), in ascending order in each file.
+
+    Files go with the bytes of rows and not with the number of channels, as a folder for each channel would; a filter on the
+    channel skips row groups by their bounds.  A folder that holds most rows is split into several files.
+    """
+    dealt = df.withColumn("channel_folder", F.pmod(F.xxhash64(key), F.lit(folders)).cast("int"))
+    dealt.hint("rebalance", "channel_folder").sortWithinPartitions("channel_folder", key).write.partitionBy("channel_folder").parquet(path)
+
+
 def mapped(df: DataFrame, column: str, f: Callable, output: str, kind: str = "double") -> DataFrame:
     """See Channels.with_mapped."""
     import numpy as np

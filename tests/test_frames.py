@@ -219,3 +219,17 @@ def test_combined_tables_agree(spark, rows):
     assert combined({"x": one, "y": one}, same=["n_samples"]).count() == 120
     with pytest.raises(ValueError, match="n_samples differs"):
         combined({"x": one, "y": two}, same=["n_samples"])
+
+
+def test_round_trip_by_channel_makes_few_files(spark, tmp_path):
+    """One folder a channel would be 1,501 files here, and 90,000 for as many channels."""
+    from pulseloom.plans import catalogue
+    from pulseloom.plans.channels import FOLDERS
+
+    made = [(k % 1500, k, k / 8) for k in range(6000)] + [(7, k, 0.5) for k in range(6000, 9000)] + [(None, 9000, 1.0), (8, 9001, None)]
+    spark.createDataFrame(made, "user_id long, event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    back = catalogue.QUERIES["partitioned_round_trip"](spark, str(tmp_path))
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(made, key=repr)
+    assert len(back.inputFiles()) <= FOLDERS
+    folder = F.regexp_extract(F.input_file_name(), "channel_folder=(\\d+)", 1)
+    assert back.select("user_id", folder.alias("f")).distinct().groupBy("user_id").count().where("count > 1").isEmpty()
