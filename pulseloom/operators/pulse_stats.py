@@ -149,16 +149,17 @@ def kink_at(df: DataFrame, by: Sequence[str], x: str, y: str, k: float) -> DataF
 def ranked_assignments(lines: DataFrame, peaks: DataFrame, curvature: float = 30_000.0, within: float = 0.1) -> DataFrame:
     """Ways to give three peak heights to three line energies by a falling linear gain; rank 1 has the least relative error.
 
-    lines (energy) and peaks (height) are short lists; pairs come from range joins between them.
+    lines (energy) and peaks (height) are short lists; pairs come from range joins between them.  Each list is one partition, as
+    tasks of such joins are the product of their partitions.  Where a gain is exactly zero there is no energy, and so no assignment.
     """
-    e = lambda k: lines.select(F.col("energy").alias(f"e{k}"))
-    p = lambda k: peaks.select(F.col("height").alias(f"p{k}"))
+    e = lambda k: lines.select(F.col("energy").alias(f"e{k}")).coalesce(1)
+    p = lambda k: peaks.select(F.col("height").alias(f"p{k}")).coalesce(1)
     pairs = e(0).join(e(1), F.col("e0") < F.col("e1")).join(p(0).join(p(1), F.col("p0") < F.col("p1")))
     g0, g1 = F.col("p0") / F.col("e0"), F.col("p1") / F.col("e1")
     pairs = pairs.withColumn("slope", (g1 - g0) / (F.col("p1") - F.col("p0"))).withColumn("gain", g0 - F.col("p0") * F.col("slope"))
-    pairs = pairs.where((F.col("slope") < 0) & (1 + curvature * F.col("slope") / F.col("gain") > 0.25))
+    pairs = pairs.where((F.col("slope") < 0) & (1 + F.try_divide(curvature * F.col("slope"), F.col("gain")) > 0.25))
     full = pairs.join(e(2), F.col("e1") < F.col("e2")).join(p(2), F.col("p1") < F.col("p2"))
-    error = F.col("p2") / (F.col("gain") + F.col("slope") * F.col("p2")) - F.col("e2")
+    error = F.try_divide(F.col("p2"), F.col("gain") + F.col("slope") * F.col("p2")) - F.col("e2")
     full = full.withColumn("error", error).where(F.abs(F.col("error") / F.col("e2")) < within)
     best = Window.orderBy(F.round(F.abs(F.col("error") / F.col("e2")), 9), "e0", "p0", "e1", "p1", "e2", "p2")  # as few rows as short lists give
     return full.withColumn("rank", F.row_number().over(best)).select("e0", "p0", "e1", "p1", "e2", "p2", "error", "rank")

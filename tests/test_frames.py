@@ -233,3 +233,18 @@ def test_round_trip_by_channel_makes_few_files(spark, tmp_path):
     assert len(back.inputFiles()) <= FOLDERS
     folder = F.regexp_extract(F.input_file_name(), "channel_folder=(\\d+)", 1)
     assert back.select("user_id", folder.alias("f")).distinct().groupBy("user_id").count().where("count > 1").isEmpty()
+
+
+def test_assignments_where_a_gain_falls_to_zero(spark):
+    """The gain through (1000, 2500) and (1400, 3000) is exactly zero at 6000, the next peak: no energy, and no division by zero."""
+    lines = spark.createDataFrame([(x,) for x in (1000.0, 1400.0, 1900.0)], "energy double")
+    heights = [2500.0, 3000.0, 3100.0, 6000.0]
+    found = pulse_stats.ranked_assignments(lines, spark.createDataFrame([(x,) for x in heights], "height double"), 1.0, 0.5)
+    got = {(r.p0, r.p1, r.p2): r.error for r in found.collect()}
+    want = {}
+    for a, b, c in [(a, b, c) for a in heights for b in heights for c in heights if a < b < c]:
+        slope = (b / 1400 - a / 1000) / (b - a)
+        gain = a / 1000 - a * slope
+        if slope < 0 and 1 + slope / gain > 0.25 and gain + slope * c and abs(c / (gain + slope * c) / 1900 - 1) < 0.5:
+            want[a, b, c] = c / (gain + slope * c) - 1900
+    assert got == pytest.approx(want) and want and (2500.0, 3000.0, 6000.0) not in got
