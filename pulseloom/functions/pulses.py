@@ -100,7 +100,8 @@ PARABOLA = ((-6, 24, 34, 24, -6), (-14, -7, 0, 7, 14), (10, -5, -10, -5, 10))
 def five_lag(pulse: Column, weights: Sequence[float]) -> tuple[Column, Column]:
     """(height, place) of the vertex through the filter's output at five shifts; weights are four samples shorter than the pulse."""
     lags = [dot(F.slice(pulse, k + 1, len(weights)), weights) for k in range(5)]
-    p0, p1, p2 = (sum((w / 70.0) * lag for w, lag in zip(row, lags, strict=True) if w) for row in PARABOLA)
+    # divided last: where samples and weights are whole numbers, sums are exact, and no curvature is exactly 0
+    p0, p1, p2 = (sum(float(w) * lag for w, lag in zip(row, lags, strict=True) if w) / 70.0 for row in PARABOLA)
     return p0 - F.try_divide(p1 * p1, 4 * p2), -F.try_divide(p1, 2 * p2)
 
 

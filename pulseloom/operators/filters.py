@@ -140,7 +140,7 @@ def dot(pulse: Column, weights: Column) -> Column:
 def five_lag(pulse: Column, weights: Column) -> Column:
     """(height, place) of the vertex through the output of weights, four samples shorter than the record, at five shifts."""
     lags = F.transform(F.sequence(F.lit(0), F.lit(2 * EDGE)), lambda k: dot(F.slice(pulse, k + 1, F.size(weights)), weights))
-    fit = lambda c: [sum((w / 70.0) * F.get(c, F.lit(k)) for k, w in enumerate(row) if w) for row in P.PARABOLA]
+    fit = lambda c: [sum(float(w) * F.get(c, F.lit(k)) for k, w in enumerate(row) if w) / 70.0 for row in P.PARABOLA]
 
     def vertex(c: Column) -> Column:
         p0, p1, p2 = fit(c)

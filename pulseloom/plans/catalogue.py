@@ -46,6 +46,13 @@ def _pulses(spark, sf_dir) -> DataFrame:
     return _t(spark, sf_dir, "embeddings").select("vec_id", "label", whole.alias("pulse"))
 
 
+def _rounded(x, digits: int):
+    """Rounded as DuckDB does: scaled in double precision, then half away from zero.  F.round takes the shortest decimal instead, and so differs next to a half."""
+    y = F.abs(x) * 10.0**digits
+    whole = F.rint(y)
+    return F.signum(x) * (whole + F.when(y - whole == 0.5, 1.0).otherwise(0.0)) / 10.0**digits
+
+
 _P = "p AS (SELECT vec_id, label, list_transform(embedding, lambda x: round(x::DOUBLE * 1000)::INT + 5000) AS pulse FROM embeddings)"
 _E = "e AS (SELECT *, epoch_us(ts) AS us FROM events)"
 
@@ -312,7 +319,7 @@ q AS (SELECT vec_id, {', '.join(f"({' + '.join(f'({w}) * c{k}' for k, w in enume
 SELECT vec_id, round(p0 - p1 * p1 / nullif(4 * p2, 0), 1) AS height, round(-p1 / nullif(2 * p2, 0), 6) AS place FROM q""")
 def filter_five_lag(spark, sf_dir):
     y, x = P.five_lag(F.col("pulse"), WEIGHTS60)
-    return _pulses(spark, sf_dir).select("vec_id", F.round(y, 1).alias("height"), F.round(x, 6).alias("place"))
+    return _pulses(spark, sf_dir).select("vec_id", _rounded(y, 1).alias("height"), _rounded(x, 6).alias("place"))
 
 
 @query(f"WITH {_P}, y AS (SELECT vec_id, list_inner_product(pulse::DOUBLE[], {WEIGHTS}::DOUBLE[]) AS y, list_inner_product(pulse::DOUBLE[], {ARRIVAL}::DOUBLE[]) AS t FROM p) SELECT vec_id, y AS height, round(t / nullif(y, 0), 8) AS arrival FROM y")

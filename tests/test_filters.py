@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pulseloom.functions import pulses as P
 from pulseloom.operators import filters
 from pulseloom.plans.channels import Channels
 from pulseloom.plans.recipe import Recipe, Step
@@ -117,3 +118,21 @@ def test_filters_in_recipes(data, spark, tmp_path):
     ch.recipe.save(str(tmp_path / "r"))
     again = Recipe.load(spark, str(tmp_path / "r")).replay(data).select("ch", "k", "five_lag_y", "five_lag_at", "arrival_y", "arrival_at").orderBy("ch", "k").collect()
     assert len(again) == len(want) and all(list(a)[:2] == list(b)[:2] and list(a)[2:] == pytest.approx(list(b)[2:], rel=1e-6, abs=1e-9) for a, b in zip(again, want, strict=True))
+
+
+def test_five_lag_of_straight_outputs_has_no_vertex(spark):
+    """Whole numbers on a line have no curvature at all; rounding errors as curvature gave heights of 7e18."""
+    pulses = [[a + b * k for k in range(5)] for a in range(-40, 40, 7) for b in (1, 3, 11, 101)]
+    rows = spark.createDataFrame([(p,) for p in pulses], "pulse array<int>")
+    for y, x in (P.five_lag(F.col("pulse"), [3.0]), [filters.five_lag(F.col("pulse"), F.array(F.lit(3.0)))[k] for k in ("height", "place")]):
+        assert set(map(tuple, rows.select(y, x).collect())) == {(None, None)}
+
+
+def test_rounded_as_duckdb(spark):
+    import duckdb
+
+    from pulseloom.plans.catalogue import _rounded
+
+    x = [s * (k * 7919 + 0.5) / 1e6 for k in range(3000) for s in (1, -1)] + [0.0, 7.3e18, -2.5e-7, None]
+    got = [r[0] for r in spark.createDataFrame(enumerate(x), "k int, x double").orderBy("k").select(_rounded(F.col("x"), 6)).collect()]
+    assert got == [r[0] for r in duckdb.execute("SELECT round(x, 6) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [x]).fetchall()]
