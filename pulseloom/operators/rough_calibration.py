@@ -28,6 +28,8 @@ from pulseloom.operators.quantiles import median
 
 #: Bins of the fine histogram, which reaches MARGIN widths beyond the lowest and highest height.
 BINS, MARGIN = 1 << 17, 3
+#: Digits to which the rms of equal combinations agrees.
+DIGITS = 9
 #: Combinations that are scored together.
 LOT = 4096
 #: The height at which a rough gain must still be positive, and that at which a linear gain must keep a part of its size.
@@ -106,37 +108,50 @@ def _mapped(df: DataFrame, by: Sequence[str], solve, extra: Sequence[str] = ())
 
 
 def best_chain(h: np.ndarray, e: np.ndarray, allowed: Sequence[Sequence[int]] | None = None) -> tuple[np.ndarray, float] | None:
-    """The heights, ascending, whose energies are most nearly linear between every second neighbour; the lowest among equals.
+    """The heights, ascending, whose energies are most nearly linear between every second neighbour; the lowest among those whose rms agrees to DIGITS.
 
-    cost[a, b] is the least misfit of all lines from one on, if that line has height b and the one before has a.
+    costs[j][a, b] is the least misfit of all lines from one on, if that line (j + 1) has height b and the one before has a.
     """
     n, k = len(h), len(e)
     able = np.ones((k, n), bool)
     if allowed is not None:
         able[:] = [np.isin(np.arange(n), list(a)) for a in allowed]
-    cost, choices = np.where(able[k - 1], 0.0, np.inf) * np.ones((n, 1)), []
+    cost = np.where(able[k - 1], 0.0, np.inf) * np.ones((n, 1))
     cost[np.tril_indices(n)] = np.inf
+    costs = [cost]
     with np.errstate(divide="ignore", invalid="ignore"):
         for j in range(k - 2, 0, -1):
-            now, choice = np.full((n, n), np.inf), np.zeros((n, n), np.int32)
+            now = np.full((n, n), np.inf)
             for b in np.flatnonzero(able[j][: n - 1]).tolist():
-                if not b:
-                    continue
-                low, high = h[:b, None], h[None, b + 1 :]
-                off = e[j - 1] + (e[j + 1] - e[j - 1]) * ((h[b] - low) / (high - low)) - e[j]
-                total = off * off + cost[b, b + 1 :]
-                best = total.argmin(1)
-                now[:b, b], choice[:b, b] = total[np.arange(b), best], b + 1 + best
-            cost = now
-            choices.append(choice)
-    cost[~able[0]] = np.inf
-    a, b = np.unravel_index(int(cost.argmin()), cost.shape)
-    if not np.isfinite(cost[a, b]):
+                if b:
+                    now[:b, b] = _chained(h, e, j, h[:b, None], b, costs[0]).min(1)
+            costs.insert(0, now)
+    costs[0][~able[0]] = np.inf
+    least = costs[0].min()
+    if not np.isfinite(least):
         return None
-    at = [int(a), int(b)]
-    for choice in reversed(choices):
-        at.append(int(choice[at[-2], at[-1]]))
-    return h[at], float(np.sqrt(cost[a, b] / (k - 2)))
+    rounded = lambda s: np.floor(np.sqrt(s / (k - 2)) * 10.0**DIGITS + 0.5)
+    at = np.argwhere(rounded(costs[0]) == rounded(least))[0].tolist()
+    misfits: list[float] = []
+    for j in range(1, k - 1):
+        total = _chained(h, e, j, h[at[-2]], at[-1], costs[j])
+        for before in reversed(misfits):  # added in the order of the search above, so that the same sums come out
+            total = before + total
+        step = int(np.flatnonzero(rounded(total) == rounded(least))[0])
+        off = _off(h, e, j, h[at[-2]], at[-1])[step]
+        misfits.append(off * off)
+        at.append(at[-1] + 1 + step)
+    return h[at], float(np.sqrt(total[step] / (k - 2)))
+
+
+def _off(h: np.ndarray, e: np.ndarray, j: int, low: np.ndarray, b: int) -> np.ndarray:
+    """Energy of height b, where the heights low and all above b have the lines before and after, less that of line j."""
+    return e[j - 1] + (e[j + 1] - e[j - 1]) * ((h[b] - low) / (h[b + 1 :] - low)) - e[j]
+
+
+def _chained(h: np.ndarray, e: np.ndarray, j: int, low: np.ndarray, b: int, cost: np.ndarray) -> np.ndarray:
+    off = _off(h, e, j, low, b)
+    return off * off + cost[b, b + 1 :]
 
 
 def assign_lines(peaks: DataFrame, by: Sequence[str], lines: Sequence[float], allowed: Sequence[Sequence[int]] | None = None) -> DataFrame:

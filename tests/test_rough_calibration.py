@@ -138,3 +138,17 @@ def test_peaks_of_a_spectrum_and_the_whole_step(spark):
         done = R.rough_energies(df, gain, ["ch"], "x").where("ch < 3").groupBy("ch").agg(F.percentile("energy", F.array(F.lit(0.15), F.lit(0.7))).alias("q")).collect()
         assert len(done) == 2 and all(abs(d.q[0] - 1000) < 120 and abs(d.q[1] - 4500) < 1600 for d in done), (rule, done)
         assert {x.ch for x in gain.collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("allowed", [None, [range(4), range(1, 8), range(0, 14, 2), range(5, 14)]])
+def test_lowest_of_lines_that_differ_by_rounding_alone(allowed):
+    """Heights in steps of 0.1 fit lines at 1000, 1300, 1900 and 2600 in many places, with errors of 1e-13 between them."""
+    e = np.array([1000.0, 1300.0, 1900.0, 2600.0])
+    for first in (900.0, 900.1, 900.2, 900.7, 901.3):
+        h = np.round(first + 0.1 * np.array([0, 2, 3, 4, 6, 9, 11, 12, 16, 18, 21, 24, 28, 32]), 1)
+        tried = []
+        for c in itertools.combinations(range(len(h)), 4):
+            if allowed is None or all(x in a for x, a in zip(c, allowed, strict=True)):
+                off = [e[j - 1] + (e[j + 1] - e[j - 1]) * ((h[c[j]] - h[c[j - 1]]) / (h[c[j + 1]] - h[c[j - 1]])) - e[j] for j in (1, 2)]
+                tried.append((round(float(np.sqrt((off[0] ** 2 + off[1] ** 2) / 2)), 9), *h[list(c)]))
+        assert tuple(R.best_chain(h, e, allowed)[0]) == min(tried)[1:]
