@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pulseloom.llm.recompression import FILTER, REVEAL, ROUNDS, Slice, _among, remove_repeats
+from pulseloom.llm.recompression import FILTER, REVEAL, ROUNDS, Slice, _among, _facts, _read_facts, remove_repeats
 
 
 def brute_force(rows, width):
@@ -120,6 +120,12 @@ def test_lookups_of_a_bucket_go_with_its_keys():
     assert not any(f.any() for f in _among(keys, known[:0])) and [len(f) for f in _among([keys[0]], known)] == [len(keys[0])]
 
 
+@pytest.mark.parametrize("n", [0, 1, 7])
+def test_facts_come_back(n):
+    facts = np.stack([np.arange(n)[::-1] * 5, np.full(n, 20), np.full(n, -1), np.arange(n) << 40])
+    assert np.array_equal(_read_facts(_facts(*facts)), facts)
+
+
 def test_doc_ids_must_be_integers(spark):
     with pytest.raises(TypeError):
         remove_repeats(spark.createDataFrame([("x", "a b")], "doc_id string, text string"))
